@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from claimgauge.sources.staging import Staging
 
 BUCKETS = 128
+_MARGIN = 5  # half the bracket of a median, in units of the guaranteed error
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
 
@@ -45,14 +46,61 @@ def cumulative_counts(frame: DataFrame, column: str, buckets: int = BUCKETS) ->
 
 
 def median(frame: DataFrame, column: str, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """One row, one column. Exact: the mean of the two middle values. Otherwise an existing value."""
+    """One row, one column. Exact: the mean of the two middle values. Otherwise an existing value.
+
+    Exact medians take two passes. The first brackets the middle by approximate quantiles, whose
+    error in rank is bounded by 1/accuracy of the rows. The second counts the rows below the
+    bracket and gathers the distinct values inside it, a thousandth of all rows at the usual
+    accuracy, among which it takes the middle positions. A bracket that missed them would stop
+    the job.
+    """
+    x = F.col(column)
     if not exact:
-        middle = F.percentile_approx(column, 0.5, accuracy)
-        return frame.agg(middle.cast("double").alias("median"))
-    value, up_to, n = (F.col(c) for c in ("value", "up_to", "n"))
-    lower = F.min(F.when(up_to > F.floor((n - 1) / 2), value)).cast("double")
-    upper = F.min(F.when(up_to > F.floor(n / 2), value)).cast("double")
-    return cumulative_counts(frame, column).agg(((lower + upper) / 2).alias("median"))
+        return frame.agg(F.percentile_approx(x, 0.5, accuracy).cast("double").alias("median"))
+    margin = _MARGIN / accuracy
+    sides = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
+    bracket = frame.agg(F.percentile_approx(x, sides, accuracy)).scalar()
+    value, weight = F.col("value"), F.col("weight")
+    counts = frame.where(x.isNotNull()).groupBy(x.alias("value")).agg(
+        F.count(F.lit(1)).alias("weight")
+    )
+    placed = counts.withColumn("_bracket", bracket)
+    low, high = F.get("_bracket", F.lit(0)), F.get("_bracket", F.lit(1))
+    near = F.when((value >= low) & (value <= high), F.struct("value", "weight"))
+    facts = placed.agg(
+        F.sum("weight").alias("n"),
+        F.coalesce(F.sum(F.when(value < low, weight)), F.lit(0)).alias("below"),
+        F.sort_array(F.collect_list(near)).alias("near"),
+    )
+    lower = _value_at("near", F.floor((F.col("n") - 1) / 2) - F.col("below"))
+    upper = _value_at("near", F.floor(F.col("n") / 2) - F.col("below"))
+    middle = (lower.cast("double") + upper.cast("double")) / 2
+    missed = F.raise_error(F.lit("the bracket misses the median")).cast("double")
+    return facts.select(
+        F.when(F.col("n").isNull(), F.lit(None).cast("double"))
+        .otherwise(F.coalesce(middle, missed))
+        .alias("median")
+    )
+
+
+def _value_at(weighted: str, position: Column) -> Column:
+    """The value at a position, counting from 0, of a sorted array of (value, weight)."""
+    # The running weight goes down with every element passed; the first to reach zero is wanted.
+    start = F.struct(
+        (position + 1).cast("bigint").alias("left"),
+        F.get(weighted, F.lit(0))["value"].alias("value"),
+    )
+    last = F.aggregate(
+        weighted,
+        start,
+        lambda seen, element: F.when(seen["left"] <= 0, seen).otherwise(
+            F.struct(
+                (seen["left"] - element["weight"]).alias("left"), element["value"].alias("value")
+            )
+        ),
+    )
+    inside = (position >= 0) & (last["left"] <= 0)
+    return F.when(inside, last["value"])
 
 
 def global_rank(frame: DataFrame, order: list[Column], name: str, staging: Staging) -> DataFrame:

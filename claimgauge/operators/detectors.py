@@ -81,9 +81,10 @@ def paid_per_claim(totals: DataFrame) -> DataFrame:
 def revenue_baseline(totals: DataFrame, config: ScanConfig) -> DataFrame:
     """One row: the median of paid per claim and the median absolute deviation from it."""
     rates = paid_per_claim(totals)
-    middle = _median(rates, "paid_per_claim", config)
-    deviations = rates.select(F.abs(F.col("paid_per_claim") - middle.scalar()).alias("deviation"))
-    return middle.withColumn("mad", _median(deviations, "deviation", config).scalar())
+    middle = _median(rates, "paid_per_claim", config).scalar()
+    deviations = rates.select(F.abs(F.col("paid_per_claim") - middle).alias("deviation"))
+    mad = _median(deviations, "deviation", config)
+    return mad.select(middle.alias("median"), F.col("median").alias("mad"))
 
 
 def revenue_findings(
@@ -96,12 +97,10 @@ def revenue_findings(
     baseline = revenue_baseline(totals, config) if baseline is None else baseline
     rates = paid_per_claim(totals)
     scoped = rates if scope is None else keep_providers(rates, scope)
-    mad = F.col("mad")
-    measured = (
-        scoped.withColumn("median", baseline.select("median").scalar())
-        .withColumn("mad", baseline.select("mad").scalar())
-        .where(mad.isNotNull() & (mad > 0))
-    )
+    mad = F.col("_baseline.mad")
+    measured = scoped.withColumn(
+        "_baseline", baseline.select(F.struct("median", "mad")).scalar()
+    ).where(mad > 0).withColumn("median", F.col("_baseline.median"))
     z = (F.col("paid_per_claim") - F.col("median")) / (mad * config.mad_scale)
     return measured.withColumn("z", z).where(F.col("z") > config.revenue_z).select(
         "npi", "total_paid", "total_claims", "paid_per_claim", "median", "z",

@@ -208,7 +208,11 @@ def _money(name: str) -> str:
 
 
 def _six(*names: str) -> str:
-    return ", ".join(f"round({name}, 6) as {name}" for name in names)
+    return ", ".join(f"{_rounded(name)} as {name}" for name in names)
+
+
+def _rounded(name: str) -> str:
+    return f"round({name}::decimal(38,10), 6)::double"
 
 
 _CLAIM = (
@@ -226,6 +230,7 @@ _REVENUE = (
     + _six("paid_per_claim", "median", "z", "severity")
 )
 _VOLUME = "npi, service_month, total_claims, " + _six("severity")
+_MONTH_TEXT = "coalesce(cast(service_month as varchar), '') as service_month"
 _IN_REGION = """deactivation_date = '' and practice_state = 'NATION_3'
     and substring(postal_code, 1, 3) in ('000', '001', '002', '003')"""
 _PROVIDER = """'' as address, '' as city,
@@ -236,8 +241,8 @@ _DOSSIER = f"""
     select results.npi, name,
            case when practice_state = '' then mailing_state else practice_state end as state,
            'NPI-' || entity_type as enumeration_type,
-           round(overall_score, 6) as overall_score, num_flags, total_rows, total_claims,
-           round(total_paid, 6) as total_paid, date_range_start, date_range_end, active_months,
+           {_rounded('overall_score')} as overall_score, num_flags, total_rows, total_claims,
+           {_rounded('total_paid')} as total_paid, date_range_start, date_range_end, active_months,
            (select string_agg(procedure_code, ', ' order by place) from first_codes as f
             where f.npi = results.npi) as top_procedures,
            (select count(*) from breakdown as b where b.npi = results.npi) as breakdown_rows,
@@ -342,11 +347,11 @@ def statements() -> dict[str, str]:
             f"npi, claims, {_money('paid')}, "
             + _six("early_level", "late_level", "shift", "severity"), "upcoding",
         ),
-        "all_flags": _select("npi, flag_type, service_month, " + _six("severity"), "flags"),
+        "all_flags": _select(f"npi, flag_type, {_MONTH_TEXT}, " + _six("severity"), "flags"),
         "provider_scores": _select(_SCORE, "scored"),
         "provider_scores_four_signal": f"""{_with('flags')}
-            select npi, round(overall_score, 6) as overall_score,
-                   round(max_severity, 6) as max_severity, num_flags, distinct_types,
+            select npi, {_rounded('overall_score')} as overall_score,
+                   {_rounded('max_severity')} as max_severity, num_flags, distinct_types,
                    cast(0 as bigint) as scheme_types, flag_types
             from (select npi, max(severity) as max_severity, count(*) as num_flags,
                          count(distinct flag_type) as distinct_types,
@@ -365,7 +370,7 @@ def statements() -> dict[str, str]:
         "scan_risk_label": f"""{_with('results', 'flags')}
             select npi, case when overall_score >= 0.7 then 'HIGH'
                              when overall_score >= 0.4 then 'MEDIUM' else 'LOW' end as risk,
-                   flag_type, service_month,
+                   flag_type, {_MONTH_TEXT},
                    case when severity >= 0.7 then 'HIGH'
                         when severity >= 0.4 then 'MEDIUM' else 'LOW' end as severity_risk,
                    case flag_type when 'volume_impossibility' then 'Volume Impossibility'
@@ -394,7 +399,7 @@ def statements() -> dict[str, str]:
                    row_number() over (partition by npi
                        order by flags.place, flags.service_month) - 1 as place,
                    flag_type, round_even(flags.severity, 3) as severity,
-                   volume.total_claims as claims
+                   coalesce(volume.total_claims, 0) as claims
             from ranked join flags using (npi)
             left join volume on volume.npi = flags.npi and flags.place = 1
                 and volume.service_month = flags.service_month
@@ -420,7 +425,7 @@ def statements() -> dict[str, str]:
         ),
         "peer_comparisons": _select("*", "peers"),
         "billing_timeline": _select(
-            "npi, service_month, total_claims, round(total_paid::double, 6) as total_paid",
+            "npi, service_month, total_claims, " + _six("total_paid"),
             "monthly",
         ),
         "dossier": _DOSSIER,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgauge.config import ScanConfig, ScanRequest
@@ -293,13 +293,18 @@ def _scan(spark: SparkSession, folder: str, config: ScanConfig = CONFIG, scope=N
     )
 
 
+def _month_text(month: Column) -> Column:
+    return F.coalesce(month.cast("string"), F.lit("")).alias("service_month")
+
+
 def _scores(results: DataFrame) -> DataFrame:
     return results.drop("red_flags")
 
 
 @_query
 def all_flags(spark, folder):
-    return _detection(spark, folder).flags.select("npi", "flag_type", "service_month", "severity")
+    flags = _detection(spark, folder).flags
+    return flags.select("npi", "flag_type", _month_text(F.col("service_month")), "severity")
 
 
 @_query
@@ -344,7 +349,7 @@ def scan_risk_label(spark, folder):
         "npi",
         scoring.risk_label(F.col("overall_score")).alias("risk"),
         F.col("f.flag_type").alias("flag_type"),
-        F.col("f.service_month").alias("service_month"),
+        _month_text(F.col("f.service_month")),
         scoring.risk_label(F.col("f.severity")).alias("severity_risk"),
         titled(F.col("f.flag_type")).alias("title"),
         F.size(F.split(evidence_text(evidence), ", ")).alias("evidence_items"),
@@ -407,7 +412,7 @@ def payload_roundtrip(spark, folder):
     claims = F.try_variant_get("f.evidence", "$.claims", "bigint")
     return flags.select(
         "total", "top", "npi", "place", F.col("f.flag_type").alias("flag_type"),
-        F.col("f.severity").alias("severity"), claims.alias("claims"),
+        F.col("f.severity").alias("severity"), F.coalesce(claims, F.lit(0)).alias("claims"),
     )
 
 

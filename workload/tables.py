@@ -125,7 +125,11 @@ def service_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comparable(frame: DataFrame) -> DataFrame:
-    """Money to 4 and other fractions to 6 places as doubles, whole numbers as bigint."""
+    """Money to 4 and other fractions to 6 places as doubles, whole numbers as bigint.
+
+    Fractions pass through 10 decimal places first, so that noise in the last bits of a double
+    does not decide which way a tie is rounded.
+    """
     return frame.select(*[_plain(field).alias(field.name) for field in frame.schema])
 
 
@@ -134,7 +138,7 @@ def _plain(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.DecimalType):
         return F.round(value.cast("double"), 4)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return F.round(value, 6)
+        return F.round(value.cast("decimal(38,10)"), 6).cast("double")
     if isinstance(field.dataType, T.IntegralType):
         return value.cast("bigint")
     if isinstance(field.dataType, T.ArrayType):
