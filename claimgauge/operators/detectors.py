@@ -114,14 +114,11 @@ def _median(frame: DataFrame, column: str, config: ScanConfig) -> DataFrame:
 
 # Spikes
 
-def spike_findings(monthly: DataFrame, config: ScanConfig) -> DataFrame:
+def spike_findings(history: DataFrame, config: ScanConfig) -> DataFrame:
     """Months far above the provider's own mean, which includes the month itself."""
-    history = Window.partitionBy("npi")
-    months = F.count("total_paid").over(history)
-    mean = ratio(F.sum("total_paid").over(history), months)
-    measured = monthly.select(
-        "npi", "service_month", "total_paid", months.alias("months"), mean.alias("mean_paid")
-    ).where((F.col("months") >= config.spike_min_months) & (F.col("mean_paid") > 0))
+    enough = (F.col("months") >= config.spike_min_months) & (F.col("provider_paid") > 0)
+    mean = ratio(F.col("provider_paid"), F.col("months"))
+    measured = history.where(enough).withColumn("mean_paid", mean)
     times = ratio(F.col("total_paid"), F.col("mean_paid"))
     return measured.withColumn("ratio", times).where(
         F.col("ratio") > config.spike_multiplier

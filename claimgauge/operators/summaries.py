@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from claimgauge.config import ScanConfig
 from claimgauge.schema import MONEY_SUM
@@ -49,6 +50,37 @@ def provider_totals(monthly: DataFrame) -> DataFrame:
     return monthly.groupBy("npi").agg(*_sums(monthly, ("total_claims", "total_paid")))
 
 
+def provider_history(monthly: DataFrame) -> DataFrame:
+    """Every month beside its provider's sums over all months.
+
+    One shuffle by provider serves whatever compares months with their own history, and the
+    totals too: they are the rows of the first month. A provider has few months, however many
+    claims it has.
+    """
+    own = Window.partitionBy("npi")
+
+    def over_all(name: str, kind: str | DecimalType) -> Column:
+        return F.coalesce(F.sum(name).over(own), F.lit(0)).cast(kind)
+
+    return monthly.select(
+        *MONTHLY_KEY,
+        "total_claims",
+        "total_paid",
+        over_all("total_claims", "bigint").alias("provider_claims"),
+        over_all("total_paid", MONEY_SUM).alias("provider_paid"),
+        F.count("total_paid").over(own).alias("months"),
+        (F.row_number().over(own.orderBy("service_month")) == 1).alias("first"),
+    )
+
+
+def totals_of_history(history: DataFrame) -> DataFrame:
+    return history.where("first").select(
+        "npi",
+        F.col("provider_claims").alias("total_claims"),
+        F.col("provider_paid").alias("total_paid"),
+    )
+
+
 def qualifying(totals: DataFrame, config: ScanConfig) -> DataFrame:
     """Providers paid enough to be worth a scan."""
     return totals.where(F.col("total_paid") >= F.lit(config.min_total_paid))

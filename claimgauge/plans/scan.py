@@ -41,15 +41,17 @@ def detect(
     qualifying provider. Without a scope nearly all rows belong to qualifying providers, so those
     are selected among the flags instead: one small join in place of two large ones.
 
-    The two frames of one row per provider that several detectors read are written once.
+    The two frames that several detectors read are written once: the history of months, and the
+    procedure profile with one row per provider.
     """
     staging = staging or Staging(monthly.sparkSession)
-    totals = staging.keep(S.provider_totals(monthly), "totals")
+    history = staging.keep(S.provider_history(monthly), "history")
+    totals = S.totals_of_history(history)
     qualified = S.qualifying(totals, config)
     selected = qualified
     if scope is not None:
         selected = S.keep_providers(qualified, scope)
-        monthly = S.keep_providers(monthly, scope)
+        history = S.keep_providers(history, scope)
         procedure = S.keep_providers(procedure, scope)
     profile = staging.keep(D.code_profile(procedure, config), "profile")
     leading = profile.select("npi", F.col("leading_code").alias("procedure_code"))
@@ -57,9 +59,9 @@ def detect(
     if organizations is not None:
         excluded = excluded.unionByName(organizations.select("npi")).distinct()
     findings = {
-        fv.VOLUME: D.volume_findings(monthly, config, excluded),
+        fv.VOLUME: D.volume_findings(history, config, excluded),
         fv.REVENUE: D.revenue_findings(qualified, config, scope),
-        fv.SPIKE: D.spike_findings(monthly, config),
+        fv.SPIKE: D.spike_findings(history, config),
         fv.CONSISTENCY: D.consistency_findings(profile, config),
         fv.NOS: D.nos_findings(profile, config),
         fv.UPCODING: D.upcoding_findings(D.visit_halves(procedure, config), config),

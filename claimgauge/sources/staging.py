@@ -34,11 +34,3 @@ class Staging:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
-
-    def keep_sorted(self, frame: DataFrame, name: str, *keys: str) -> DataFrame:
-        """Ranges of the whole key, sorted inside.
-
-        Rows of one provider lie together, so later partial aggregation by provider leaves little
-        to shuffle, while a provider with very many rows still spans several files.
-        """
-        return self.keep(frame.repartitionByRange(*keys).sortWithinPartitions(*keys), name)

@@ -321,7 +321,7 @@ def statements() -> dict[str, str]:
         "revenue_flags": _select(_REVENUE, "revenue"),
         "revenue_flags_state": f"""{_with('revenue', 'state_map')}
             select {_REVENUE} from revenue
-            where npi in (select npi from state_map where state = 'NATION_3')""",
+            where npi in (select npi from state_map where state = 'NATION_14')""",
         "spike_flags": _select(
             f"npi, service_month, {_money('total_paid')}, months, "
             + _six("mean_paid", "ratio", "severity"), "spikes",
@@ -366,7 +366,14 @@ def statements() -> dict[str, str]:
         "scan_state": f"""{_with('scored', 'state_map')}
             select {_SCORE} from scored
             where npi in (select npi from state_map where state = 'NATION_3')""",
-        "scan_provider": _select(_SCORE, "scored", "where npi = '20'"),
+        "scan_provider": _select(_SCORE, "scored", "where npi = '120'"),
+        "provider_history": f"""{_with('monthly')}
+            select npi, service_month, total_claims, {_money('total_paid')},
+                   cast(sum(total_claims) over own as bigint) as provider_claims,
+                   round((sum(total_paid) over own)::double, 4) as provider_paid,
+                   count(*) over own as months,
+                   row_number() over (partition by npi order by service_month) = 1 as first
+            from monthly window own as (partition by npi)""",
         "scan_risk_label": f"""{_with('results', 'flags')}
             select npi, case when overall_score >= 0.7 then 'HIGH'
                              when overall_score >= 0.4 then 'MEDIUM' else 'LOW' end as risk,

@@ -229,7 +229,8 @@ def revenue_flags(spark, folder):
 
 @_query
 def revenue_flags_state(spark, folder):
-    return D.revenue_findings(_qualified(spark, folder), CONFIG, _state_scope(spark, folder))
+    scope = R.providers_in_state(t.registry(spark, folder), t.REVENUE_STATE)
+    return D.revenue_findings(_qualified(spark, folder), CONFIG, scope)
 
 
 @_query
@@ -240,7 +241,8 @@ def revenue_flags_approx(spark, folder):
 
 @_query
 def spike_flags(spark, folder):
-    return _of_qualified(D.spike_findings(_monthly(spark, folder), CONFIG), spark, folder)
+    history = S.provider_history(_monthly(spark, folder))
+    return _of_qualified(D.spike_findings(history, CONFIG), spark, folder)
 
 
 @_query
@@ -372,7 +374,7 @@ def scan_provider(spark, folder):
     staging = Staging(spark)
     monthly, procedure = store.stage_summaries(t.claims(spark, folder), staging)
     return _scores(scans.scan_provider(
-        monthly, procedure, CONFIG, t.ONE_PROVIDER,
+        monthly, procedure, CONFIG, t.FLAGGED_PROVIDER,
         organizations=_organizations(spark, folder), staging=staging,
     ))
 
@@ -382,6 +384,11 @@ def scan_funnel(spark, folder):
     return scans.funnel(_detection(spark, folder), CONFIG, Staging(spark))
 
 
+@_query
+def provider_history(spark, folder):
+    return S.provider_history(_monthly(spark, folder))
+
+
 @_query
 def scan_payload(spark, folder):
     """The flags of the best providers as the answer lists them."""

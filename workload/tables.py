@@ -28,6 +28,8 @@ STATE = "NATION_3"
 ZIP_PREFIXES = ("000", "001", "002", "003")
 NAME_QUERY = "customer#00000012"
 ONE_PROVIDER = "20"
+FLAGGED_PROVIDER = "120"
+REVENUE_STATE = "NATION_14"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
