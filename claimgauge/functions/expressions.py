@@ -21,11 +21,11 @@ def number(value: Column, pattern: str) -> Column:
 
 
 def whole(value: Column) -> Column:
-    return number(value, "#,##0")
+    return number(value.cast("double"), "#,##0")
 
 
 def money(value: Column) -> Column:
-    return number(value, "#,##0.00")
+    return number(value.cast("double"), "#,##0.00")
 
 
 def filled(value: Column) -> Column:

@@ -54,7 +54,7 @@ def _wording(flag_type: str, config: ScanConfig) -> tuple[list[Column], dict[str
         words = [money(c("paid_per_claim")), number(c("z"), "0.0"), money(c("median"))]
         evidence = {
             "paid_per_claim": F.bround("paid_per_claim", 2),
-            "total_paid": _plain(c("total_paid")),
+            "total_paid": c("total_paid"),
             "total_claims": c("total_claims"),
             "modified_zscore": F.bround("z", 2),
         }
@@ -63,7 +63,7 @@ def _wording(flag_type: str, config: ScanConfig) -> tuple[list[Column], dict[str
         words = [money(c("total_paid")), month, times, money(c("mean_paid"))]
         evidence = {
             "month": month,
-            "amount": _plain(c("total_paid")),
+            "amount": c("total_paid"),
             "ratio": F.bround("ratio", 2),
         }
     elif flag_type == fv.CONSISTENCY:
@@ -82,8 +82,8 @@ def _wording(flag_type: str, config: ScanConfig) -> tuple[list[Column], dict[str
         words = [number(c("share"), "0%"), whole(c("nos_paid"))]
         evidence = {
             "nos_ratio": F.bround("share", 3),
-            "nos_paid": F.bround(_plain(c("nos_paid")), 2),
-            "total_paid": F.bround(_plain(c("total_paid")), 2),
+            "nos_paid": F.bround("nos_paid", 2),
+            "total_paid": F.bround("total_paid", 2),
         }
     else:
         words = [
@@ -94,10 +94,6 @@ def _wording(flag_type: str, config: ScanConfig) -> tuple[list[Column], dict[str
             "late_avg_level": F.bround("late_level", 2),
             "shift": F.bround("shift", 2),
             "total_em_claims": c("claims"),
-            "total_em_paid": F.bround(_plain(c("paid")), 2),
+            "total_em_paid": F.bround("paid", 2),
         }
     return words, evidence
-
-
-def _plain(value: Column) -> Column:
-    return value.cast("double")

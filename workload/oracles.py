@@ -115,12 +115,38 @@ _STEPS = {
         from halves where months >= 6 and claims >= 50 and late_level - early_level >= 0.4
         and npi in (select npi from qualified)""",
     "flags": """
-        select npi, 'volume_impossibility' as flag_type, service_month, severity, 1 as place from volume
-        union all select npi, 'revenue_outlier', null, severity, 2 from revenue
-        union all select npi, 'billing_spike', service_month, severity, 3 from spikes
-        union all select npi, 'suspicious_consistency', null, severity, 4 from consistency
-        union all select npi, 'nos_code_concentration', null, severity, 5 from nos
-        union all select npi, 'upcoding_trajectory', null, severity, 6 from upcoding""",
+        select npi, 'volume_impossibility' as flag_type, service_month, severity, 1 as place,
+               format('{:,} claims in {} (max plausible: 100)', total_claims,
+                      cast(service_month as varchar)) as description
+        from volume
+        union all
+        select npi, 'revenue_outlier', null, severity, 2,
+               format('Revenue per claim ${:,.2f} ({:.1f} MADs above median ${:,.2f}/claim)',
+                      paid_per_claim, z, median)
+        from revenue
+        union all
+        select npi, 'billing_spike', service_month, severity, 3,
+               format('Monthly paid ${:,.2f} in {} is {:.1f}x their average ${:,.2f}',
+                      total_paid::double, cast(service_month as varchar), ratio, mean_paid)
+        from spikes
+        union all
+        select npi, 'suspicious_consistency', null, severity, 4,
+               format('{:.0f}% of billing is procedure {} at ${:,.2f}/claim with only {:.1f}% rate '
+                      || 'variation across {} months — consistent with copy-paste billing',
+                      share * 100, procedure_code, mean_rate, cv * 100, months)
+        from consistency
+        union all
+        select npi, 'nos_code_concentration', null, severity, 5,
+               format('{:.0f}% of billing (${:,.0f}) under miscellaneous/unclassified codes — '
+                      || 'vague codes obscure what was actually provided',
+                      share * 100, nos_paid::double)
+        from nos
+        union all
+        select npi, 'upcoding_trajectory', null, severity, 6,
+               format('E&M code level shifted +{:.2f} points over time ({:.2f} → {:.2f}) — '
+                      || 'systematic upgrade toward higher-reimbursed codes across {:,} claims',
+                      shift, early_level, late_level, claims)
+        from upcoding""",
     "scored": """
         select npi, least(1.0, 0.4::double * max_severity + 0.15::double * distinct_types
                                + 0.2::double * scheme_types) as overall_score,
@@ -377,6 +403,7 @@ def statements() -> dict[str, str]:
         "scan_risk_label": f"""{_with('results', 'flags')}
             select npi, case when overall_score >= 0.7 then 'HIGH'
                              when overall_score >= 0.4 then 'MEDIUM' else 'LOW' end as risk,
+                   row_number() over (partition by npi order by place, service_month) as place,
                    flag_type, {_MONTH_TEXT},
                    case when severity >= 0.7 then 'HIGH'
                         when severity >= 0.4 then 'MEDIUM' else 'LOW' end as severity_risk,
@@ -386,6 +413,7 @@ def statements() -> dict[str, str]:
                         when 'suspicious_consistency' then 'Suspicious Consistency'
                         when 'nos_code_concentration' then 'Nos Code Concentration'
                         else 'Upcoding Trajectory' end as title,
+                   description,
                    cast(case flag_type when 'volume_impossibility' then 2
                         when 'revenue_outlier' then 4 when 'billing_spike' then 3
                         when 'nos_code_concentration' then 3 else 5 end as bigint)
@@ -437,6 +465,15 @@ def statements() -> dict[str, str]:
         ),
         "dossier": _DOSSIER,
         "dossier_roundtrip": _DOSSIER,
+        "dossier_headings": f"""{_with('results', 'registry')}
+            select npi, name,
+                   case when entity_type = '2' then 'Organization' else 'Individual' end as type,
+                   case when practice_state = '' then mailing_state else practice_state end
+                       || ', ' || substring(postal_code, 1, 5) as address,
+                   format('{{:.0f}}%', overall_score * 100) as score,
+                   case when overall_score >= 0.7 then 'HIGH'
+                        when overall_score >= 0.4 then 'MEDIUM' else 'LOW' end as risk
+            from results join registry using (npi)""",
         "dossier_one_provider": f"""{_with('peers', 'summary')}
             select lpad(npi, 10, '0') as npi, 0.0::double as overall_score, total_rows,
                    active_months as timeline_months, peer_count,

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgauge.config import ScanConfig, ScanRequest
-from claimgauge.functions.expressions import evidence_text, titled
 from claimgauge.operators import detectors as D
 from claimgauge.operators import dossier as sections
 from claimgauge.operators import registry as R
-from claimgauge.operators import scoring
+from claimgauge.operators import report, scoring
 from claimgauge.operators import summaries as S
 from claimgauge.operators.peers import peer_comparison
 from claimgauge.plans import dossier as dossiers
@@ -345,16 +344,10 @@ def scan_state(spark, folder):
 @_query
 def scan_risk_label(spark, folder):
     """Every flag of every result as a report line: labels, title, evidence in words."""
-    flags = _scan(spark, folder).select("npi", "overall_score", F.explode("red_flags").alias("f"))
-    evidence = F.col("f.evidence_json")
-    return flags.select(
-        "npi",
-        scoring.risk_label(F.col("overall_score")).alias("risk"),
-        F.col("f.flag_type").alias("flag_type"),
-        _month_text(F.col("f.service_month")),
-        scoring.risk_label(F.col("f.severity")).alias("severity_risk"),
-        titled(F.col("f.flag_type")).alias("title"),
-        F.size(F.split(evidence_text(evidence), ", ")).alias("evidence_items"),
+    lines = report.flag_lines(_scan(spark, folder))
+    return lines.select(
+        "npi", "risk", "place", "flag_type", _month_text(F.col("service_month")), "severity_risk",
+        "title", "description", F.size(F.split("evidence", ", ")).alias("evidence_items"),
     )
 
 
@@ -510,6 +503,12 @@ def dossier(spark, folder):
     return _dossier_facts(_dossiers(spark, folder))
 
 
+@_query
+def dossier_headings(spark, folder):
+    """The head of every reported provider's dossier as printed."""
+    return report.provider_lines(_dossiers(spark, folder))
+
+
 @_query
 def dossier_roundtrip(spark, folder):
     where = f"{Staging(spark).folder}/dossiers"
