@@ -62,6 +62,7 @@ def profile(
     claims: DataFrame,
     npi: str,
     totals: DataFrame | None = None,
+    staging: Staging | None = None,
     **others,
 ) -> DataFrame:
     """The dossier of one provider. It is an error if the provider has no claims."""
@@ -69,10 +70,11 @@ def profile(
     own = claims.where(F.col("npi") == npi)
     if own.isEmpty():
         raise LookupError(f"no claims found for provider {npi}")
-    subject = claims.sparkSession.range(1).select(F.lit(npi).alias("npi"))
-    totals = provider_totals(claims) if totals is None else totals
-    dossier = build_dossiers(own, totals, subjects=subject, **others)
-    return dossier
+    if totals is None:
+        staging = staging or Staging(claims.sparkSession)
+        totals = staging.keep(provider_totals(claims), "totals")
+    subject = totals.where(F.col("npi") == npi).select("npi")
+    return build_dossiers(own, totals, subjects=subject, staging=staging, **others)
 
 
 def _with_provider(dossier: DataFrame, registry: DataFrame | None) -> DataFrame:

@@ -99,7 +99,7 @@ def scan_provider(
     monthly: DataFrame, procedure: DataFrame, config: ScanConfig, npi: str, **others
 ) -> DataFrame:
     """One provider's result at any score. Only the revenue baseline reads other providers."""
-    one = monthly.sparkSession.range(1).select(F.lit(npi).alias("npi"))
+    one = monthly.where(F.col("npi") == npi).select("npi").distinct()
     own = procedure.where(F.col("npi") == npi)
     return scan(monthly, own, replace(config, threshold=0.0), one, **others)
 

@@ -36,11 +36,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def payload(results: DataFrame, request: ScanRequest) -> DataFrame:
+def payload(
+    results: DataFrame, request: ScanRequest, staging: Staging | None = None
+) -> DataFrame:
     """One row: how many results there are, the first of them in full, and what was asked.
 
-    The request allows 500 providers at most, so the row stays small.
+    The request allows 500 providers at most, so the row stays small. The results are written
+    once, because they are both counted and searched for the first.
     """
+    results = (staging or Staging(results.sparkSession)).keep(results, "results")
     listed = top(results, request.top).agg(
         F.sort_array(F.collect_list(F.struct("rank", *_SHOWN))).alias("_first")
     )

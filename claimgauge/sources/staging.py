@@ -34,3 +34,9 @@ class Staging:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
+
+    def close(self) -> None:
+        """Delete this job's tables. Frames that read them cannot be used afterwards."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -89,6 +89,12 @@ def test_staging_uses_the_shared_folder(spark):
     assert staging.folder.startswith(shared_folder(spark))
     kept = staging.keep(spark.range(3).toDF("x"), "numbers")
     assert sorted(r.x for r in kept.collect()) == [0, 1, 2]
+    other = Staging(spark)
+    other.keep(spark.range(2).toDF("x"), "numbers")
+    other.close()
+    assert kept.count() == 3
+    with pytest.raises(PySparkException):
+        spark.read.parquet(other.folder)
 
 
 def test_csv(spark, monthly, procedure, tmp_path):

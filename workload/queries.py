@@ -51,15 +51,18 @@ def _procedure(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _totals(spark: SparkSession, folder: str) -> DataFrame:
-    return S.provider_totals(t.claims(spark, folder))
+    """Written once: every use of a median or percentile reads the totals again."""
+    return Staging(spark).keep(S.provider_totals(t.claims(spark, folder)), "totals")
 
 
 def _qualified(spark: SparkSession, folder: str) -> DataFrame:
     return S.qualifying(_totals(spark, folder), CONFIG)
 
 
-def _of_qualified(frame: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    return S.keep_providers(frame, _qualified(spark, folder))
+def _summaries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both summaries and the qualifying providers, from one pass over the claims."""
+    monthly, procedure = store.stage_summaries(t.claims(spark, folder))
+    return monthly, procedure, S.qualifying(S.provider_totals(monthly), CONFIG)
 
 
 def _state_scope(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,12 +102,14 @@ def procedure_summary(spark, folder):
 
 @_query
 def qualifying_monthly(spark, folder):
-    return _of_qualified(_monthly(spark, folder), spark, folder)
+    monthly, _, qualified = _summaries(spark, folder)
+    return S.keep_providers(monthly, qualified)
 
 
 @_query
 def qualifying_procedure(spark, folder):
-    return _of_qualified(_procedure(spark, folder), spark, folder)
+    _, procedure, qualified = _summaries(spark, folder)
+    return S.keep_providers(procedure, qualified)
 
 
 @_query
@@ -202,18 +207,18 @@ def org_by_top_code(spark, folder):
 
 @_query
 def volume_flags(spark, folder):
-    monthly = _of_qualified(_monthly(spark, folder), spark, folder)
+    monthly, procedure, qualified = _summaries(spark, folder)
     candidates = D.volume_candidates(monthly, CONFIG)
     excluded = D.volume_exclusions(
-        _procedure(spark, folder), CONFIG, candidates, _organizations(spark, folder)
+        procedure, CONFIG, candidates, _organizations(spark, folder)
     )
-    return D.volume_findings(monthly, CONFIG, excluded)
+    return S.keep_providers(D.volume_findings(monthly, CONFIG, excluded), qualified)
 
 
 @_query
 def volume_flags_no_exclusion(spark, folder):
-    findings = D.volume_findings(_monthly(spark, folder), CONFIG)
-    return _of_qualified(findings, spark, folder)
+    monthly, _, qualified = _summaries(spark, folder)
+    return S.keep_providers(D.volume_findings(monthly, CONFIG), qualified)
 
 
 @_query
@@ -240,8 +245,9 @@ def revenue_flags_approx(spark, folder):
 
 @_query
 def spike_flags(spark, folder):
-    history = S.provider_history(_monthly(spark, folder))
-    return _of_qualified(D.spike_findings(history, CONFIG), spark, folder)
+    history = Staging(spark).keep(S.provider_history(_monthly(spark, folder)), "history")
+    qualified = S.qualifying(S.totals_of_history(history), CONFIG)
+    return S.keep_providers(D.spike_findings(history, CONFIG), qualified)
 
 
 @_query
@@ -257,14 +263,16 @@ def rate_stats(spark, folder):
 
 @_query
 def consistency_flags(spark, folder):
-    profile = D.code_profile(_procedure(spark, folder), CONFIG)
-    return _of_qualified(D.consistency_findings(profile, CONFIG), spark, folder)
+    _, procedure, qualified = _summaries(spark, folder)
+    profile = D.code_profile(procedure, CONFIG)
+    return S.keep_providers(D.consistency_findings(profile, CONFIG), qualified)
 
 
 @_query
 def nos_flags(spark, folder):
-    profile = D.code_profile(_procedure(spark, folder), CONFIG)
-    return _of_qualified(D.nos_findings(profile, CONFIG), spark, folder)
+    _, procedure, qualified = _summaries(spark, folder)
+    profile = D.code_profile(procedure, CONFIG)
+    return S.keep_providers(D.nos_findings(profile, CONFIG), qualified)
 
 
 @_query
@@ -274,8 +282,9 @@ def upcoding_halves(spark, folder):
 
 @_query
 def upcoding_flags(spark, folder):
-    halves = D.visit_halves(_procedure(spark, folder), CONFIG)
-    return _of_qualified(D.upcoding_findings(halves, CONFIG), spark, folder)
+    _, procedure, qualified = _summaries(spark, folder)
+    halves = D.visit_halves(procedure, CONFIG)
+    return S.keep_providers(D.upcoding_findings(halves, CONFIG), qualified)
 
 
 # Scoring and the scan
@@ -450,7 +459,8 @@ def top_procedures(spark, folder):
 
 @_query
 def procedure_monthly(spark, folder):
-    return sections.procedure_by_month(_cells(spark, folder), t.descriptions(spark, folder))
+    cells = Staging(spark).keep(_cells(spark, folder), "cells")
+    return sections.procedure_by_month(cells, t.descriptions(spark, folder))
 
 
 @_query
