@@ -32,6 +32,9 @@ HEADLINES = (
     "region_subset",
 )
 
+# Not timed. A JVM just started spends most of a short query compiling.
+WARM_UP = ("dossier", "region_subset", "scan")
+
 
 def session(cpus: str) -> SparkSession:
     return (
@@ -51,17 +54,21 @@ def main() -> None:
     spark = session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
     queries = registered()
-    queries["providers_distinct"](spark, folder).count()  # starts the executors
-    seconds = {}
-    for name in HEADLINES:
+
+    def timed(name: str) -> float:
         started = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - started, 3)
+        return round(time.perf_counter() - started, 3)
+
+    for name in WARM_UP:
+        timed(name)
+    seconds = {name: timed(name) for name in HEADLINES}
     spark.stop()
     print(json.dumps({
         "metric": "headline queries, total wall time",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
+        "warm_up": list(WARM_UP),
         "queries": seconds,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }))

@@ -90,8 +90,8 @@ def revenue_baseline(totals: DataFrame, config: ScanConfig) -> DataFrame:
 def revenue_findings(
     totals: DataFrame,
     config: ScanConfig,
-    scope: DataFrame | None = None,
     baseline: DataFrame | None = None,
+    scope: DataFrame | None = None,
 ) -> DataFrame:
     """Providers far above the median. `totals` are all peers; `scope` only limits the output."""
     baseline = revenue_baseline(totals, config) if baseline is None else baseline
@@ -205,9 +205,9 @@ def nos_findings(profile: DataFrame, config: ScanConfig) -> DataFrame:
 def visit_halves(procedure: DataFrame, config: ScanConfig) -> DataFrame:
     """Visit claims of each provider: mean level in the earlier and in the later half of its months."""
     codes = [code for code, _ in config.visit_levels]
-    level = F.lit(0)
-    for code, value in config.visit_levels:
-        level = F.when(F.col("procedure_code") == code, F.lit(value)).otherwise(level)
+    level = F.create_map(*[F.lit(x) for pair in config.visit_levels for x in pair])[
+        F.col("procedure_code")
+    ]
     by_month = (
         procedure.where(F.col("procedure_code").isin(*codes))
         .groupBy("npi", "service_month")

@@ -41,13 +41,15 @@ def detect(
     qualifying provider. Without a scope nearly all rows belong to qualifying providers, so those
     are selected among the flags instead: one small join in place of two large ones.
 
-    The two frames that several detectors read are written once: the history of months, and the
-    procedure profile with one row per provider.
+    The frames that several detectors read are written once: the history of months, and the
+    procedure profile with one row per provider. So is the baseline's single row, or its many
+    small steps would be planned anew wherever it is used.
     """
     staging = staging or Staging(monthly.sparkSession)
     history = staging.keep(S.provider_history(monthly), "history")
     totals = S.totals_of_history(history)
     qualified = S.qualifying(totals, config)
+    baseline = staging.keep(D.revenue_baseline(qualified, config), "baseline")
     selected = qualified
     if scope is not None:
         selected = S.keep_providers(qualified, scope)
@@ -60,7 +62,7 @@ def detect(
         excluded = excluded.unionByName(organizations.select("npi")).distinct()
     findings = {
         fv.VOLUME: D.volume_findings(history, config, excluded),
-        fv.REVENUE: D.revenue_findings(qualified, config, scope),
+        fv.REVENUE: D.revenue_findings(qualified, config, baseline, scope),
         fv.SPIKE: D.spike_findings(history, config),
         fv.CONSISTENCY: D.consistency_findings(profile, config),
         fv.NOS: D.nos_findings(profile, config),

@@ -68,10 +68,10 @@ def test_revenue_baseline_and_flag(totals):
 def test_revenue_scope_keeps_the_national_baseline(spark, totals):
     qualified = S.qualifying(totals, CONFIG)
     only = spark.createDataFrame([(REVENUE,)], "npi string")
-    row = D.revenue_findings(qualified, CONFIG, only).collect()[0]
+    row = D.revenue_findings(qualified, CONFIG, scope=only).collect()[0]
     assert row.npi == REVENUE and row.median == 1400.0
     other = spark.createDataFrame([(SPIKE,)], "npi string")
-    assert D.revenue_findings(qualified, CONFIG, other).isEmpty()
+    assert D.revenue_findings(qualified, CONFIG, scope=other).isEmpty()
 
 
 @pytest.mark.parametrize("rows", [

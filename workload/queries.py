@@ -226,21 +226,26 @@ def revenue_baseline(spark, folder):
     return D.revenue_baseline(_qualified(spark, folder), CONFIG)
 
 
+def _revenue(spark: SparkSession, folder: str, config: ScanConfig, scope=None) -> DataFrame:
+    qualified = _qualified(spark, folder)
+    baseline = Staging(spark).keep(D.revenue_baseline(qualified, config), "baseline")
+    return D.revenue_findings(qualified, config, baseline, scope)
+
+
 @_query
 def revenue_flags(spark, folder):
-    return D.revenue_findings(_qualified(spark, folder), CONFIG)
+    return _revenue(spark, folder, CONFIG)
 
 
 @_query
 def revenue_flags_state(spark, folder):
     scope = R.providers_in_state(t.registry(spark, folder), t.REVENUE_STATE)
-    return D.revenue_findings(_qualified(spark, folder), CONFIG, scope)
+    return _revenue(spark, folder, CONFIG, scope)
 
 
 @_query
 def revenue_flags_approx(spark, folder):
-    approximate = ScanConfig(**{**CONFIG.__dict__, "exact_median": False})
-    return D.revenue_findings(_qualified(spark, folder), approximate)
+    return _revenue(spark, folder, ScanConfig(**{**CONFIG.__dict__, "exact_median": False}))
 
 
 @_query
