@@ -276,7 +276,32 @@ _DOSSIER = f"""
     from results join summary using (npi) join peers using (npi) join registry using (npi)"""
 
 
+# Queries that show dates, which both sides give as text.
+_DATED = {
+    "service_month": (
+        "claims_normalized", "claims_csv_roundtrip", "provider_claims", "monthly_summary",
+        "procedure_summary", "qualifying_monthly", "qualifying_procedure", "region_subset",
+        "volume_flags", "volume_flags_no_exclusion", "spike_flags", "provider_history",
+        "procedure_monthly", "billing_timeline",
+    ),
+    "date_range_start": ("claims_summary", "dossier", "dossier_roundtrip"),
+    "date_range_end": ("claims_summary", "dossier", "dossier_roundtrip"),
+}
+
+
 def statements() -> dict[str, str]:
+    return {name: _dates_as_text(name, sql) for name, sql in _statements().items()}
+
+
+def _dates_as_text(name: str, sql: str) -> str:
+    dates = [column for column, names in _DATED.items() if name in names]
+    if not dates:
+        return sql
+    texts = ", ".join(f"cast({column} as varchar) as {column}" for column in dates)
+    return f"select * replace ({texts}) from (\n{sql}\n)"
+
+
+def _statements() -> dict[str, str]:
     scan = _select(_SCORE, "results")
     payload_flags = f"""{_with('ranked', 'flags')}
         select (select count(*) from results) as total, rank, npi,
@@ -398,7 +423,8 @@ def statements() -> dict[str, str]:
                    cast(sum(total_claims) over own as bigint) as provider_claims,
                    round((sum(total_paid) over own)::double, 4) as provider_paid,
                    count(*) over own as months,
-                   row_number() over (partition by npi order by service_month) = 1 as first
+                   cast(row_number() over (partition by npi order by service_month) = 1 as bigint)
+                       as first
             from monthly window own as (partition by npi)""",
         "scan_risk_label": f"""{_with('results', 'flags')}
             select npi, case when overall_score >= 0.7 then 'HIGH'

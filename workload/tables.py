@@ -127,7 +127,7 @@ def service_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comparable(frame: DataFrame) -> DataFrame:
-    """Money to 4 and other fractions to 6 places as doubles, whole numbers as bigint.
+    """Money to 4 and other fractions to 6 places as doubles, whole numbers as bigint, dates as text.
 
     Fractions pass through 10 decimal places first, so that noise in the last bits of a double
     does not decide which way a tie is rounded.
@@ -141,8 +141,10 @@ def _plain(field: T.StructField) -> Column:
         return F.round(value.cast("double"), 4)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         return F.round(value.cast("decimal(38,10)"), 6).cast("double")
-    if isinstance(field.dataType, T.IntegralType):
+    if isinstance(field.dataType, (T.IntegralType, T.BooleanType)):
         return value.cast("bigint")
+    if isinstance(field.dataType, T.DateType):
+        return value.cast("string")
     if isinstance(field.dataType, T.ArrayType):
         return F.array_join(value, ", ")
     return value
