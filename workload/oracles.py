@@ -196,7 +196,7 @@ _STEPS = {
                round_even((select count(*) from totals as o where o.total_paid <= t.total_paid)
                    / n::double * 100, 1) as provider_percentile,
                round_even(case when spread > 0 then (total_paid::double - mean) / spread end, 2)
-                   as zscore
+                   + 0 as zscore
         from totals as t cross join (
             select count(*) as n, sum(total_paid)::double / count(*) as mean,
                    median(total_paid::double) as middle,
@@ -450,7 +450,11 @@ def _statements() -> dict[str, str]:
             union all select 'qualifying', count(*) from qualified
             union all select 'excluded', count(*) from totals where total_paid < 1000000
             union all select 'in_scope', count(*) from qualified
-            union all select flag_type, count(distinct npi) from flags group by flag_type
+            union all select flag_type, count(distinct npi)
+                      from (values ('volume_impossibility'), ('revenue_outlier'),
+                            ('billing_spike'), ('suspicious_consistency'),
+                            ('nos_code_concentration'), ('upcoding_trajectory')) as k(flag_type)
+                      left join flags using (flag_type) group by flag_type
             union all select 'scored', count(*) from scored
             union all select 'above_threshold', count(*) from scored
                       where overall_score >= 0.3""",
