@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgauge.llm import bpe, sharding
+from claimgauge.llm import bpe, repeats, sharding
 from claimgauge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,15 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), SHARDS)
 
 
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digests(table(spark, folder, "documents"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
         "op7_sharding": op7_sharding,
+        "op10_repeats": op10_repeats,
     }
 
 
