@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgauge.llm import bpe, repeats, sharding
+from claimgauge.llm import bpe, ngram_join, repeats, sharding
 from claimgauge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.classes(table(spark, folder, "documents"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), SHARDS)
 
@@ -31,6 +35,7 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
+        "op5_ngram_join": op5_ngram_join,
         "op7_sharding": op7_sharding,
         "op10_repeats": op10_repeats,
     }
