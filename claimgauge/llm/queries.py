@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgauge.llm import bpe, ngram_join, repeats, sharding
+from claimgauge.llm import bpe, decontaminate, ngram_join, repeats, rules, sharding
 from claimgauge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,18 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARDS = 40
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classes(table(spark, folder, "documents"))
 
@@ -34,7 +42,9 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_decontamination": op4_decontamination,
         "op5_ngram_join": op5_ngram_join,
         "op7_sharding": op7_sharding,
         "op10_repeats": op10_repeats,
