@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgauge.llm import bpe, decontaminate, ngram_join, repeats, rules, sharding
+from claimgauge.llm import bpe, decontaminate, html_text, ngram_join, repeats, rules, sharding
 from claimgauge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), SHARDS)
 
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.texts(table(spark, folder, "pages"))
+
+
 def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digests(table(spark, folder, "documents"))
 
@@ -47,6 +51,7 @@ def registered() -> dict[str, Query]:
         "op4_decontamination": op4_decontamination,
         "op5_ngram_join": op5_ngram_join,
         "op7_sharding": op7_sharding,
+        "op9_html_text": op9_html_text,
         "op10_repeats": op10_repeats,
     }
 
