@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgauge.llm import bpe, decontaminate, html_text, ngram_join, repeats, rules, sharding
+from claimgauge.llm import bpe, decontaminate, html_text, lm_score, ngram_join, repeats, rules, sharding
 from claimgauge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARDS = 40
 
 
+def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.scored(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -46,6 +50,7 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_quality_rules": op2_quality_rules,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_decontamination": op4_decontamination,
