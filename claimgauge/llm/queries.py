@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgauge.llm import bpe, decontaminate, html_text, lm_score, ngram_join, repeats, rules, sharding
-from claimgauge.llm.shared import table
+from claimgauge.llm import bpe, decontaminate, html_text, lm_score, ngram_join, repeats, rules, sharding, token_rollup, weak_labels
+from claimgauge.llm.shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +37,26 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classes(table(spark, folder, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Commits all documents as one batch, and once more, which changes nothing."""
+    rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}", {
+        "words": token_rollup.words,
+        "byte_bpe_50k": token_rollup.byte_bpe(VOCABULARY, public_tokenizers.PATTERN),
+    })
+    documents = token_rollup.inserts(table(spark, folder, "documents"))
+    for _ in range(2):
+        rollup.commit("documents", documents)
+    return rollup.totals()
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), SHARDS)
 
 
+def op8_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_labels.scored(table(spark, folder, "documents"))
+
+
 def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.texts(table(spark, folder, "pages"))
 
@@ -55,7 +72,9 @@ def registered() -> dict[str, Query]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_decontamination": op4_decontamination,
         "op5_ngram_join": op5_ngram_join,
+        "op6_token_counts": op6_token_counts,
         "op7_sharding": op7_sharding,
+        "op8_weak_labels": op8_weak_labels,
         "op9_html_text": op9_html_text,
         "op10_repeats": op10_repeats,
     }

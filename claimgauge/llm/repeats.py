@@ -4,15 +4,18 @@ Suffixes are ordered only through ``length`` bytes, in passes from the most sign
 group whose members agree in all digits is a repeated window. What makes this small enough to
 shuffle: a window's most significant digit is not read at its begin but at its *anchor*, the place
 of its least k-gram hash. Equal windows have equal anchors, so windows with the same anchor place
-travel as one row, a *stretch*: windows ``a`` to ``b``, all with their anchor at ``p``.
+travel as one row, a *stretch*, until a pass tells them apart.
 
 1. First digit: the k-gram at the anchor. Stretches whose digit is met once hold no repeated window.
 2. Second digit: the bytes of the whole stretch. Stretches that agree in it are repeated with all
    their windows; one of them goes on for all, so a large group of copies becomes one row.
-3. Last digit, where one first digit has several second digits: the ``length`` bytes of every single
-   window. Groups of two or more are exactly the repeated windows.
+3. Third digit, where one first digit has several second ones: stretches are cut into *blocks* of up
+   to 16 windows with the same distances from the anchor; the digit is the ``length`` - 15 bytes that
+   these windows have in common.
+4. Last digit: the up to 15 bytes on either side. Blocks that agree in them are repeated whole. Where
+   they do not, it is taken window by window: groups of two or more are exactly the repeated windows.
 
-All digits are hashes of 64 bits, and two have to agree (128 bits) before anything is removed.
+All digits but the last are hashes of 64 bits, of which two or more have to agree; the last is bytes.
 
 Edge cases: null text is empty; texts shorter than ``length`` keep all; equal texts repeat each
 other whole; repeated rows are copies of their texts; an empty table gives no rows. Cuts are made
@@ -30,12 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimgauge.llm.bytehash import packed, prefixes, span
-from claimgauge.llm.shared import keep
+from claimgauge.llm.shared import discard, keep
 
 #: Bytes of the k-gram at an anchor.
 GRAM = 32
-_CLASSES = "key binary, first array<bigint>, second array<bigint>, a array<int>, b array<int>, p array<int>"
-_WINDOWS = "first bigint, last bigint, second bigint, key binary, at int, alone boolean"
+#: Windows of a block.
+BLOCK = 16
+_CLASSES = ("key binary, first array<bigint>, second array<bigint>, "
+            "a array<int>, windows array<smallint>, before array<smallint>")
+_BLOCKS = ("id bigint, alone boolean, first bigint, third bigint, p int, "
+           "low smallint, high smallint, left binary, right binary")
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
@@ -75,8 +82,15 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     )
 
 
+def _counted(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items with so many parts each: the item of every part, and the part's number in it."""
+    return (np.repeat(np.arange(len(sizes)), sizes),
+            np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+
+
 def _classes(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row for each text of ``length`` bytes or more: its key and stretches."""
+    """One row for each text of ``length`` bytes or more: its key and stretches. ``before``: bytes
+    from the first window to the anchor."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,42 +100,52 @@ def _classes(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 found = pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, end - begin),
                      _lists(first, counts, pa.int64()), _lists(second, counts, pa.int64()),
-                     *(_lists(x, counts, pa.int32()) for x in (a, b, p))],
-                    ["key", "first", "second", "a", "b", "p"],
+                     _lists(a, counts, pa.int32()), _lists(b - a + 1, counts, pa.int16()),
+                     _lists(p - a, counts, pa.int16())],
+                    ["key", "first", "second", "a", "windows", "before"],
                 )
                 yield found.filter(pa.array(counts > 0))
 
     return texts.mapInArrow(find, _CLASSES)
 
 
-def _last_digits(texts: DataFrame, length: int) -> DataFrame:
-    """Every window of the given stretches; ``alone``: no other stretch has its second digit."""
+def _blocks(texts: DataFrame, length: int) -> DataFrame:
+    """Blocks of the given stretches. ``alone``: no other stretch has its second digit. ``low`` and
+    ``high``: distances from a window's begin to the anchor."""
+    core = length - BLOCK + 1
 
-    def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("stretches")
             for begin, end, data, offsets in packed(batch.column("text")):
-                sums = prefixes(data)
+                sums, raw = prefixes(data), data.tobytes()
                 part = wanted.slice(begin, end - begin)
                 rows = np.repeat(np.arange(end - begin), np.diff(part.offsets.to_numpy()))
-                field = dict(zip("first second a b p n".split(),
-                                 (x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten()),
-                                 strict=True))
-                sizes = field["b"] - field["a"] + 1
-                of = np.repeat(np.arange(len(rows)), sizes)
-                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + field["a"][of]
-                places = at + offsets[rows[of]]
-                last = span(sums, places, places + length, 2)
-                last += (field["p"][of] - at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                keys = batch.column("key").slice(begin, end - begin).take(pa.array(rows[of]))
+                first, a, windows, before, alone = (
+                    x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten())
+                nearest, farthest = (before - windows + 1).astype(np.int64), before.astype(np.int64)
+                of, number = _counted(farthest // BLOCK - nearest // BLOCK + 1)
+                number = number + (nearest // BLOCK)[of]
+                low = np.maximum(number * BLOCK, nearest[of])
+                high = np.minimum(number * BLOCK + BLOCK - 1, farthest[of])
+                p = (a.astype(np.int64) + before)[of]
+                anchor = p + offsets[rows[of]]
+                shared = anchor - number * BLOCK
+                third = span(sums, shared, shared + core, 2) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(field["first"][of]), pa.array(last.view(np.int64)),
-                     pa.array(field["second"][of]), keys, pa.array(at, pa.int32()),
-                     pa.array(field["n"][of] == 1)],
-                    ["first", "last", "second", "key", "at", "alone"],
+                    [batch.column("id").slice(begin, end - begin).take(pa.array(rows[of])),
+                     pa.array(alone[of], pa.bool_()), pa.array(first[of]), pa.array(third.view(np.int64)),
+                     pa.array(p, pa.int32()), pa.array(low, pa.int16()), pa.array(high, pa.int16()),
+                     _bytes_between(raw, anchor - high, shared),
+                     _bytes_between(raw, shared + core, anchor - low + length)],
+                    ["id", "alone", "first", "third", "p", "low", "high", "left", "right"],
                 )
 
-    return texts.mapInArrow(hash_windows, _WINDOWS)
+    return texts.mapInArrow(divide, _BLOCKS)
+
+
+def _bytes_between(raw: bytes, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    return pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
 
 
 def repeated_ranges(texts: DataFrame, length: int = 200, gram: int = GRAM) -> DataFrame:
@@ -134,32 +158,26 @@ def repeated_ranges(texts: DataFrame, length: int = 200, gram: int = GRAM) -> Da
     classes = keep(
         _classes(texts, length, gram).groupBy("key").agg(
             F.count("*").alias("copies"),
-            F.first(F.struct("first", "second", "a", "b", "p")).alias("s"),
-        ).select("key", "copies", "s.*"),
+            F.first(F.struct("first", "second", "a", "windows", "before")).alias("s"),
+        ).select("key", "copies", "s.*").withColumn("id", F.monotonically_increasing_id()),
         "repeats-classes",
     )
     rows = classes.select(
-        "key", F.explode(F.arrays_zip("first", "second", "a", "b", "p")).alias("s")
-    ).select("key", "s.*")
+        "id", F.explode(F.arrays_zip("first", "second", "a", "windows", "before")).alias("s")
+    ).select("id", "s.*")
 
     # First digit, over all stretches.
     groups = (
         rows.groupBy("first")
         .agg(F.count("*").alias("n"), F.min("second").alias("low"), F.max("second").alias("high"))
-        .where("n > 1")
+        .where("n > 1").select("first", (F.col("low") != F.col("high")).alias("mixed"))
     )
-    met = keep(
-        rows.join(groups, "first").select(
-            "key", "first", "second", "a", "b", "p", (F.col("low") != F.col("high")).alias("mixed")
-        ),
-        "repeats-met",
-    )
-    agreed = met.where("not mixed")
+    met = keep(rows.join(groups, "first"), "repeats-met")
 
     # Second digit, in the groups that do not agree in it. ``of``: one member for all.
     second = keep(
         met.where("mixed").groupBy("first", "second").agg(
-            F.count("*").alias("n"), F.min(F.struct("key", "a", "b", "p")).alias("of")
+            F.count("*").alias("n"), F.min(F.struct("id", "a", "windows", "before")).alias("of")
         ),
         "repeats-second",
     )
@@ -167,32 +185,67 @@ def repeated_ranges(texts: DataFrame, length: int = 200, gram: int = GRAM) -> Da
         second.where("n > 1").select("first", "second"), ["first", "second"], "left_semi"
     )
 
-    # Last digit. Equal texts are one class, so any of them has the wanted stretches.
-    wanted = second.groupBy(F.col("of.key").alias("key")).agg(
-        F.collect_list(F.struct("first", "second", "of.a", "of.b", "of.p", "n")).alias("stretches")
+    # Third digit. Equal texts are one class, so any of them has the wanted stretches.
+    wanted = (
+        second.groupBy("of.id").agg(F.collect_list(F.struct(
+            "first", "of.a", "of.windows", "of.before", (F.col("n") == 1).alias("alone"))).alias("stretches"))
+        .join(classes.select("id", "key"), "id")
     )
-    windows = keep(
-        _last_digits(texts.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key"), length),
-        "repeats-windows",
+    bodies = texts.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
+    blocks = keep(_blocks(bodies.select("id", "text", "stretches"), length), "repeats-blocks")
+    sides = F.xxhash64("left", "right", "low", "high")
+    thirds = (
+        blocks.groupBy("first", "third")
+        .agg(F.count("*").alias("n"), F.min(sides).alias("least"), F.max(sides).alias("most"))
+        .where("n > 1").select("first", "third", (F.col("least") != F.col("most")).alias("mixed"))
     )
-    repeated = (
-        windows.groupBy("first", "last")
-        .agg(F.min("second").alias("low"), F.max("second").alias("high"))
-        .where("low != high")
+    met_blocks = keep(blocks.join(thirds, ["first", "third"]), "repeats-met-blocks")
+
+    # Last digit, block by block and then window by window.
+    block = ["first", "third", "low", "high", "left", "right"]
+    last = keep(
+        met_blocks.where("mixed").groupBy(*block).agg(
+            F.count("*").alias("n"), F.min(F.struct("id", "p", "alone")).alias("of")),
+        "repeats-last",
     )
-    single = windows.where("alone").join(repeated, ["first", "last"], "left_semi").withColumn(
-        "b", F.col("at")).withColumn("a", F.col("at"))
-
-    found = [x.select("key", F.struct("a", (F.col("b") + length).alias("end")).alias("range"))
-             for x in (agreed, same, single)]
-    ranges = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("key").agg(
-        F.collect_list("range").alias("ranges")
+    same_blocks = met_blocks.where("mixed and alone").join(
+        last.where("n > 1").select(*block), block, "left_semi")
+    place = F.col("distance") % BLOCK
+    windows = (
+        last.withColumn("distance", F.explode(F.sequence("low", "high")))
+        .select(
+            "first", "third", "distance",
+            F.concat(F.substring("left", F.col("high") - F.col("distance") + 1, place.cast("int")),
+                     F.substring("right", F.lit(1), (BLOCK - 1 - place).cast("int"))).alias("rest"),
+            "of.id", (F.col("of.p") - F.col("distance")).alias("a"),
+            ((F.col("n") == 1) & F.col("of.alone")).alias("alone"))
+    )
+    windows = keep(windows, "repeats-windows")
+    window = ["first", "third", "distance", "rest"]
+    repeated = windows.groupBy(*window).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    single = windows.where("alone").join(repeated, window, "left_semi")
+
+    def ranges_of(found: DataFrame, a: str, windows: str) -> DataFrame:
+        return found.select("id", F.struct(
+            F.expr(a).cast("int").alias("a"),
+            F.expr(f"{a} + {windows} + {length - 1}").cast("int").alias("end")).alias("range"))
+
+    ranges = (
+        ranges_of(met.where("not mixed"), "a", "windows")
+        .unionByName(ranges_of(same, "a", "windows"))
+        .unionByName(ranges_of(met_blocks.where("not mixed and alone"), "p - high", "high - low + 1"))
+        .unionByName(ranges_of(same_blocks, "p - high", "high - low + 1"))
+        .unionByName(ranges_of(single, "a", "1"))
+        .groupBy("id").agg(F.collect_list("range").alias("ranges"))
     )
-    return (
-        classes.select("key", (F.col("copies") > 1).alias("whole"))
-        .join(ranges, "key", "left")
+    found = keep(
+        classes.select("id", "key", (F.col("copies") > 1).alias("whole")).join(ranges, "id", "left")
         .where("whole or ranges is not null")
+        .select("key", "whole", F.when(~F.col("whole"), F.col("ranges")).alias("ranges")),
+        "repeats-ranges",
     )
+    discard(classes, met, second, blocks, met_blocks, last, windows)
+    return found
 
 
 def cut(text: bytes, whole: bool, ranges: list[dict] | None) -> tuple[bytes, int, int]:

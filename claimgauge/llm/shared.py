@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -63,4 +64,22 @@ def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does when their plans are
+    collected as garbage; else they stay until the driver happens to run out of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*kept: DataFrame) -> None:
+    """Deletes tables that ``keep`` wrote and nothing reads any more."""
+    for df in kept:
+        files = df.inputFiles()
+        if files:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
