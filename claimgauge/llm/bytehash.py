@@ -78,11 +78,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False
-          ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words are runs of other bytes than ASCII white space: (hash of each, its row, words per row)."""
-    if lower:
-        data = _LOWER[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words are runs of other bytes than ASCII white space: (begin, end, words per row)."""
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -94,6 +91,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False
     first[both] = True
     last[both - 1] = True
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    counts = np.searchsorted(begin, offsets[1:]) - np.searchsorted(begin, offsets[:-1])
-    hashes = span(prefixes(data), begin, end)
-    return hashes, np.repeat(np.arange(len(counts)), counts), counts
+    return begin, end, np.searchsorted(begin, offsets[1:]) - np.searchsorted(begin, offsets[:-1])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its row, words per row); ``lower`` turns A-Z to a-z first."""
+    if lower:
+        data = _LOWER[data]
+    begin, end, counts = word_spans(data, offsets)
+    return span(prefixes(data), begin, end), np.repeat(np.arange(len(counts)), counts), counts

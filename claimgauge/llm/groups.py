@@ -60,7 +60,8 @@ def in_blocks(members: DataFrame, group: str, member: str, most: int) -> DataFra
     goes to every pair of lots that has its own. So every pair of members meets in one (group,
     lot_a, lot_b), and no such meeting has more than about 2 * ``most`` members.
     """
-    sizes = members.groupBy(group).agg(F.count("*").alias("__n")).where("__n > 1")
+    # Written, so that Spark can split the join at a hot group.
+    sizes = keep(members.groupBy(group).agg(F.count("*").alias("__n")).where("__n > 1"), "group-sizes")
     lots = F.ceil(F.col("__n") / most).cast("int")
     own = F.pmod(F.xxhash64(member, F.lit(7)), F.col("lots")).cast("int")
     return (

@@ -167,10 +167,12 @@ def repeated_ranges(texts: DataFrame, length: int = 200, gram: int = GRAM) -> Da
     ).select("id", "s.*")
 
     # First digit, over all stretches.
-    groups = (
+    # The groups are a written table, here and below, so that Spark can split the join at a hot digit.
+    groups = keep(
         rows.groupBy("first")
         .agg(F.count("*").alias("n"), F.min("second").alias("low"), F.max("second").alias("high"))
-        .where("n > 1").select("first", (F.col("low") != F.col("high")).alias("mixed"))
+        .where("n > 1").select("first", (F.col("low") != F.col("high")).alias("mixed")),
+        "repeats-groups",
     )
     met = keep(rows.join(groups, "first"), "repeats-met")
 
@@ -194,10 +196,11 @@ def repeated_ranges(texts: DataFrame, length: int = 200, gram: int = GRAM) -> Da
     bodies = texts.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
     blocks = keep(_blocks(bodies.select("id", "text", "stretches"), length), "repeats-blocks")
     sides = F.xxhash64("left", "right", "low", "high")
-    thirds = (
+    thirds = keep(
         blocks.groupBy("first", "third")
         .agg(F.count("*").alias("n"), F.min(sides).alias("least"), F.max(sides).alias("most"))
-        .where("n > 1").select("first", "third", (F.col("least") != F.col("most")).alias("mixed"))
+        .where("n > 1").select("first", "third", (F.col("least") != F.col("most")).alias("mixed")),
+        "repeats-thirds",
     )
     met_blocks = keep(blocks.join(thirds, ["first", "third"]), "repeats-met-blocks")
 
@@ -222,7 +225,8 @@ def repeated_ranges(texts: DataFrame, length: int = 200, gram: int = GRAM) -> Da
     )
     windows = keep(windows, "repeats-windows")
     window = ["first", "third", "distance", "rest"]
-    repeated = windows.groupBy(*window).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = keep(
+        windows.groupBy(*window).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeats-repeated")
     single = windows.where("alone").join(repeated, window, "left_semi")
 
     def ranges_of(found: DataFrame, a: str, windows: str) -> DataFrame:
@@ -244,7 +248,7 @@ def repeated_ranges(texts: DataFrame, length: int = 200, gram: int = GRAM) -> Da
         .select("key", "whole", F.when(~F.col("whole"), F.col("ranges")).alias("ranges")),
         "repeats-ranges",
     )
-    discard(classes, met, second, blocks, met_blocks, last, windows)
+    discard(classes, groups, met, second, blocks, thirds, met_blocks, last, windows, repeated)
     return found
 
 
@@ -266,11 +270,12 @@ def cut(text: bytes, whole: bool, ranges: list[dict] | None) -> tuple[bytes, int
     return b"".join(left), removed, spans
 
 
-def without_repeats(documents: DataFrame, length: int = 200, text: str = "text", gram: int = GRAM
-                    ) -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = 200, text: str = "text", gram: int = GRAM,
+                    as_text: bool = False) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and ``kept``, the bytes left of each text.
 
-    Columns of these names are replaced; all others stay as they are.
+    Columns of these names are replaced; all others stay as they are. With ``as_text`` kept is a
+    string, without the parts of characters that a cut left over.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     documents = documents.drop(*added)
@@ -281,7 +286,7 @@ def without_repeats(documents: DataFrame, length: int = 200, text: str = "text",
                            F.col("ranges").alias("__ranges"))
     schema = T.StructType([
         *documents.schema.fields, *(T.StructField(x, T.LongType()) for x in added[:3]),
-        T.StructField("kept", T.BinaryType()),
+        T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
     ])
 
     names = documents.columns
@@ -295,7 +300,8 @@ def without_repeats(documents: DataFrame, length: int = 200, text: str = "text",
             columns += [pa.array(map(len, texts), pa.int64()),
                         pa.array((d[1] for d in done), pa.int64()),
                         pa.array((d[2] for d in done), pa.int64()),
-                        pa.array((d[0] for d in done), pa.binary())]
+                        pa.array((d[0].decode("utf-8", "ignore") for d in done), pa.string()) if as_text
+                        else pa.array((d[0] for d in done), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     return keyed.join(ranges, "__key", "left").mapInArrow(remove, schema)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgauge.llm.bytehash import mix, packed, prefixes, span, words
+from claimgauge.llm.bytehash import mix, packed, prefixes, span, word_spans, words
 
 #: Labellers: statistic, bad below, good from, good up to, bad above. None: no such vote.
 LABELLERS = (
@@ -29,6 +29,9 @@ LABELLERS = (
     ("chars_per_word", 1.5, 3.0, 10.0, 14.0),
     ("upper_share", None, None, 0.15, 0.4),
     ("mark_share", None, None, 0.003, 0.02),
+    ("marked_words", None, None, 0.02, 0.1),
+    ("mark_runs", None, None, 0.01, 0.05),
+    ("bare_words", None, None, 0.01, 0.05),
     ("digit_share", None, None, 0.05, 0.2),
     ("distinct_share", 0.25, 0.4, None, None),
     ("repeated_words", None, None, 0.02, 0.1),
@@ -40,14 +43,19 @@ BUCKETS = 1 << 16
 ROUNDS = 100
 EM_ROUNDS = 50
 LEAST_SCORE = 0.5
+#: What a labeller's accuracy may be. The thresholds are such that few good documents get a bad vote;
+#: bad documents are of several kinds, and each kind is noticed by some labellers only.
+ON_GOOD = (0.99, 0.9999)
+ON_BAD = (0.3, 0.99)
 
 _KIND = np.full(256, 97, np.uint8)  # shape of a byte: A, a, 0, or itself
 _KIND[:128] = np.arange(128)
 _KIND[65:91] = 65
 _KIND[97:123] = 97
 _KIND[48:58] = 48
+_ALNUM = (np.arange(256) >= 128) | np.isin(_KIND, [48, 65, 97])
 _MARKS = np.zeros(256, bool)
-_MARKS[[ord(c) for c in "!?|*#$%&<>=~^"]] = True
+_MARKS[[ord(c) for c in "!|*#$%&<>~^"]] = True
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -65,9 +73,21 @@ def _distinct(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The labellers' statistics of each text, and its words for the features."""
     rows = len(offsets) - 1
-    hashes, row, counts = words(data, offsets)
+    begin, end, counts = word_spans(data, offsets)
+    hashes, row = span(prefixes(data), begin, end), np.repeat(np.arange(rows), counts)
     n = counts.astype(float)
     space = np.isin(data, [9, 10, 11, 12, 13, 32])
+    marks = _MARKS[data]
+    runs = marks.copy()
+    runs[:-1] &= data[1:] == data[:-1]
+    runs[-1:] = False
+
+    def share_of_words(flags: np.ndarray, none: bool = False) -> np.ndarray:
+        """Words with a flagged byte, or with none."""
+        total = np.r_[0, np.cumsum(flags)]
+        met = (total[end] > total[begin]) != none
+        return np.bincount(row[met], minlength=rows) / np.maximum(n, 1)
+
     chars = np.maximum(_sums(~space, offsets), 1)
     letters = _sums(~space & (data & 0xC0 != 0x80), offsets)  # characters, not bytes
     fours = mix(mix(mix(hashes[3:] * np.uint64(3) + hashes[2:-1]) + hashes[1:-2]) + hashes[:-3])
@@ -82,7 +102,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_words": n,
         "chars_per_word": letters / np.maximum(n, 1),
         "upper_share": _sums((data >= 65) & (data <= 90), offsets) / chars,
-        "mark_share": _sums(_MARKS[data], offsets) / chars,
+        "mark_share": _sums(marks, offsets) / chars,
+        "marked_words": share_of_words(marks),
+        "mark_runs": share_of_words(runs),
+        "bare_words": share_of_words(_ALNUM[data], none=True),
         "digit_share": _sums((data >= 48) & (data <= 57), offsets) / chars,
         "distinct_share": np.where(n > 0, _distinct(row, hashes, rows) / np.maximum(n, 1), 1.0),
         "repeated_words": 1 - (_distinct(four_row, fours, rows) + (np.bincount(four_row, minlength=rows) == 0)) / n_fours,
@@ -150,9 +173,10 @@ def expectation_maximisation(patterns: list[str], counts: list[int], rounds: int
         on_bad = np.log(1 - prior) + (bad_vote * np.log(accuracy[:, 0]) + good_vote * np.log(1 - accuracy[:, 0])).sum(1)
         posterior = 1 / (1 + np.exp(np.clip(on_bad - on_good, -500, 500)))
         good, bad = posterior * n, (1 - posterior) * n
-        # Two votes of the prior accuracy each keep a labeller without evidence where it began.
+        # Ten votes of the first accuracy keep a labeller without evidence where it began.
         accuracy[:, 1] = (good @ good_vote + 8) / (good @ (good_vote | bad_vote) + 10)
         accuracy[:, 0] = (bad @ bad_vote + 8) / (bad @ (good_vote | bad_vote) + 10)
+        accuracy = np.clip(accuracy, [ON_BAD[0], ON_GOOD[0]], [ON_BAD[1], ON_GOOD[1]])
         prior = float(np.clip(good.sum() / n.sum(), 0.01, 0.99))
     return dict(zip(patterns, posterior.tolist(), strict=True)), accuracy
 
