@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -69,7 +70,7 @@ def test_filter_counts_are_close_and_rarely_false():
     items = np.arange(1, 4001, dtype=np.uint64) << np.uint64(20)
     levels = np.arange(4000) % 12 + 1
     blocks = 1 + int(levels.sum()) * lm_score.BITS // (lm_score.BLOCK_BYTES * 8)
-    held = lm_score.Filter({}, blocks)
+    held = lm_score.Filter(np.empty(0, int), pa.array([], pa.binary()), blocks)
     bits = np.unpackbits(held.bits, bitorder="little").astype(bool)
     for q in range(1, 13):
         mine = items[levels >= q]
