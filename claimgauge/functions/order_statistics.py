@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 
 from claimgauge.sources.staging import Staging
 
-BUCKETS = 128
-_MARGIN = 5  # half the bracket of a median, in units of the guaranteed error
-_ROW_BITS = 33  # monotonically_increasing_id: partition above, row number below
+BUCKETS = 128  # at least; more where Spark shuffles to more partitions
 
 
-def cumulative_counts(frame: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
+def cumulative_counts(frame: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """One row per distinct value: `value`, `up_to` (rows at or below it), `n` (all rows)."""
+    inside = Window.partitionBy("bucket").orderBy("value")
+    return _bucketed(frame, column, buckets).select(
+        "value", (F.col("before") + F.sum("weight").over(inside)).alias("up_to"), "n"
+    )
+
+
+def _bucketed(frame: DataFrame, column: str, buckets: int | None) -> DataFrame:
+    """Distinct values with their `weight` (rows), their bucket, the rows in it (`inside`), in the
+    buckets before it (`before`) and in all (`n`)."""
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(BUCKETS, 4 * partitions)
     counts = (
         frame.where(F.col(column).isNotNull())
         .groupBy(F.col(column).alias("value"))
@@ -36,71 +45,33 @@ def cumulative_counts(frame: DataFrame, column: str, buckets: int = BUCKETS) ->
     in_order = Window.orderBy("bucket")
     before = sizes.select(
         "bucket",
+        "inside",
         (F.sum("inside").over(in_order) - F.col("inside")).alias("before"),
         F.sum("inside").over(Window.partitionBy()).alias("n"),
     )
-    inside = Window.partitionBy("bucket").orderBy("value")
-    return bucketed.join(F.broadcast(before), "bucket").select(
-        "value", (F.col("before") + F.sum("weight").over(inside)).alias("up_to"), "n"
-    )
+    return bucketed.join(F.broadcast(before), "bucket")
 
 
 def median(frame: DataFrame, column: str, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """One row, one column. Exact: the mean of the two middle values. Otherwise an existing value.
 
-    Exact medians take two passes. The first brackets the middle by approximate quantiles, whose
-    error in rank is bounded by 1/accuracy of the rows. The second counts the rows below the
-    bracket and gathers the distinct values inside it, a thousandth of all rows at the usual
-    accuracy, among which it takes the middle positions. A bracket that missed them would stop
-    the job.
+    An exact median looks only into the buckets that hold the two middle positions, and takes there
+    the first value that as many rows lie at or below. Nothing is gathered into one row.
     """
-    x = F.col(column)
     if not exact:
-        return frame.agg(F.percentile_approx(x, 0.5, accuracy).cast("double").alias("median"))
-    margin = _MARGIN / accuracy
-    sides = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
-    bracket = frame.agg(F.percentile_approx(x, sides, accuracy)).scalar()
-    value, weight = F.col("value"), F.col("weight")
-    counts = frame.where(x.isNotNull()).groupBy(x.alias("value")).agg(
-        F.count(F.lit(1)).alias("weight")
-    )
-    placed = counts.withColumn("_bracket", bracket)
-    low, high = F.get("_bracket", F.lit(0)), F.get("_bracket", F.lit(1))
-    near = F.when((value >= low) & (value <= high), F.struct("value", "weight"))
-    facts = placed.agg(
-        F.sum("weight").alias("n"),
-        F.coalesce(F.sum(F.when(value < low, weight)), F.lit(0)).alias("below"),
-        F.sort_array(F.collect_list(near)).alias("near"),
-    )
-    lower = _value_at("near", F.floor((F.col("n") - 1) / 2) - F.col("below"))
-    upper = _value_at("near", F.floor(F.col("n") / 2) - F.col("below"))
-    middle = (lower.cast("double") + upper.cast("double")) / 2
-    missed = F.raise_error(F.lit("the bracket misses the median")).cast("double")
-    return facts.select(
-        F.when(F.col("n").isNull(), F.lit(None).cast("double"))
-        .otherwise(F.coalesce(middle, missed))
-        .alias("median")
+        approximate = F.percentile_approx(F.col(column), 0.5, accuracy)
+        return frame.agg(approximate.cast("double").alias("median"))
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    near = _bucketed(frame, column, None).where(
+        (F.col("before") < upper) & (F.col("before") + F.col("inside") >= lower)
     )
+    inside = Window.partitionBy("bucket").orderBy("value")
+    placed = near.withColumn("up_to", F.col("before") + F.sum("weight").over(inside))
 
+    def first_at(position: Column) -> Column:
+        return F.min(F.when(F.col("up_to") >= position, F.col("value"))).cast("double")
 
-def _value_at(weighted: str, position: Column) -> Column:
-    """The value at a position, counting from 0, of a sorted array of (value, weight)."""
-    # The running weight goes down with every element passed; the first to reach zero is wanted.
-    start = F.struct(
-        (position + 1).cast("bigint").alias("left"),
-        F.get(weighted, F.lit(0))["value"].alias("value"),
-    )
-    last = F.aggregate(
-        weighted,
-        start,
-        lambda seen, element: F.when(seen["left"] <= 0, seen).otherwise(
-            F.struct(
-                (seen["left"] - element["weight"]).alias("left"), element["value"].alias("value")
-            )
-        ),
-    )
-    inside = (position >= 0) & (last["left"] <= 0)
-    return F.when(inside, last["value"])
+    return placed.agg(((first_at(lower) + first_at(upper)) / 2).alias("median"))
 
 
 def global_rank(frame: DataFrame, order: list[Column], name: str, staging: Staging) -> DataFrame:
@@ -110,15 +81,15 @@ def global_rank(frame: DataFrame, order: list[Column], name: str, staging: Stagi
     ranges (one small row per range) plus its place in its own.
     """
     ordered = frame.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = staging.keep(ordered.withColumn("_place", F.monotonically_increasing_id()), name)
-    placed = placed.withColumn("_range", F.shiftright("_place", _ROW_BITS))
+    placed = staging.keep(ordered.withColumns(
+        {"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), name)
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select(
         "_range",
         (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"),
     )
-    in_range = F.col("_place") - F.shiftleft("_range", _ROW_BITS)
-    ranked = placed.join(F.broadcast(before), "_range")
+    in_range = F.row_number().over(Window.partitionBy("_range").orderBy("_place"))
+    ranked = placed.withColumn("_in_range", in_range).join(F.broadcast(before), "_range")
     return ranked.select(
-        (F.col("_before") + in_range + 1).alias("rank"), *[F.col(c) for c in frame.columns]
+        (F.col("_before") + F.col("_in_range")).alias("rank"), *[F.col(c) for c in frame.columns]
     )

@@ -205,9 +205,8 @@ def nos_findings(profile: DataFrame, config: ScanConfig) -> DataFrame:
 def visit_halves(procedure: DataFrame, config: ScanConfig) -> DataFrame:
     """Visit claims of each provider: mean level in the earlier and in the later half of its months."""
     codes = [code for code, _ in config.visit_levels]
-    level = F.create_map(*[F.lit(x) for pair in config.visit_levels for x in pair])[
-        F.col("procedure_code")
-    ]
+    levels = F.create_map(*[F.lit(x) for pair in config.visit_levels for x in pair])
+    level = levels.cast("map<string,int>")[F.col("procedure_code")]
     by_month = (
         procedure.where(F.col("procedure_code").isin(*codes))
         .groupBy("npi", "service_month")

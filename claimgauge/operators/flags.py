@@ -35,6 +35,8 @@ def all_flags(findings: dict[str, DataFrame], config: ScanConfig) -> DataFrame:
         for flag_type in fv.FLAG_ORDER
         if flag_type in findings and flag_type in config.flag_types
     ]
+    if not parts:
+        return no_flags(next(iter(findings.values())).sparkSession)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -14,7 +14,7 @@ from claimgauge.sources.staging import Staging
 
 
 def build_dossiers(
-    claims: DataFrame,
+    cells: DataFrame,
     totals: DataFrame,
     registry: DataFrame | None = None,
     results: DataFrame | None = None,
@@ -22,14 +22,18 @@ def build_dossiers(
     subjects: DataFrame | None = None,
     staging: Staging | None = None,
 ) -> DataFrame:
-    """One row per provider in `claims`, or per subject that has claims.
+    """One row per provider in `cells`, or per subject that has any.
 
-    `totals` are those of all providers, the peers. `registry` is a normalized registry or rows
+    `cells` are the claims summed by provider, procedure and month (`claim_cells`), or the claims
+    themselves; a scan of the same claims has the cells already. They are cut to the subjects after that sum, so a provider with very
+    many claims has been combined before it travels. `totals` are those of all providers, the peers. `registry` is a normalized registry or rows
     read from service answers. Providers without a scan result have score 0 and no flags.
     """
-    staging = staging or Staging(claims.sparkSession)
-    asked = claims if subjects is None else keep_providers(claims, subjects)
-    cells = staging.keep(claim_cells(asked), "dossier-cells")
+    staging = staging or Staging(cells.sparkSession)
+    if "row_count" not in cells.columns:
+        cells = claim_cells(cells)
+    asked = cells if subjects is None else keep_providers(cells, subjects)
+    cells = staging.keep(asked, "dossier-cells")
     summary = sections.claims_summary(cells)
     fields = [c for c in summary.columns if c != "npi"]
     dossier = summary.select("npi", F.struct(*fields).alias("claims_summary"))
@@ -74,7 +78,7 @@ def profile(
         staging = staging or Staging(claims.sparkSession)
         totals = staging.keep(provider_totals(claims), "totals")
     subject = totals.where(F.col("npi") == npi).select("npi")
-    return build_dossiers(own, totals, subjects=subject, staging=staging, **others)
+    return build_dossiers(claim_cells(own), totals, subjects=subject, staging=staging, **others)
 
 
 def _with_provider(dossier: DataFrame, registry: DataFrame | None) -> DataFrame:

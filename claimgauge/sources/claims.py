@@ -9,13 +9,21 @@ from pyspark.sql import types as T
 from claimgauge import fixed_values as fv
 from claimgauge.schema import CLAIMS
 
+#: CSV as it is published: quotes inside quoted fields are doubled, a backslash is a backslash.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
 _RAW_OF = {name: raw for raw, name in fv.CLAIM_COLUMNS}
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """The file as it is. CSV columns stay text and are taken by their header names."""
+def read_raw(
+    spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """The file as it is. CSV columns stay text and are taken by their header names.
+
+    `multi_line` is for CSV with line breaks inside fields; such files cannot be split.
+    """
     fmt = fmt or ("csv" if path.lower().endswith((".csv", ".csv.gz")) else "parquet")
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    reader = spark.read.options(**CSV, multiLine=multi_line) if fmt == "csv" else spark.read
     return reader.format(fmt).load(path)
 
 
@@ -67,4 +75,13 @@ def _typed(frame: DataFrame, source: str, wanted: T.DataType) -> Column:
         column = column.cast("bigint")  # an identifier read as 1.0E9 is still a whole number
     if isinstance(have, T.StringType):
         column = F.nullif(F.trim(column), F.lit(""))
+        if isinstance(wanted, T.IntegralType):
+            return _whole(column, wanted)
     return column.cast(wanted)
+
+
+def _whole(text: Column, wanted: T.DataType) -> Column:
+    """A whole number, also one written as `2.0`. Anything else stops the job."""
+    value = text.cast("decimal(38,6)")
+    broken = F.raise_error(F.concat(F.lit("not a whole number: "), text)).cast(wanted)
+    return F.when((value == F.floor(value)) | value.isNull(), value.cast(wanted)).otherwise(broken)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from claimgauge import fixed_values as fv
 from claimgauge.functions.expressions import filled, or_blank, prefix
 from claimgauge.schema import REGISTRY_ANSWER
+from claimgauge.sources.claims import CSV
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
+def read_registry(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """The used columns of the extracted registry file, all text. Only they are parsed."""
-    return normalize_registry(spark.read.option("header", True).csv(path))
+    return normalize_registry(spark.read.options(**CSV, multiLine=multi_line).csv(path))
 
 
 def normalize_registry(frame: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from claimgauge.config import ScanRequest
 from claimgauge.functions.expressions import number
 from claimgauge.operators.scoring import ranked, top
 from claimgauge.schema import SCAN_PAYLOAD
+from claimgauge.sources.claims import CSV
 from claimgauge.sources.staging import Staging
 
 _SHOWN = ("npi", "overall_score", "num_flags", "flag_types", "red_flags")
@@ -26,25 +27,29 @@ def csv_rows(numbered: DataFrame) -> DataFrame:
 
 def write_csv(results: DataFrame, path: str, staging: Staging | None = None) -> None:
     """All results, numbered, best first. Every task writes its own range of ranks."""
-    staging = staging or Staging(results.sparkSession)
-    rows = csv_rows(ranked(results, staging))
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    own = staging or Staging(results.sparkSession)
+    rows = csv_rows(ranked(results, own))
+    rows.write.mode("overwrite").options(**CSV).csv(path)
+    if staging is None:
+        own.close()
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = "rank bigint, npi string, score double, num_flags bigint, flag_types string"
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV).csv(path)
 
 
 def payload(
     results: DataFrame, request: ScanRequest, staging: Staging | None = None
 ) -> DataFrame:
-    """One row: how many results there are, the first of them in full, and what was asked.
+    """One row: how many results reach the asked threshold, the first of them in full, and what was
+    asked. A state asked for is applied by the scan (`plans.request.scan_request`), not here.
 
     The request allows 500 providers at most, so the row stays small. The results are written
     once, because they are both counted and searched for the first.
     """
-    results = (staging or Staging(results.sparkSession)).keep(results, "results")
+    asked = results.where(F.col("overall_score") >= request.threshold)
+    results = (staging or Staging(results.sparkSession)).keep(asked, "results")
     listed = top(results, request.top).agg(
         F.sort_array(F.collect_list(F.struct("rank", *_SHOWN))).alias("_first")
     )

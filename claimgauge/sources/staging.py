@@ -12,15 +12,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder made for a local session that names none.
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`, or the context's checkpoint folder. A local session needs neither; a
+    cluster must name a folder that is not on one machine."""
+    local = spark.sparkContext.master.startswith("local")
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
+        if not local and folder.startswith("file:"):
+            raise RuntimeError(f"{folder} is a folder of one machine; executors cannot share it")
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="claimgauge-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="claimgauge-"))
+    return _LOCAL[0]
 
 
 class Staging:
@@ -35,6 +44,12 @@ class Staging:
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
     def close(self) -> None:
         """Delete this job's tables. Frames that read them cannot be used afterwards."""
         jvm = self.spark._jvm

@@ -17,14 +17,16 @@ def write_summaries(claims: DataFrame, folder: str, staging: Staging | None = No
     A provider's rows lie together, so scans combine them before they shuffle and a lookup reads
     few files, while a provider with very many rows still spans several ranges.
     """
-    staging = staging or Staging(claims.sparkSession)
-    cells = staging.keep(S.claim_cells(claims), "cells")
+    own = staging or Staging(claims.sparkSession)
+    cells = own.keep(S.claim_cells(claims), "cells")
     for name, frame, keys in (
         (MONTHLY, S.monthly_of_cells(cells), S.MONTHLY_KEY),
         (PROCEDURE, S.procedure_of_cells(cells), S.PROCEDURE_KEY),
     ):
         ranged = frame.repartitionByRange(*keys).sortWithinPartitions(*keys)
         ranged.write.mode("overwrite").parquet(f"{folder}/{name}")
+    if staging is None:
+        own.close()
 
 
 def read_summaries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,7 @@ import pytest
 from claimgauge.config import ScanConfig
 from claimgauge.operators import detectors as D
 from claimgauge.operators import summaries as S
-from tests.conftest import CLEAN, CONSISTENT, FILLERS, REVENUE, SPIKE, VOLUME, month
+from tests.conftest import QUIET, STEADY, CROWD, COSTLY, BURST, BUSY, month
 
 CONFIG = ScanConfig()
 
@@ -21,7 +21,7 @@ def close(value):
 def test_volume_flags_one_month(monthly):
     rows = D.volume_findings(monthly, CONFIG).collect()
     assert [(r.npi, r.service_month, r.total_claims, r.severity) for r in rows] == [
-        (VOLUME, month(7), 5000, 1.0)
+        (BUSY, month(9), 3600, close(0.8))
     ]
 
 
@@ -32,18 +32,19 @@ def test_volume_boundary_and_severity(monthly_rows):
 
 
 def test_volume_skips_registry_organizations(spark, monthly):
-    organizations = spark.createDataFrame([(VOLUME,)], "npi string")
+    organizations = spark.createDataFrame([(BUSY,)], "npi string")
     assert D.volume_findings(monthly, CONFIG, organizations).isEmpty()
 
 
 @pytest.mark.parametrize("codes, flagged", [
-    ([("H0043", 6000), ("99214", 100)], False),
-    ([("99214", 5000), ("H0043", 50)], True),
-    ([("99214", 700), ("H0043", 700)], True),  # equal counts go to the lower code
-    ([("H0043", 700), ("J0001", 700)], False),
+    ([("T1019", 41), ("97110", 40)], False),  # one claim decides
+    ([("T1019", 40), ("97110", 41)], True),
+    ([("T1019", 40), ("97110", 40)], True),  # equal counts go to the lower code
+    ([("T1019", 40), ("V2020", 40)], False),
+    ([("H2019", 20), ("T1016", 20), ("97110", 21)], True),  # codes count one by one
 ])
 def test_volume_and_leading_organization_code(monthly, procedure_rows, codes, flagged):
-    procedure = procedure_rows([(VOLUME, c, month(7), n, 1000) for c, n in codes])
+    procedure = procedure_rows([(BUSY, c, month(9), n, 1000) for c, n in codes])
     candidates = D.volume_candidates(monthly, CONFIG)
     excluded = D.volume_exclusions(procedure, CONFIG, candidates)
     assert D.volume_findings(monthly, CONFIG, excluded).isEmpty() != flagged
@@ -57,20 +58,20 @@ def test_volume_and_leading_organization_code(monthly, procedure_rows, codes, fl
 def test_revenue_baseline_and_flag(totals):
     qualified = S.qualifying(totals, CONFIG)
     baseline = D.revenue_baseline(qualified, CONFIG).collect()[0]
-    assert (baseline.median, baseline.mad) == (1400.0, 300.0)
+    assert (baseline.median, baseline.mad) == (1850.0, 375.0)
     rows = by_npi(D.revenue_findings(qualified, CONFIG))
-    assert set(rows) == {REVENUE}
-    row = rows[REVENUE]
-    assert row.paid_per_claim == 10000.0 and row.severity == 1.0
-    assert row.z == pytest.approx(19.3354, abs=1e-4)
+    assert set(rows) == {COSTLY}
+    row = rows[COSTLY]
+    assert row.paid_per_claim == 12000.0 and row.severity == 1.0
+    assert row.z == pytest.approx(18.2562, abs=1e-4)
 
 
 def test_revenue_scope_keeps_the_national_baseline(spark, totals):
     qualified = S.qualifying(totals, CONFIG)
-    only = spark.createDataFrame([(REVENUE,)], "npi string")
+    only = spark.createDataFrame([(COSTLY,)], "npi string")
     row = D.revenue_findings(qualified, CONFIG, scope=only).collect()[0]
-    assert row.npi == REVENUE and row.median == 1400.0
-    other = spark.createDataFrame([(SPIKE,)], "npi string")
+    assert row.npi == COSTLY and row.median == 1850.0
+    other = spark.createDataFrame([(BURST,)], "npi string")
     assert D.revenue_findings(qualified, CONFIG, scope=other).isEmpty()
 
 
@@ -101,10 +102,10 @@ def test_revenue_approximate_median_is_an_existing_value(spark):
 def test_spikes(monthly, totals):
     history = S.provider_history(monthly)
     rows = by_npi(D.spike_findings(history, CONFIG))
-    assert set(rows) == {VOLUME, SPIKE}
-    assert rows[SPIKE].ratio == close(5.384615) and rows[SPIKE].severity == close(0.538462)
-    assert rows[VOLUME].ratio == close(6.25) and rows[VOLUME].severity == close(0.625)
-    assert all(r.service_month == month(7) and r.months == 7 for r in rows.values())
+    assert set(rows) == {BUSY, BURST}
+    assert rows[BURST].ratio == close(6.308411) and rows[BURST].severity == close(0.630841)
+    assert rows[BUSY].ratio == close(7.5) and rows[BUSY].severity == close(0.75)
+    assert all(r.service_month == month(9) and r.months == 9 for r in rows.values())
 
 
 def test_spike_history_counts_months_with_paid_only(monthly_rows):
@@ -124,11 +125,11 @@ def test_spike_history_counts_months_with_paid_only(monthly_rows):
 
 def test_consistency(procedure):
     rows = by_npi(D.consistency_findings(D.code_profile(procedure, CONFIG), CONFIG))
-    assert set(rows) == {VOLUME, REVENUE, SPIKE, CONSISTENT, *FILLERS}
-    assert CLEAN not in rows
-    assert rows[CONSISTENT].share == close(0.810811) and rows[CONSISTENT].cv == 0.0
-    assert rows[CONSISTENT].severity == close(0.810811)
-    assert rows[CONSISTENT].procedure_code == "99214" and rows[CONSISTENT].months == 6
+    assert set(rows) == {BUSY, COSTLY, BURST, STEADY, *CROWD}
+    assert QUIET not in rows
+    assert rows[STEADY].share == close(0.8) and rows[STEADY].cv == 0.0
+    assert rows[STEADY].severity == close(0.8)
+    assert rows[STEADY].procedure_code == "99204" and rows[STEADY].months == 8
 
 
 def steady(npi, code, paid, claims=10, months=3):

@@ -14,13 +14,13 @@ from claimgauge.sources.registry import (
 
 COLUMNS = [raw for raw, _ in fv.REGISTRY_COLUMNS]
 ROWS = [
-    ("1111111111", "2", "Acme Health Clinic", "", "", "", "100 Main St", "Charleston", "WV", "25301-0001", "207Q", "WV", ""),
-    ("2222222222", "2", "Acme Medical Group", "", "", "", "200 Oak Ave", "Morgantown", "WV", "26501", "207R", "WV", "2020-01-01"),
-    ("3333333333", "1", "", "Smith", "John", "MD", "300 Pine Rd", "Roanoke", "VA", "24011", "208D", "VA", ""),
-    ("4444444444", "1", "", "Jones", "Jane", "", "400 Elm St", "Richmond", " va ", "23220", "207Q", "VA", ""),
-    ("5555555555", "2", "Mountain Health", "", "", "", "500 Hill Dr", "Beckley", "", "25801", "207R", "wv", " "),
-    ("6666666666", "1", "", "Smithson", "", "", "", "", "", "25302", "", "WV", ""),
-    ("", "2", "Nobody", "", "", "", "", "", "WV", "", "", "", ""),
+    ("1111111111", "2", "Bluefin Rehab Partners", "", "", "", "7 Ropewalk", "Camden", "ME", "04801-0001", "207Q", "ME", ""),
+    ("2222222222", "2", "Bluefin Imaging", "", "", "", "18 Quarry Row", "Orono", "ME", "04401", "207R", "ME", "2020-01-01"),
+    ("3333333333", "1", "", "Okafor", "Tariq", "MD", "29 Tidewater Ln", "Keene", "NH", "03431", "208D", "NH", ""),
+    ("4444444444", "1", "", "Lindqvist", "Maya", "", "31 Foundry Ct", "Dover", " nh ", "03820", "207Q", "NH", ""),
+    ("5555555555", "2", "Harbor Rehab", "", "", "", "42 Lighthouse Way", "Belfast", "", "04915", "207R", "me", " "),
+    ("6666666666", "1", "", "Okaforson", "", "", "", "", "", "04802", "", "ME", ""),
+    ("", "2", "Nobody", "", "", "", "", "", "ME", "", "", "", ""),
 ]
 
 
@@ -48,9 +48,9 @@ def test_organizations(registry):
 
 def test_state_map(registry):
     states = {r.npi: r.state for r in R.state_map(registry).collect()}
-    assert states["3333333333"] == states["4444444444"] == "VA"
-    assert states["5555555555"] == "WV"  # empty practice state: the mailing state
-    assert npis(R.providers_in_state(registry, " wv ")) == [
+    assert states["3333333333"] == states["4444444444"] == "NH"
+    assert states["5555555555"] == "ME"  # empty practice state: the mailing state
+    assert npis(R.providers_in_state(registry, " me ")) == [
         "1111111111", "2222222222", "5555555555", "6666666666"
     ]
 
@@ -58,35 +58,35 @@ def test_state_map(registry):
 def test_state_map_has_one_row_per_provider(spark):
     twice = spark.createDataFrame(
         # A blank is not empty, so the fourth has no fallback.
-        [("1", "", ""), ("1", "WV", "VA"), ("2", "", None), ("3", " ", "WV"), ("4", None, "wv")],
+        [("1", "", ""), ("1", "ME", "NH"), ("2", "", None), ("3", " ", "ME"), ("4", None, "me")],
         "npi string, practice_state string, mailing_state string",
     )
     assert {tuple(r) for r in R.state_map(twice).collect()} == {
-        ("1", "WV"), ("2", ""), ("3", ""), ("4", "WV")
+        ("1", "ME"), ("2", ""), ("3", ""), ("4", "ME")
     }
 
 
 def test_names(registry):
     names = {r.npi: r.n for r in registry.select("npi", R.display_name(registry).alias("n")).collect()}
-    assert names["1111111111"] == "Acme Health Clinic"
-    assert names["3333333333"] == "John Smith, MD"
-    assert names["4444444444"] == "Jane Jones"
-    assert names["6666666666"] == "Smithson"
+    assert names["1111111111"] == "Bluefin Rehab Partners"
+    assert names["3333333333"] == "Tariq Okafor, MD"
+    assert names["4444444444"] == "Maya Lindqvist"
+    assert names["6666666666"] == "Okaforson"
 
 
 @pytest.mark.parametrize("query, state, expected", [
     (" 1111111111 ", None, ["1111111111"]),
     ("9999999999", None, []),
-    ("1111111111", "VA", []),
-    ("acme", None, ["1111111111", "2222222222"]),
-    ("ACME", "wv", ["1111111111", "2222222222"]),
-    ("smith", None, ["3333333333", "6666666666"]),
-    ("jane", None, []),  # first names are not searched
-    ("mountain", "WV", []),  # the filter knows no fallback
+    ("1111111111", "NH", []),
+    ("bluefin", None, ["1111111111", "2222222222"]),
+    ("BLUEFIN", "me", ["1111111111", "2222222222"]),
+    ("okafor", None, ["3333333333", "6666666666"]),
+    ("maya", None, []),  # first names are not searched
+    ("harbor", "ME", []),  # the filter knows no fallback
     ("zz", None, []),
-    ("a.me", None, []),  # text, not a pattern
+    ("bl.e", None, []),  # text, not a pattern
     ("%", None, []),
-    ("jones", "va", ["4444444444"]),
+    ("lindqvist", "nh", ["4444444444"]),
 ])
 def test_search(registry, query, state, expected):
     assert npis(R.search(registry, query, state)) == expected
@@ -96,17 +96,17 @@ def test_search_limit_and_columns(registry):
     found = R.search(registry, "", limit=2).collect()
     assert [r.npi for r in found] == ["1111111111", "2222222222"]
     assert found[0].asDict() == {
-        "npi": "1111111111", "name": "Acme Health Clinic", "address": "100 Main St",
-        "city": "Charleston", "state": "WV", "zip": "25301", "taxonomy": "207Q",
+        "npi": "1111111111", "name": "Bluefin Rehab Partners", "address": "7 Ropewalk",
+        "city": "Camden", "state": "ME", "zip": "04801", "taxonomy": "207Q",
     }
-    assert R.search(registry, "mountain").collect()[0].state == "wv"  # shown, with fallback
+    assert R.search(registry, "harbor").collect()[0].state == "me"  # shown, with fallback
 
 
 def test_search_state_falls_back_only_without_practice_states(spark):
     registry = normalize_registry(spark.createDataFrame(
-        [("1", "Acme", "WV")], "npi string, organization_name string, mailing_state string"
+        [("1", "Bluefin", "ME")], "npi string, organization_name string, mailing_state string"
     ).selectExpr("*", "'2' as entity_type"))
-    assert npis(R.search(registry, "acme", "WV")) == ["1"]
+    assert npis(R.search(registry, "bluefin", "ME")) == ["1"]
 
 
 def test_provider_rows(registry):
@@ -115,16 +115,16 @@ def test_provider_rows(registry):
     assert rows["1111111111"].specialty == "207Q"
     line = R.provider_rows(registry).selectExpr("npi", "struct(*) as p")
     lines = {r.npi: r.a for r in line.select("npi", address_line(line.p).alias("a")).collect()}
-    assert lines["1111111111"] == "100 Main St, Charleston, WV, 25301"
-    assert lines["6666666666"] == "WV, 25302"
+    assert lines["1111111111"] == "7 Ropewalk, Camden, ME, 04801"
+    assert lines["6666666666"] == "ME, 04802"
 
 
 def test_region(spark, registry, claims):
-    assert npis(R.region_providers(registry, "wv", ("253", "265"))) == ["1111111111"]
+    assert npis(R.region_providers(registry, "me", ("048", "044"))) == ["1111111111"]
     billed = claims.limit(0).unionByName(
         claims.limit(3).selectExpr("'1111111111' as npi", *[c for c in claims.columns if c != "npi"])
     ).unionByName(claims)
-    subset = region_subset(billed, registry, "WV", ("253",))
+    subset = region_subset(billed, registry, "ME", ("048",))
     assert region_counts(subset).collect()[0] == (1, 3)
 
 
@@ -134,14 +134,14 @@ def test_service_answers(spark):
 
     payloads = [
         ("1", answer(
-            enumeration_type="NPI-2", basic={"organization_name": "Acme", "first_name": "x"},
+            enumeration_type="NPI-2", basic={"organization_name": "Bluefin", "first_name": "x"},
             addresses=[
                 {"address_purpose": "MAILING", "address_1": "no"},
-                {"address_purpose": "LOCATION", "address_1": "1 Main", "city": "C", "state": "WV",
-                 "postal_code": "253010001"},
+                {"address_purpose": "LOCATION", "address_1": "1 Ropewalk", "city": "C", "state": "ME",
+                 "postal_code": "048010001"},
                 {"address_purpose": "LOCATION", "address_1": "second"},
             ],
-            taxonomies=[{"primary": False, "desc": "no"}, {"primary": True, "desc": "Clinic"}],
+            taxonomies=[{"primary": False, "desc": "no"}, {"primary": True, "desc": "Rehab"}],
         )),
         ("2", answer(
             enumeration_type="NPI-1",
@@ -155,8 +155,8 @@ def test_service_answers(spark):
     rows = {r.npi: r.asDict() for r in providers_from_answers(frame).collect()}
     assert set(rows) == {"1", "2", "5"}
     assert rows["1"] == {
-        "npi": "1", "name": "Acme", "specialty": "Clinic", "address": "1 Main", "city": "C",
-        "state": "WV", "zip": "25301", "enumeration_type": "NPI-2",
+        "npi": "1", "name": "Bluefin", "specialty": "Rehab", "address": "1 Ropewalk", "city": "C",
+        "state": "ME", "zip": "04801", "enumeration_type": "NPI-2",
     }
     assert rows["2"]["name"] == "Pat Doe, MD" and rows["2"]["address"] == ""
     assert rows["5"]["name"] == ""

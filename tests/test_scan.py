@@ -10,7 +10,7 @@ from claimgauge.operators.report import flag_lines
 from claimgauge.plans import scan as scans
 from claimgauge.schema import FLAGS
 from claimgauge.sources.staging import Staging
-from tests.conftest import CLEAN, CONSISTENT, FILLERS, REVENUE, SPIKE, VOLUME, month
+from tests.conftest import QUIET, STEADY, CROWD, COSTLY, BURST, BUSY, month
 
 ALL = C.ScanConfig(threshold=0.0)
 
@@ -23,12 +23,12 @@ def results(claims):
 def test_six_signal_scores(results):
     scores = {npi: round(r.overall_score, 6) for npi, r in results.items()}
     assert scores == {
-        VOLUME: 0.85, REVENUE: 0.7, SPIKE: 0.7, CONSISTENT: 0.474324,
-        **dict.fromkeys(FILLERS, 0.55),
+        BUSY: 0.85, COSTLY: 0.7, BURST: 0.7, STEADY: 0.47,
+        **dict.fromkeys(CROWD, 0.55),
     }
-    assert CLEAN not in results
-    assert results[VOLUME].flag_types == [fv.SPIKE, fv.CONSISTENCY, fv.VOLUME]
-    assert results[VOLUME].num_flags == 3 and results[VOLUME].scheme_types == 0
+    assert QUIET not in results
+    assert results[BUSY].flag_types == [fv.SPIKE, fv.CONSISTENCY, fv.VOLUME]
+    assert results[BUSY].num_flags == 3 and results[BUSY].scheme_types == 0
 
 
 def test_four_signal_scores(monthly, procedure):
@@ -37,32 +37,32 @@ def test_four_signal_scores(monthly, procedure):
     )
     rows = scans.scan(monthly, procedure, config).collect()
     found = {r.npi: round(r.overall_score, 6) for r in rows}
-    assert found[VOLUME] == 1.0 and found[REVENUE] == found[SPIKE] == 0.9
-    assert found[FILLERS[0]] == 0.7 and found[CONSISTENT] == 0.605405
+    assert found[BUSY] == 1.0 and found[COSTLY] == found[BURST] == 0.9
+    assert found[CROWD[0]] == 0.7 and found[STEADY] == 0.6
 
 
 def test_flags_are_in_detector_order_with_their_texts(results):
-    volume, spike, consistency = results[VOLUME].red_flags
-    assert volume.description == "5,000 claims in 2024-07-01 (max plausible: 1,500)"
-    assert json.loads(volume.evidence_json) == {"month": "2024-07-01", "claims": 5000}
+    volume, spike, consistency = results[BUSY].red_flags
+    assert volume.description == "3,600 claims in 2022-09-01 (max plausible: 1,500)"
+    assert json.loads(volume.evidence_json) == {"month": "2022-09-01", "claims": 3600}
     assert spike.description == (
-        "Monthly paid $500,000.00 in 2024-07-01 is 6.2x their average $80,000.00"
+        "Monthly paid $288,000.00 in 2022-09-01 is 7.5x their average $38,400.00"
     )
     assert json.loads(spike.evidence_json) == {
-        "month": "2024-07-01", "amount": 500000, "ratio": 6.25
+        "month": "2022-09-01", "amount": 288000, "ratio": 7.5
     }
     assert consistency.description == (
-        "100% of billing is procedure 99214 at $100.00/claim with only 0.0% rate variation "
-        "across 7 months — consistent with copy-paste billing"
+        "100% of billing is procedure 97110 at $80.00/claim with only 0.0% rate variation "
+        "across 9 months — consistent with copy-paste billing"
     )
-    assert volume.service_month == month(7) and consistency.service_month is None
-    revenue = results[REVENUE].red_flags[0]
+    assert volume.service_month == month(9) and consistency.service_month is None
+    revenue = results[COSTLY].red_flags[0]
     assert revenue.description == (
-        "Revenue per claim $10,000.00 (19.3 MADs above median $1,400.00/claim)"
+        "Revenue per claim $12,000.00 (18.3 MADs above median $1,850.00/claim)"
     )
     assert json.loads(revenue.evidence_json) == {
-        "paid_per_claim": 10000, "total_paid": 12000000, "total_claims": 1200,
-        "modified_zscore": 19.34,
+        "paid_per_claim": 12000, "total_paid": 4800000, "total_claims": 400,
+        "modified_zscore": 18.26,
     }
 
 
@@ -70,27 +70,27 @@ def test_threshold(monthly, procedure):
     def count(threshold):
         return scans.scan(monthly, procedure, C.ScanConfig(threshold=threshold)).count()
 
-    assert (count(0.0), count(0.55), count(0.7), count(0.9)) == (24, 23, 3, 0)
+    assert (count(0.0), count(0.55), count(0.7), count(0.9)) == (20, 19, 3, 0)
 
 
 def test_a_scope_changes_nothing_but_who_is_listed(spark, monthly, procedure, results):
-    scope = spark.createDataFrame([(REVENUE,), (CLEAN,), ("unknown",)], "npi string")
+    scope = spark.createDataFrame([(COSTLY,), (QUIET,), ("unknown",)], "npi string")
     found = scans.scan(monthly, procedure, ALL, scope).collect()
-    assert [r.npi for r in found] == [REVENUE]
-    assert found[0] == results[REVENUE]
+    assert [r.npi for r in found] == [COSTLY]
+    assert found[0] == results[COSTLY]
 
 
 def test_one_provider(monthly, procedure, results):
-    assert scans.scan_provider(monthly, procedure, C.ScanConfig(), SPIKE).collect() == [
-        results[SPIKE]
+    assert scans.scan_provider(monthly, procedure, C.ScanConfig(), BURST).collect() == [
+        results[BURST]
     ]
-    assert scans.scan_provider(monthly, procedure, C.ScanConfig(), CLEAN).isEmpty()
+    assert scans.scan_provider(monthly, procedure, C.ScanConfig(), QUIET).isEmpty()
 
 
 def test_registry_organizations_lose_only_their_volume_flag(spark, monthly, procedure):
-    organizations = spark.createDataFrame([(VOLUME,)], "npi string")
+    organizations = spark.createDataFrame([(BUSY,)], "npi string")
     found = scans.scan(monthly, procedure, ALL, organizations=organizations)
-    (row,) = found.where(f"npi = '{VOLUME}'").collect()
+    (row,) = found.where(f"npi = '{BUSY}'").collect()
     assert row.flag_types == [fv.SPIKE, fv.CONSISTENCY]
 
 
@@ -98,7 +98,7 @@ def test_ranks(spark, monthly, procedure):
     found = scans.scan(monthly, procedure, ALL)
     ranked = scoring.ranked(found, Staging(spark)).orderBy("rank").collect()
     expected = sorted(found.collect(), key=lambda r: (-r.overall_score, r.npi))
-    assert [r["rank"] for r in ranked] == list(range(1, 25))
+    assert [r["rank"] for r in ranked] == list(range(1, 21))
     assert [r.npi for r in ranked] == [r.npi for r in expected]
     first = scoring.top(found, 5).orderBy("rank").collect()
     assert [(r["rank"], r.npi) for r in first] == [(r["rank"], r.npi) for r in ranked[:5]]
@@ -109,9 +109,9 @@ def test_funnel(spark, monthly, procedure):
     steps = scans.funnel(scans.detect(monthly, procedure, config), config, Staging(spark))
     counts = {r.stage: r.providers for r in steps.collect()}
     assert counts == {
-        "seen": 25, "qualifying": 24, "excluded": 1, "in_scope": 24,
-        fv.VOLUME: 1, fv.REVENUE: 1, fv.SPIKE: 2, fv.CONSISTENCY: 24, fv.NOS: 0,
-        fv.UPCODING: 0, "scored": 24, "above_threshold": 3,
+        "seen": 21, "qualifying": 20, "excluded": 1, "in_scope": 20,
+        fv.VOLUME: 1, fv.REVENUE: 1, fv.SPIKE: 2, fv.CONSISTENCY: 20, fv.NOS: 0,
+        fv.UPCODING: 0, "scored": 20, "above_threshold": 3,
     }
 
 
@@ -131,4 +131,4 @@ def test_report_lines(claims):
     lines = flag_lines(scans.scan_claims(claims, C.ScanConfig(threshold=0.8))).orderBy("place")
     first = lines.collect()[0]
     assert (first.risk, first.severity_risk, first.title) == ("HIGH", "HIGH", "Volume Impossibility")
-    assert first.evidence == "month: 2024-07-01, claims: 5000"
+    assert first.evidence == "month: 2022-09-01, claims: 3600"

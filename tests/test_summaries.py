@@ -3,14 +3,14 @@ from decimal import Decimal
 from claimgauge.config import ScanConfig
 from claimgauge.operators import summaries as S
 from claimgauge.schema import CLAIMS
-from tests.conftest import CLEAN, claim_row, month
+from tests.conftest import QUIET, claim_row, month
 
 
 def test_row_counts(claims, monthly, procedure, totals):
-    assert claims.count() == 164
-    assert monthly.count() == 152
-    assert totals.count() == 25
-    assert procedure.count() == procedure.select(*S.PROCEDURE_KEY).distinct().count() == 164
+    assert claims.count() == 186
+    assert monthly.count() == 170
+    assert totals.count() == 21
+    assert procedure.count() == procedure.select(*S.PROCEDURE_KEY).distinct().count() == 186
 
 
 def test_summaries_of_cells_equal_those_of_claims(claims, monthly, procedure):
@@ -22,13 +22,13 @@ def test_summaries_of_cells_equal_those_of_claims(claims, monthly, procedure):
 def test_qualifying_keeps_providers_at_the_threshold(monthly, totals, procedure):
     config = ScanConfig()
     qualified = S.qualifying(totals, config)
-    assert qualified.count() == 24
-    assert qualified.where(f"npi = '{CLEAN}'").isEmpty()
-    assert S.keep_providers(monthly, qualified).count() == 146
-    assert S.keep_providers(procedure, qualified).where(f"npi = '{CLEAN}'").isEmpty()
-    exact = S.qualifying(totals, ScanConfig(min_total_paid=30_000))
-    assert exact.count() == 25
-    assert S.qualifying(totals, ScanConfig(min_total_paid=30_000.01)).count() == 24
+    assert qualified.count() == 20
+    assert qualified.where(f"npi = '{QUIET}'").isEmpty()
+    assert S.keep_providers(monthly, qualified).count() == 162
+    assert S.keep_providers(procedure, qualified).where(f"npi = '{QUIET}'").isEmpty()
+    exact = S.qualifying(totals, ScanConfig(min_total_paid=8_640))
+    assert exact.count() == 21
+    assert S.qualifying(totals, ScanConfig(min_total_paid=8_640.01)).count() == 20
 
 
 def test_missing_keys_and_values(spark):
@@ -58,5 +58,5 @@ def test_beneficiaries_are_optional(claims):
 
 def test_history_totals_equal_aggregated_totals(monthly, totals):
     kept = S.totals_of_history(S.provider_history(monthly))
-    assert kept.count() == 25
+    assert kept.count() == 21
     assert kept.select(*totals.columns).exceptAll(totals).isEmpty()

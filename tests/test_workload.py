@@ -1,7 +1,7 @@
 """Registered queries against their SQL, and what their plans must not contain."""
 
+import functools
 import math
-import os
 import re
 from pathlib import Path
 
@@ -9,16 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload import oracles, queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# These differ from `scan` or `dossier` in their last step only; CLAIMGAUGE_ALL=1 runs them too.
-REPEATS = {
-    "provider_scores", "provider_scores_four_signal", "scan_top", "scan_ranked", "scan_risk_label",
-    "scan_from_summaries", "scan_provider", "scan_funnel", "scan_payload", "payload_roundtrip",
-    "csv_roundtrip", "dossier_headings", "dossier_roundtrip", "all_flags", "revenue_baseline",
-}
-RUN = [q for q in QUERIES if q in SQL and (q not in REPEATS or os.environ.get("CLAIMGAUGE_ALL"))]
+QUERIES, SQL = queries.registered(), oracles.statements()
 
 needs_tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
@@ -31,6 +25,17 @@ def duck():
     return connection
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_scan():
+    """Many queries differ in what they do with the same scan; here they share it."""
+    kept = {name: getattr(queries, name) for name in ("_scan", "_detection", "_dossiers")}
+    for name, function in kept.items():
+        setattr(queries, name, functools.cache(function))
+    yield
+    for name, function in kept.items():
+        setattr(queries, name, function)
+
+
 def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
@@ -39,13 +44,13 @@ def plain(value):
     return str(value)
 
 
-def test_every_query_but_the_approximate_one_has_sql():
-    assert set(QUERIES) - set(SQL) == {"revenue_flags_approx"}
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @needs_tables
-@pytest.mark.parametrize("name", RUN)
+@pytest.mark.parametrize("name", QUERIES)
 def test_equals_sql(spark, duck, name):
     found = QUERIES[name](spark, FOLDER)
     columns = sorted(found.columns)

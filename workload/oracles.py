@@ -352,7 +352,8 @@ def _statements() -> dict[str, str]:
             "registry", "where cast(npi as bigint) % 7 <> 0",
         ),
         "registry_csv_roundtrip": _select(
-            f"npi, name, {_PROVIDER}, '' as specialty, 'NPI-' || entity_type as enumeration_type",
+            "npi, case when entity_type = '2' then 'The \"' || name || '\", Inc. \\' else name end as name, "
+            f"{_PROVIDER}, '' as specialty, 'NPI-' || entity_type as enumeration_type",
             "registry",
         ),
         "region_subset": f"""{_with('claims', 'registry')}
@@ -370,6 +371,16 @@ def _statements() -> dict[str, str]:
         "volume_flags_no_exclusion": _select(_VOLUME, "volume_all"),
         "revenue_baseline": _select(_six("median", "mad"), "baseline"),
         "revenue_flags": _select(_REVENUE, "revenue"),
+        "revenue_flags_approx": f"""{_with('rates')},
+            middle_value as (select quantile_disc(paid_per_claim, 0.5) as median from rates),
+            deviation as (
+                select median,
+                       (select quantile_disc(abs(paid_per_claim - median), 0.5) from rates) as mad
+                from middle_value)
+            select {_REVENUE}
+            from (select *, least(1.0, z / 10) as severity
+                  from (select *, (paid_per_claim - median) / (mad * 1.4826) as z
+                        from rates cross join deviation where mad > 0) where z > 3)""",
         "revenue_flags_state": f"""{_with('revenue', 'state_map')}
             select {_REVENUE} from revenue
             where npi in (select npi from state_map where state = 'NATION_14')""",
@@ -504,6 +515,16 @@ def _statements() -> dict[str, str]:
                    case when overall_score >= 0.7 then 'HIGH'
                         when overall_score >= 0.4 then 'MEDIUM' else 'LOW' end as risk
             from results join registry using (npi)""",
+        "scan_request_state": f"""{_with('scored', 'state_map')}
+            select count(*) over () as total, 'N4' as state, 0.5::double as threshold, npi,
+                   round_even(overall_score, 3) as overall_score
+            from scored where overall_score >= 0.5
+                and npi in (select npi from state_map where state like '%4')
+            order by scored.overall_score desc, npi limit 20""",
+        "dossier_one_request": f"""{_with('scored', 'registry', 'summary')}
+            select lpad(npi, 10, '0') as npi, name, {_six('overall_score')}, flag_types, total_rows,
+                   active_months as timeline_months
+            from scored join registry using (npi) join summary using (npi) where npi = '120'""",
         "dossier_one_provider": f"""{_with('peers', 'summary')}
             select lpad(npi, 10, '0') as npi, 0.0::double as overall_score, total_rows,
                    active_months as timeline_months, peer_count,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgauge.config import ScanConfig, ScanRequest
+from claimgauge.config import ProfileRequest, ScanConfig, ScanRequest
 from claimgauge.operators import detectors as D
 from claimgauge.operators import dossier as sections
 from claimgauge.operators import registry as R
@@ -16,6 +16,7 @@ from claimgauge.operators import summaries as S
 from claimgauge.operators.peers import peer_comparison
 from claimgauge.plans import dossier as dossiers
 from claimgauge.plans import region
+from claimgauge.plans import request as request_plans
 from claimgauge.plans import scan as scans
 from claimgauge.sources import claims as claim_source
 from claimgauge.sources import registry as registry_source
@@ -172,7 +173,9 @@ def registry_json_provider(spark, folder):
 def registry_csv_roundtrip(spark, folder):
     """The registry written as CSV under its published column names, read and shown as providers."""
     where = f"{Staging(spark).folder}/registry"
-    t.registry(spark, folder).write.option("header", True).csv(where)
+    quoted = t.registry(spark, folder).withColumn(
+        "organization_name", F.concat(F.lit('The "'), F.col("organization_name"), F.lit('", Inc. \\')))
+    quoted.write.options(**claim_source.CSV).csv(where)
     return R.provider_rows(registry_source.read_registry(spark, where))
 
 
@@ -442,7 +445,7 @@ def csv_roundtrip(spark, folder):
 def claims_csv_roundtrip(spark, folder):
     """The raw claims written as CSV, read by header and normalized."""
     where = f"{Staging(spark).folder}/claims"
-    t.raw_claims(spark, folder).write.option("header", True).csv(where)
+    t.raw_claims(spark, folder).write.options(**claim_source.CSV).csv(where)
     return claim_source.load_claims(spark, where, "csv")
 
 
@@ -480,13 +483,17 @@ def billing_timeline(spark, folder):
 
 def _dossiers(spark: SparkSession, folder: str) -> DataFrame:
     staging = Staging(spark)
-    claims = t.claims(spark, folder)
+    cells = staging.keep(S.claim_cells(t.claims(spark, folder)), "cells")
     results = staging.keep(
-        scans.scan_claims(claims, CONFIG, None, _organizations(spark, folder), staging), "results"
+        scans.scan(
+            S.monthly_of_cells(cells), S.procedure_of_cells(cells), CONFIG, None,
+            _organizations(spark, folder), staging,
+        ),
+        "results",
     )
-    totals = staging.keep(S.provider_totals(claims), "all-totals")
+    totals = staging.keep(S.provider_totals(cells), "all-totals")
     return dossiers.build_dossiers(
-        claims, totals, t.registry(spark, folder), results, t.descriptions(spark, folder),
+        cells, totals, t.registry(spark, folder), results, t.descriptions(spark, folder),
         subjects=results.select("npi"), staging=staging,
     )
 
@@ -531,6 +538,44 @@ def dossier_roundtrip(spark, folder):
     return _dossier_facts(spark.read.parquet(where))
 
 
+@_query
+def scan_request_state(spark, folder):
+    """A request whose state and threshold differ from the configuration's, answered as one job."""
+    staging = Staging(spark)
+    monthly, procedure = store.stage_summaries(t.claims(spark, folder), staging)
+    asked = ScanRequest(threshold=0.5, top=20, state="N4")
+    registry = t.registry(spark, folder)
+    for state in ("practice_state", "mailing_state"):  # two letters, as a request has them
+        short = F.concat(F.lit("N"), F.substring(state, -1, 1))
+        registry = registry.withColumn(state, F.when(F.col(state) == "", "").otherwise(short))
+    answer = request_plans.scan_request(monthly, procedure, registry, asked, CONFIG, staging)
+    return answer.select(
+        "total", F.col("params.state").alias("state"), F.col("params.threshold").alias("threshold"),
+        F.explode("providers").alias("p"),
+    ).select("total", "state", "threshold", F.col("p.npi").alias("npi"),
+             F.col("p.overall_score").alias("overall_score"))
+
+
+@_query
+def dossier_one_request(spark, folder):
+    """A flagged provider's profile: its scan at any score, its name, its months and peers."""
+    staging = Staging(spark)
+    claims = t.claims(spark, folder).withColumn("npi", F.lpad("npi", 10, "0"))
+    cells = staging.keep(S.claim_cells(claims), "cells")
+    registry = t.registry(spark, folder).withColumn("npi", F.lpad("npi", 10, "0"))
+    found = request_plans.profile_request(
+        claims, S.monthly_of_cells(cells), S.procedure_of_cells(cells),
+        ProfileRequest(t.FLAGGED_PROVIDER.zfill(10)), CONFIG, staging, registry,
+        t.descriptions(spark, folder),
+    )
+    return found.select(
+        "npi", F.col("provider.name").alias("name"), "overall_score",
+        F.array_join(F.array_sort(F.array_distinct("red_flags.flag_type")), ", ").alias("flag_types"),
+        F.col("claims_summary.total_rows").alias("total_rows"),
+        F.size("timeline").alias("timeline_months"),
+    )
+
+
 @_query
 def dossier_one_provider(spark, folder):
     """One provider's dossier from the claims alone."""
