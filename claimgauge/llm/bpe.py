@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -176,28 +176,40 @@ class PrefixEncoder:
         return found
 
 
+class _Memory(dict):
+    """Makes what it does not hold, and forgets everything when it is full."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> object:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        made = self[piece] = self.make(piece)
+        return made
+
+
 class Encoder:
     """Encodes texts; remembers the pieces it has met."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern).findall
-        self._known: dict[str, bytes] = {}
+        self._packed = _Memory(lambda piece: struct.pack(f"<{len(ids := self._ids(piece))}I", *ids))
+        self._counts = _Memory(lambda piece: len(self._ids(piece)))
 
-    def _encoded(self, piece: str) -> bytes:
-        """The ids of a piece as little-endian unsigned 32-bit integers."""
+    def _ids(self, piece: str) -> list[int]:
         raw = piece.encode()
         rank = self.vocabulary.ranks.get(raw)
-        ids = [rank] if rank is not None else PrefixEncoder(self.vocabulary, raw).ids()
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return [rank] if rank is not None else PrefixEncoder(self.vocabulary, raw).ids()
 
     def encode(self, text: str) -> bytes:
-        known, pieces = self._known, self.pieces(text)
-        for piece in set(pieces).difference(known):
-            if len(known) >= REMEMBERED:
-                known = self._known = {p: known[p] for p in set(pieces) if p in known}
-            known[piece] = self._encoded(piece)
-        return b"".join(map(known.__getitem__, pieces))
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self._packed.__getitem__, self.pieces(text)))
+
+    def count(self, text: str) -> int:
+        return sum(map(self._counts.__getitem__, self.pieces(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -38,8 +38,7 @@ def words() -> Callable[[str], int]:
 
 def byte_bpe(path: str, pattern: str) -> Callable[[], Callable[[str], int]]:
     def make() -> Callable[[str], int]:
-        coder = encoder(path, pattern)
-        return lambda text: len(coder.encode(text)) // 4
+        return encoder(path, pattern).count
 
     return make
 
