@@ -38,7 +38,7 @@ def test_load(spark, claims, files, name):
     loaded = source.load_claims(spark, str(files / name))
     assert loaded.schema == CLAIMS
     assert loaded.count() == 186 and loaded.exceptAll(claims).isEmpty()
-    assert source.providers(loaded).count() == 25
+    assert source.providers(loaded).count() == 21
     own = source.load_provider_claims(spark, str(files / name), QUIET)
     assert own.count() == 16 and {r.npi for r in own.collect()} == {QUIET}
     assert source.load_provider_claims(spark, str(files / name), "9999999999").isEmpty()
@@ -101,7 +101,7 @@ def test_csv(spark, monthly, procedure, tmp_path):
     results = scans.scan(monthly, procedure, ScanConfig())
     sinks.write_csv(results, str(tmp_path / "results"))
     rows = sinks.read_csv(spark, str(tmp_path / "results")).orderBy("rank").collect()
-    assert len(rows) == 20 and [r["rank"] for r in rows] == list(range(1, 25))
+    assert len(rows) == 20 and [r["rank"] for r in rows] == list(range(1, 21))
     assert rows[0].npi == BUSY and rows[0].score == 0.85
     assert rows[0].flag_types == "billing_spike, suspicious_consistency, volume_impossibility"
     text = "".join(p.read_text() for p in Path(tmp_path / "results").glob("part-*"))
@@ -120,7 +120,7 @@ def test_payload(spark, monthly, procedure, tmp_path):
     assert first["npi"] == BUSY and first["overall_score"] == 0.85 and first["num_flags"] == 3
     assert first["red_flags"][0]["evidence"] == {"month": "2022-09-01", "claims": 3600}
     again = sinks.read_payload(spark, str(tmp_path / "answer")).collect()[0]
-    assert again.total == 20 and again.providers[0].red_flags[1].severity == 0.625
+    assert again.total == 20 and again.providers[0].red_flags[1].severity == 0.75
 
 
 def test_payload_without_results(spark, monthly, procedure):
