@@ -34,6 +34,8 @@ EDITS = 0.08
 BLOCK = 2_000_000
 #: Characters that a task looks at together.
 CHUNK = 1 << 18
+#: Hits of q-grams that a task holds at a time.
+MOST_HITS = 1 << 20
 _NOT_WORD = re.compile(r"[\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,6 +101,27 @@ class Index:
         found = np.minimum(np.searchsorted(self.grams, grams[places]), len(self.grams) - 1)
         hit = self.grams[found] == grams[places]
         places, found = places[hit], found[hit]
+        bands = (len(text) + WINDOW * 1000) // self.step + 3
+        met, sums = [], []
+        upto = np.cumsum(self.count[found])
+        begin = 0
+        while begin < len(found):  # a q-gram may be in very many windows: so many hits at a time
+            done = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, done + MOST_HITS, "right")))
+            keys, n = self._bands(places[begin:end], found[begin:end], bands)
+            met.append(keys)
+            sums.append(n)
+            begin = end
+        if not met:
+            return
+        keys, at = np.unique(np.concatenate(met), return_inverse=True)
+        shared = np.bincount(at, weights=np.concatenate(sums)).astype(np.int64)
+        window, band = keys // bands, keys % bands
+        enough = shared >= self.budgets[window, 1]
+        yield from zip(window[enough].tolist(), band[enough].tolist(), shared[enough].tolist(), strict=True)
+
+    def _bands(self, places: np.ndarray, found: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window * bands + band, hits) for the q-grams at some places of a text."""
         counts = self.count[found]
         entry = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) \
             + np.repeat(self.begin[found], counts)
@@ -107,11 +130,7 @@ class Index:
         band = diagonal // self.step
         over = diagonal % self.step < self.most
         window, band = np.r_[window, window[over]], np.r_[band, band[over] - 1]
-        bands = (int(band.max()) + 2) if len(band) else 1
-        keys, shared = np.unique(window * bands + band, return_counts=True)
-        window, band = keys // bands, keys % bands
-        enough = shared >= self.budgets[window, 1]
-        yield from zip(window[enough].tolist(), band[enough].tolist(), shared[enough].tolist(), strict=True)
+        return np.unique(window * bands + band, return_counts=True)
 
     def verified(self, text: str, window: int, band: int) -> tuple[int, int] | None:
         """(edits, end of the region) of the best alignment inside the band, if within the budget."""
