@@ -7,8 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgauge.config import ProfileRequest, ScanConfig, ScanRequest
-from claimgauge.operators.registry import organizations, providers_in_state
+from claimgauge.config import LookupRequest, ProfileRequest, ScanConfig, ScanRequest
+from claimgauge.operators.registry import organizations, providers_in_state, search
 from claimgauge.operators.summaries import claim_cells, provider_totals
 from claimgauge.plans.dossier import build_dossiers
 from claimgauge.plans.scan import scan, scan_provider
@@ -57,3 +57,8 @@ def profile_request(
     return build_dossiers(
         claim_cells(own), totals, registry, result, descriptions, subject, staging
     )
+
+
+def lookup_request(registry: DataFrame, request: LookupRequest) -> DataFrame:
+    """The first providers that match a name or an identifier, in a state if one is asked for."""
+    return search(registry, request.query, request.state)
