@@ -23,7 +23,7 @@ structure decides; repeated rows are pages of their own; an empty table gives no
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -43,6 +43,21 @@ BLOCK = frozenset(
     "h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th "
     "thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot body html legend summary".split())
+#: Elements in which a slash at the end of a tag closes it.
+FOREIGN = ("svg", "math")
+LISTS = frozenset("ul ol".split())
+TABLE = frozenset("table caption tbody thead tfoot tr td th".split())
+#: Elements that an end tag from inside them does not look beyond.
+SCOPE = frozenset("table caption td th object template".split())
+_LIST_STOP = frozenset("ul ol dl table tbody thead tfoot tr td th caption select".split())
+#: What the start of an element ends, and the elements beyond which it ends nothing.
+ENDS = {
+    "li": ({"li"}, _LIST_STOP), "dt": ({"dt", "dd"}, _LIST_STOP), "dd": ({"dt", "dd"}, _LIST_STOP),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th", "caption"}, TABLE - {"td", "th", "caption"}),
+    "th": ({"td", "th", "caption"}, TABLE - {"td", "th", "caption"}),
+    "tr": ({"tr", "caption"}, TABLE - {"tr", "td", "th", "caption"}),
+} | dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr", "caption"}, {"table"}))
 #: Words in class, id or role of branches beside the article.
 BESIDE = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent "
@@ -61,49 +76,52 @@ _CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
 class _Node:
-    __slots__ = ("children", "path", "parent", "tag")
+    __slots__ = ("children", "out", "path", "parent", "tag")
 
-    def __init__(self, tag: str, path: str, parent: _Node | None):
-        self.tag, self.path, self.parent = tag, path, parent
+    def __init__(self, tag: str, path: str, parent: _Node | None, out: bool = False):
+        self.tag, self.path, self.parent, self.out = tag, path, parent, out
         self.children: list[_Node | str] = []
 
 
 class _Builder(HTMLParser):
-    """A tree of the page without the branches that hold no article text."""
+    """A tree of the page without the branches that hold no article text.
+
+    Elements of such branches are opened and closed like all others, marked as left out, so that a
+    branch ends where a browser ends it.
+    """
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", "", None)
-        self.skipped: list[str] = []  # open elements of a branch that is left out
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skipped and self.skipped == ["head"] and tag not in IN_HEAD:
-            self.skipped.clear()
-        if self.skipped:
-            if tag not in VOID:
-                self.skipped.append(tag)
-            return
-        given = dict(attrs)
-        names = " ".join(filter(None, (given.get("class"), given.get("id"), given.get("role")))).lower()
+        if self.at.tag == "head" and tag not in IN_HEAD:
+            self.at = self.at.parent
         if tag in CLOSES_P:
-            self._close("p", BLOCK - {"p"})
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            self._close(tag, frozenset(("ul", "ol", "dl", "table", "tbody", "thead", "select", "tr")) - {tag})
+            self._close({"p"}, BLOCK - {"p"})
+        if tag in ENDS:
+            while self._close(*ENDS[tag]):
+                pass
         if tag in VOID:
-            self.at.children.append(_Node(tag, self.at.path, self.at) if tag in BLOCK else " ")
-            return
-        beside = BESIDE.intersection(re.split(r"[^a-z0-9]+", names)) or "hidden" in given
-        page_header = tag == "header" and not self._inside(("article", "main"))
-        if tag in NO_TEXT or beside or page_header:
-            self.skipped.append(tag)
+            if not self.at.out:
+                self.at.children.append(_Node(tag, self.at.path, self.at) if tag in BLOCK else " ")
             return
+        given = dict(attrs)
         label = f"{tag}.{given['class']}" if given.get("class") else tag
-        node = _Node(tag, f"{self.at.path}/{label}", self.at)
-        self.at.children.append(node)
+        out = self.at.out or self._left_out(tag, given)
+        node = _Node(tag, f"{self.at.path}/{label}", self.at, out)
+        if not out:
+            self.at.children.append(node)
         self.at = node
 
+    def _left_out(self, tag: str, given: dict[str, str | None]) -> bool:
+        names = " ".join(filter(None, (given.get("class"), given.get("id"), given.get("role")))).lower()
+        beside = BESIDE.intersection(re.split(r"[^a-z0-9]+", names)) or "hidden" in given
+        page_header = tag == "header" and not self._inside(("article", "main"))
+        return tag in NO_TEXT or bool(beside) or page_header
+
     def _inside(self, tags: tuple[str, ...]) -> bool:
         node: _Node | None = self.at
         while node is not None:
@@ -112,32 +130,35 @@ class _Builder(HTMLParser):
             node = node.parent
         return False
 
-    def _close(self, tag: str, stop: frozenset[str]) -> None:
-        """Closes the nearest open ``tag``, unless an element of ``stop`` lies before it."""
+    def _close(self, tags: Set[str], stop: Set[str]) -> bool:
+        """Closes the nearest open element of ``tags``, unless one of ``stop`` lies before it."""
         node: _Node | None = self.at
-        while node is not None and node.tag != tag:
+        while node is not None and node.tag not in tags:
             if node.tag in stop:
-                return
+                return False
             node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        if node is None or node.parent is None:
+            return False
+        self.at = node.parent
+        return True
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag not in FOREIGN and not self._inside(FOREIGN):  # there the slash closes the element
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipped:
-            if tag in self.skipped:
-                while self.skipped.pop() != tag:
-                    pass
-            elif tag in ("article", "main", "body", "html"):
-                self.skipped.clear()
-                self._close(tag, frozenset())
-            return
-        self._close(tag, frozenset() if tag in BLOCK else BLOCK)
+        if tag in ("article", "main", "body", "html"):
+            stop: Set[str] = frozenset()
+        elif tag in TABLE:
+            stop = {"table"} - {tag}
+        elif tag in BLOCK or tag in NO_TEXT:
+            stop = LISTS.union(SCOPE) if tag == "li" else SCOPE
+        else:
+            stop = BLOCK
+        self._close({tag}, stop)
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped:
+        if not self.at.out:
             self.at.children.append(data)
 
 

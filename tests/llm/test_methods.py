@@ -353,6 +353,25 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in found.values())
 
 
+def article(html):
+    return [b["text"] for b in html_text.blocks(f"<body><article>{html}</article><p>end</p></body>")]
+
+
+def test_left_out_branches_end_where_browsers_end_them():
+    assert article("<p>one</p><p class=ad>Buy<p>two</p><p>three</p>") == ["one", "two", "three", "end"]
+    assert article("<div><p class=ad>Buy</div><h2>two</h2>") == ["two", "end"]
+    assert article("<ul><li class=share>Tweet<li>two<li>three</ul>four") == ["two", "three", "four", "end"]
+    assert article("<p class=notice>All rights<table><tr><td>two</table>") == ["two", "end"]
+    assert article("<dl><dt class=ad>Buy<dd>two</dl>three") == ["two", "three", "end"]
+    assert article("<table><tr class=ad><td>Buy<tr><td class=ad>Buy<td>two<tbody><tr><td>three</table>") == [
+        "two", "three", "end"]
+    assert article("<table><tr class=ad><td>Buy<tbody><tr><td>two</table>") == ["two", "end"]
+    assert article("<p>one <svg class=icon /><b>two</b>") == ["one two", "end"]
+    assert article("<div class=ad><div>Buy<p>Now</div></p>still</div>two") == ["two", "end"]
+    assert article("<ul class=share><li>a</li></li>b</ul>two") == ["two", "end"]
+    assert article("<div class=ad>Buy") == ["end"]
+
+
 # 10
 
 
