@@ -4,7 +4,8 @@ The pages of a host are merged into one tree: an element node stands for all ele
 path of tags and classes on that host, and it keeps in how many pages it occurs and which contents
 it has there. A node's importance is the entropy of its contents over the pages: text that comes
 again and again has little, text of its own on every page has much. A presentation node takes the
-importance of its parts. Each page then drops its branches of low importance.
+importance of its parts. Each page then drops those contents of nodes of low importance that come again
+over the pages; what is its own stays. Pages are counted, not blocks, and copies of a page count once.
 
 Structure alone tells some branches apart that no count can: scripts, styles, forms and the like hold
 no text to read, and navigation, headers of a page, footers, asides, adverts and comments are no part
@@ -12,12 +13,12 @@ of an article whatever their entropy. Where a page has an ``article`` or ``main`
 the place to look; the tree then judges the branches in it.
 
 Pages are parsed once. Contents are summed up by (host, path, hash), so a host with a third of all
-pages is spread over its contents; only its noisy paths come back to the pages, by a join that Spark
+pages is spread over its contents; only its repeated contents come back to the pages, by a join that Spark
 broadcasts where their table is small and splits by host where it is not.
 
 Edge cases: null html is empty and gives an empty text; null urls share one unnamed host; markup that
 is not closed, or cut off, is read as browsers do; hosts with few pages have no statistics, so only
-structure decides; repeated rows are pages of their own; an empty table gives no rows.
+structure decides; repeated rows each give a text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -164,7 +165,8 @@ class _Builder(HTMLParser):
 
 def blocks(html: str | None) -> list[dict]:
     """path, text, style (its inline marks) and whether inside an article or main element, of each
-    block with text, in page order."""
+    block with text, in page order; and whether its path, its text there and its style there are the
+    page's first."""
     parser = _Builder()
     parser.feed(_CUT_OFF.sub("", html or ""))
     parser.close()
@@ -202,6 +204,12 @@ def blocks(html: str | None) -> list[dict]:
                 marks.append(child.tag)
             stack.append((child, 0, inside or child.tag in ("article", "main")))
     end_block()
+    met: set[tuple[str, ...]] = set()
+    for block in found:
+        for name, key in (("new_path", (block["path"],)), ("new_text", ("text", block["path"], block["text"])),
+                          ("new_style", ("style", block["path"], block["style"]))):
+            block[name] = key not in met
+            met.add(key)
     return found
 
 
@@ -218,7 +226,7 @@ def _host(url: str) -> Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks) of each page; a block has path, style, text, inside."""
+    """(page_id, url, host, blocks) of each page; a block has what ``blocks`` gives."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,34 +238,65 @@ def parsed(pages: DataFrame) -> DataFrame:
                     ["page_id", "url", "host", "blocks"])
 
     kind = pa.list_(pa.struct([("path", pa.string()), ("style", pa.string()), ("text", pa.string()),
-                               ("inside", pa.bool_())]))
+                               ("inside", pa.bool_()), ("new_path", pa.bool_()), ("new_text", pa.bool_()),
+                               ("new_style", pa.bool_())]))
     own = pages.select("page_id", "url", _host("url").alias("host"), "html")
     types = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     return own.mapInArrow(read, f"page_id {types['page_id']}, url {types['url']}, host string, "
-                                "blocks array<struct<path string, style string, text string, inside boolean>>")
+                                "blocks array<struct<path string, style string, text string, inside boolean, "
+                                "new_path boolean, new_text boolean, new_style boolean>>")
+
+
+def _importance(n: Column, total: Column) -> Column:
+    """How little a value that is in n pages repeats: 1 where it is its page's own, near 0 where it is in all."""
+    return 1 - F.log(n.cast("double")) / F.log(total.cast("double"))
 
 
 def _entropy(counts: DataFrame) -> DataFrame:
-    """(host, path, importance): the entropy of a node's values, as a share of what as many different
-    values would have."""
-    n = F.col("n").cast("double")
+    """(host, path, total, importance): the entropy of a node's values over the pages, as a share of
+    what as many different values would have."""
     return counts.groupBy("host", "path").agg(
-        F.sum("n").alias("total"), F.sum(n * F.log(n)).alias("s")
-    ).where(F.col("total") >= LEAST_PAGES).select(
-        "host", "path", (1 - F.col("s") / (F.col("total") * F.log(F.col("total").cast("double")))).alias("importance"))
+        F.sum("n").alias("total"), F.sum("pages").alias("pages"),
+        F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"),
+    ).where(F.col("pages") >= LEAST_PAGES).select(
+        "host", "path", "total",
+        (1 - F.col("s") / (F.col("total") * F.log(F.col("total").cast("double")))).alias("importance"))
+
+
+def _pages_with(nodes: DataFrame, value: str, new: str) -> DataFrame:
+    """(host, path, value, n, pages): the pages that have the value at the path; ``pages`` counts each
+    page with the path at one of its values."""
+    return nodes.groupBy("host", "path", value).agg(
+        F.count_if(new).alias("n"), F.count_if("new_path").alias("pages"))
+
+
+def _nodes(trees: DataFrame) -> DataFrame:
+    """(host, path, content, style, new_path, new_text, new_style) of the blocks of all different pages:
+    copies of a page say nothing about what different pages have in common."""
+    return trees.select("host", F.transform("blocks", lambda b: F.struct(
+        F.xxhash64(b["path"]).alias("path"), F.xxhash64(b["path"], b["text"]).alias("content"),
+        F.xxhash64(b["style"]).alias("style"), b["new_path"].alias("new_path"), b["new_text"].alias("new_text"),
+        b["new_style"].alias("new_style"))).alias("page")).distinct().select("host", F.inline("page"))
 
 
 def style_tree(trees: DataFrame) -> DataFrame:
-    """(host, path, content, presentation) of each node met often enough: the importance of its
+    """(host, path, total, content, presentation) of each node on enough pages: the importance of its
     contents, and of the ways in which it presents them."""
-    nodes = trees.select("host", F.explode("blocks").alias("b")).select(
-        "host", "b.path", F.xxhash64("b.text").alias("content"), F.xxhash64("b.style").alias("style"))
-    content = _entropy(nodes.groupBy("host", "path", "content").agg(F.count("*").alias("n")))
-    style = _entropy(nodes.groupBy("host", "path", "style").agg(F.count("*").alias("n")))
+    nodes = _nodes(trees)
+    content = _entropy(_pages_with(nodes, "content", "new_text"))
+    style = _entropy(_pages_with(nodes, "style", "new_style")).drop("total")
     return content.withColumnRenamed("importance", "content").join(
         style.withColumnRenamed("importance", "presentation"), ["host", "path"])
 
 
+def repeated(trees: DataFrame, least: float) -> DataFrame:
+    """(host, content) of what goes: contents of noisy nodes that themselves come again on so many
+    pages that they have little importance. Of a node there are few, total ** least at most."""
+    noisy = style_tree(trees).where(F.greatest("content", "presentation") < least).select("host", "path", "total")
+    return _pages_with(_nodes(trees), "content", "new_text").join(noisy, ["host", "path"]).where(
+        _importance(F.col("n"), F.col("total")) < least).select("host", "content")
+
+
 def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url and the text of each page's blocks that have importance, in page order.
 
@@ -266,15 +305,14 @@ def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """
     trees = keep(parsed(pages), "pages-parsed")
     noise = keep(
-        style_tree(trees).where(F.greatest("content", "presentation") < least)
-        .groupBy("host").agg(F.collect_set("path").alias("noise")),  # paths of one site's style
+        repeated(trees, least).groupBy("host").agg(F.collect_set("content").alias("noise")),  # of one site's style
         "pages-noise",
     )
     inside = F.filter("blocks", lambda b: b["inside"])
     placed = trees.withColumn("blocks", F.when(F.size(inside) > 0, inside).otherwise(F.col("blocks")))
     judged = placed.join(noise, "host", "left").withColumn(
         "left", F.filter("blocks", lambda b: ~F.array_contains(
-            F.coalesce("noise", F.array().cast("array<string>")), b["path"])))
+            F.coalesce("noise", F.array().cast("array<bigint>")), F.xxhash64(b["path"], b["text"]))))
     chosen = F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("blocks"))
     return judged.select(
         "page_id", "url", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n\n").alias("text"))

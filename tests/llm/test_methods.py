@@ -372,6 +372,25 @@ def test_left_out_branches_end_where_browsers_end_them():
     assert article("<div class=ad>Buy") == ["end"]
 
 
+def test_repeats_within_a_page_or_over_its_copies_are_no_noise(spark):
+    refrain = "<article>" + "<p>La la la.</p>" * 12 + "<ul>" + "<li>0</li>" * 20 + "</ul><h2>End</h2></article>"
+    alike = "<article><h1>Same</h1><p>Same body.</p><ul><li>x</li></ul></article>"
+    own = "<article><h1>Own {0}</h1><p>Own body {0}.</p></article>"
+    shared = "<article><h1>Part {0}</h1><p class=n>{1}</p><p class=n>Read more.</p></article>"
+    rows = [(0, "https://alone.example/", refrain)]
+    rows += [(k, f"https://copied.example/{k}", alike) for k in range(1, 61)]
+    rows += [(k, f"https://copied.example/{k}", own.format(k)) for k in range(61, 64)]
+    # Nearly all blocks of a path repeat; a page's own block on it stays all the same.
+    rows += [(k, f"https://noisy.example/{k}", shared.format(k, "Note." if k == 110 else "Read more."))
+             for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    found = {r.page_id: r.text.split("\n\n") for r in html_text.texts(df).collect()}
+    assert found[0] == ["La la la."] * 12 + ["0"] * 20 + ["End"]
+    assert all(found[k] == ["Same", "Same body.", "x"] for k in range(1, 61))
+    assert all(found[k] == [f"Own {k}", f"Own body {k}."] for k in range(61, 64))
+    assert all(found[k] == [f"Part {k}"] + ["Note."] * (k == 110) for k in range(100, 130))
+
+
 # 10
 
 
