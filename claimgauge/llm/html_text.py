@@ -59,7 +59,7 @@ ENDS = {
     "th": ({"td", "th", "caption"}, TABLE - {"td", "th", "caption"}),
     "tr": ({"tr", "caption"}, TABLE - {"tr", "td", "th", "caption"}),
 } | dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr", "caption"}, {"table"}))
-#: Words in class, id or role of branches beside the article.
+#: Names in class, id or role of branches beside the article; compounds count by their last word.
 BESIDE = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent "
     "disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo related "
@@ -76,11 +76,25 @@ ROWS = 500
 _CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
+#: Words that make a compound say what else is on the page, as in has-sidebar.
+_SAYS_OF = frozenset("has have with without no not hide hides show shows".split())
+
+
+def _is_beside(name: str) -> bool:
+    """Whether a name of a class, id or role is that of a branch beside the article."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
+    while len(words) > 1 and words[-1][0].isdigit():  # ad-1, ad-300x250
+        words.pop()
+    return bool(words) and words[-1] in BESIDE and not _SAYS_OF.intersection(words[:-1])
+
+
 class _Node:
-    __slots__ = ("children", "out", "path", "parent", "tag")
+    __slots__ = ("children", "no_text", "out", "path", "parent", "tag")
 
-    def __init__(self, tag: str, path: str, parent: _Node | None, out: bool = False):
-        self.tag, self.path, self.parent, self.out = tag, path, parent, out
+    def __init__(self, tag: str, path: str, parent: _Node | None, no_text: bool = False, out: bool = False):
+        self.tag, self.path, self.parent = tag, path, parent
+        self.no_text = no_text  # in an element that never holds article text
+        self.out = out  # left out with its branch, unless an article comes to light in it
         self.children: list[_Node | str] = []
 
 
@@ -88,7 +102,8 @@ class _Builder(HTMLParser):
     """A tree of the page without the branches that hold no article text.
 
     Elements of such branches are opened and closed like all others, marked as left out, so that a
-    branch ends where a browser ends it.
+    branch ends where a browser ends it. A mark by name or on a form is taken back where a main or article
+    element begins in the branch.
     """
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
@@ -106,22 +121,30 @@ class _Builder(HTMLParser):
             while self._close(*ENDS[tag]):
                 pass
         if tag in VOID:
-            if not self.at.out:
+            if not self.at.no_text:
                 self.at.children.append(_Node(tag, self.at.path, self.at) if tag in BLOCK else " ")
             return
         given = dict(attrs)
         label = f"{tag}.{given['class']}" if given.get("class") else tag
-        out = self.at.out or self._left_out(tag, given)
-        node = _Node(tag, f"{self.at.path}/{label}", self.at, out)
-        if not out:
+        no_text = self.at.no_text or "hidden" in given or tag in NO_TEXT and tag != "form"
+        node = _Node(tag, f"{self.at.path}/{label}", self.at, no_text, self._left_out(tag, given))
+        if not no_text:
             self.at.children.append(node)
+            if tag in ("article", "main"):
+                self._open_up(node)
         self.at = node
 
     def _left_out(self, tag: str, given: dict[str, str | None]) -> bool:
-        names = " ".join(filter(None, (given.get("class"), given.get("id"), given.get("role")))).lower()
-        beside = BESIDE.intersection(re.split(r"[^a-z0-9]+", names)) or "hidden" in given
-        page_header = tag == "header" and not self._inside(("article", "main"))
-        return tag in NO_TEXT or bool(beside) or page_header
+        if tag in ("html", "body", "main", "article"):
+            return False
+        return (tag == "form" or any(_is_beside(n) for x in ("class", "id", "role") for n in (given.get(x) or "").split())
+                or tag == "header" and not self._inside(("article", "main")))
+
+    def _open_up(self, node: _Node | None) -> None:
+        """Takes the marks of the branches around an article back."""
+        while node is not None:
+            node.out = False
+            node = node.parent
 
     def _inside(self, tags: tuple[str, ...]) -> bool:
         node: _Node | None = self.at
@@ -159,7 +182,7 @@ class _Builder(HTMLParser):
         self._close({tag}, stop)
 
     def handle_data(self, data: str) -> None:
-        if not self.at.out:
+        if not self.at.no_text:
             self.at.children.append(data)
 
 
@@ -199,7 +222,7 @@ def blocks(html: str | None) -> list[dict]:
             if not begun and child.strip():
                 begun.append({"path": _block_path(node), "inside": inside})
             parts.append(child)
-        else:
+        elif not child.out:
             if child.tag not in BLOCK:
                 marks.append(child.tag)
             stack.append((child, 0, inside or child.tag in ("article", "main")))

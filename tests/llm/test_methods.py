@@ -372,6 +372,25 @@ def test_left_out_branches_end_where_browsers_end_them():
     assert article("<div class=ad>Buy") == ["end"]
 
 
+def test_names_that_only_speak_of_other_branches_leave_none_out():
+    def found(html):
+        return [b["text"] for b in html_text.blocks(html)]
+
+    for tag in ("html", "body", "main", "article"):
+        assert found(f"<{tag} class=sidebar id=comments role=banner><p>one</p></{tag}>") == ["one"]
+    for names in ("class='has-sidebar'", "id=content class='with-sidebar'", "class='post comments-open'",
+                  "class=nav-below", "class='no_comments'", "id=related-work-section"):
+        assert found(f"<div {names}><p>one</p></div>") == ["one"]
+    for names in ("class='box sidebar'", "id=left-sidebar", "class=site-footer", "class=ad-300x250", "role=navigation",
+                  "id=comments", "class='Cookie-Banner'", "hidden"):
+        assert found(f"<div {names}><p>one</p></div><p>two</p>") == ["two"]
+    # A branch with the article in it stays, without the branches beside the article in it.
+    for begin, end in (("<div class=widget>", "</div>"), ("<form>", "</form>"), ("<div id=ad><div class=promo>", "</div></div>")):
+        for tag in ("main", "article"):
+            assert found(f"{begin}<h1>Head</h1><{tag}><p>one</p><div class=ad>Buy</div></{tag}>{end}") == ["Head", "one"]
+    assert found("<aside><article>Teaser</article></aside><article>one</article>") == ["one"]
+
+
 def test_repeats_within_a_page_or_over_its_copies_are_no_noise(spark):
     refrain = "<article>" + "<p>La la la.</p>" * 12 + "<ul>" + "<li>0</li>" * 20 + "</ul><h2>End</h2></article>"
     alike = "<article><h1>Same</h1><p>Same body.</p><ul><li>x</li></ul></article>"
