@@ -316,7 +316,9 @@ def repeated(trees: DataFrame, least: float) -> DataFrame:
     """(host, content) of what goes: contents of noisy nodes that themselves come again on so many
     pages that they have little importance. Of a node there are few, total ** least at most."""
     noisy = style_tree(trees).where(F.greatest("content", "presentation") < least).select("host", "path", "total")
-    return _pages_with(_nodes(trees), "content", "new_text").join(noisy, ["host", "path"]).where(
+    # No content in fewer pages can pass, so contents of a page's own do not gather at their path.
+    often = _pages_with(_nodes(trees), "content", "new_text").where(F.col("n") > LEAST_PAGES ** (1 - least))
+    return often.join(noisy, ["host", "path"]).where(
         _importance(F.col("n"), F.col("total")) < least).select("host", "content")
 
 
