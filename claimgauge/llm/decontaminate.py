@@ -1,7 +1,9 @@
 """Benchmark passages in documents, by q-gram counts in diagonal bands and banded alignment.
 
 Both sides are normalised: lower case, runs of other characters than letters and digits become one
-space. Benchmark items are cut into overlapping windows, so that a passage of an item is found too.
+space. Benchmark items are cut into windows of 60 characters, one begun every 6, so that each verbatim
+passage of 60 characters is found wherever it begins; the edits allowed make good what it lacks of a
+window at its ends. Passages of 120 characters, and whole items under that, are found with twice the edits.
 A window of m characters may be met with up to e edits. By the q-gram lemma, a region of a document
 with so many edits shares at least m + 1 - q - e * q of the window's q-grams, and all of them lie on
 diagonals that differ by e at most. Bands of diagonals overlap by e, so each such region lies whole
@@ -16,7 +18,7 @@ q-gram and is not searched; repeated rows match alike; an empty table or benchma
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,15 +29,24 @@ from pyspark.sql import functions as F
 from claimgauge.llm.bytehash import mix
 
 GRAM = 10
-WINDOW = 120
+#: The least passage of an item that is found wherever it begins, in normalised characters.
+WINDOW = 60
+#: Characters from window to window. A passage of WINDOW characters lies off a window by half of it at
+#: most, which the edits allowed make good; it divides WINDOW, so two windows make up any text twice as
+#: long with twice the edits.
+STRIDE = 6
 #: Edits allowed for each character.
 EDITS = 0.08
 #: Characters of all windows of a block; the index takes about 20 bytes for each.
 BLOCK = 2_000_000
 #: Characters that a task looks at together.
 CHUNK = 1 << 18
+#: More than any place in a window, so that no diagonal is negative.
+REACH = 120_000
 #: Hits of q-grams that a task holds at a time.
 MOST_HITS = 1 << 20
+#: Alignments that a task does at a time.
+TOGETHER = 512
 _NOT_WORD = re.compile(r"[\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,11 +56,15 @@ def normalised(text: str | None) -> str:
 
 
 def windows(text: str, size: int = WINDOW) -> list[str]:
-    """Pieces of ``size`` characters, each half over the one before; the last ends with the text."""
+    """Pieces of ``size`` characters, begun so densely that any passage of that length covers one but
+    for the edits allowed; of a text of two windows at most, also the whole."""
     if len(text) <= size:
         return [text]
-    begins = list(range(0, len(text) - size, size // 2))
-    return [text[b:b + size] for b in [*begins, len(text) - size]]
+    begins = {*range(0, len(text) - size, STRIDE), len(text) - size}
+    if len(text) <= 2 * size:
+        return [text, *(text[b:b + size] for b in sorted(begins))]
+    begins.add(len(text) - 2 * size)
+    return [text[b:b + size] for b in sorted(begins)]
 
 
 def budget(length: int, q: int, edits: float) -> tuple[int, int]:
@@ -101,7 +116,7 @@ class Index:
         found = np.minimum(np.searchsorted(self.grams, grams[places]), len(self.grams) - 1)
         hit = self.grams[found] == grams[places]
         places, found = places[hit], found[hit]
-        bands = (len(text) + WINDOW * 1000) // self.step + 3
+        bands = (len(text) + REACH) // self.step + 3
         met, sums = [], []
         upto = np.cumsum(self.count[found])
         begin = 0
@@ -126,23 +141,72 @@ class Index:
         entry = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) \
             + np.repeat(self.begin[found], counts)
         window = self.of[entry]
-        diagonal = np.repeat(places, counts) - self.at[entry] + WINDOW * 1000
+        diagonal = np.repeat(places, counts) - self.at[entry] + REACH
         band = diagonal // self.step
         over = diagonal % self.step < self.most
         window, band = np.r_[window, window[over]], np.r_[band, band[over] - 1]
         return np.unique(window * bands + band, return_counts=True)
 
-    def verified(self, text: str, window: int, band: int) -> tuple[int, int] | None:
-        """(edits, end of the region) of the best alignment inside the band, if within the budget."""
-        pattern, most = self.texts[window], int(self.budgets[window, 0])
-        low = band * self.step - WINDOW * 1000
-        begin = max(0, low - most)
-        region = text[begin:max(0, low + self.step + 2 * most + len(pattern))]
-        at = region.find(pattern)
-        if at >= 0:
-            return 0, begin + at + len(pattern)
-        edits, end = aligned(_codes(pattern), _codes(region))
-        return (edits, begin + end) if edits <= most else None
+    def confirmed(self, texts: Iterable[tuple[Hashable, str]]) -> Iterator[tuple[Hashable, int, int, int]]:
+        """(key, window, edits, end of the region) of the best alignment in each band that meets its
+        window's bound, where that is within the budget; ``texts`` are pairs of key and text."""
+        waiting: list[tuple[Hashable, int, int, str]] = []
+        for key, text in texts:
+            for window, band, _ in self.regions(text):
+                pattern, most = self.texts[window], int(self.budgets[window, 0])
+                low = band * self.step - REACH
+                begin = max(0, low - most)
+                region = text[begin:max(0, low + self.step + 2 * most + len(pattern))]
+                at = region.find(pattern)
+                if at >= 0:
+                    yield key, window, 0, begin + at + len(pattern)
+                elif len(pattern) <= 64:
+                    waiting.append((key, window, begin, region))
+                else:
+                    edits, end = aligned(_codes(pattern), _codes(region))
+                    if edits <= most:
+                        yield key, window, edits, begin + end
+            if len(waiting) >= TOGETHER:
+                yield from self._aligned(waiting)
+                waiting = []
+        yield from self._aligned(waiting)
+
+    def _aligned(self, waiting: list[tuple[Hashable, int, int, str]]) -> Iterator[tuple[Hashable, int, int, int]]:
+        for k in range(0, len(waiting), TOGETHER):
+            part = waiting[k:k + TOGETHER]
+            found = aligned_together([self.texts[w] for _, w, _, _ in part], [r for *_, r in part])
+            for (key, window, begin, _), edits, end in zip(part, *found, strict=True):
+                if edits <= self.budgets[window, 0]:
+                    yield key, window, edits, begin + end
+
+
+def aligned_together(patterns: list[str], regions: list[str]) -> tuple[list[int], list[int]]:
+    """What ``aligned`` gives for each pair, for normalised patterns of up to 64 characters: a column
+    of the table is held as bits of its differences (Myers), one word for each pair."""
+    if not patterns:
+        return [], []
+    across = max(map(len, regions))
+    # Neither filler occurs in normalised text.
+    p = _codes("".join(x.ljust(64, "\0") for x in patterns)).reshape(-1, 1, 64)
+    r = _codes("".join(x.ljust(across, "\1") for x in regions)).reshape(-1, across, 1)
+    equal = np.packbits(p == r, axis=2, bitorder="little").view("<u8")[:, :, 0].T.copy()
+    one = np.uint64(1)
+    last = np.array([len(x) - 1 for x in patterns], np.uint64)
+    up, down = np.full(len(patterns), ~np.uint64(0)), np.zeros(len(patterns), np.uint64)
+    edits = last.astype(np.int64) + 1
+    best, end = edits.copy(), np.zeros(len(patterns), np.int64)
+    for j in range(across):
+        e = equal[j]
+        across_up = (((e & up) + up) ^ up) | e
+        more, less = down | ~(across_up | up), up & across_up
+        edits += ((more >> last) & one).astype(np.int64) - ((less >> last) & one).astype(np.int64)
+        more, less = more << one, less << one
+        e = e | down
+        up, down = less | ~(e | more), more & e
+        better = edits < best
+        best = np.where(better, edits, best)
+        end[better] = j + 1
+    return best.tolist(), end.tolist()
 
 
 def aligned(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -158,6 +222,14 @@ def aligned(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], str]]:
+    """((row, place), part) of the normalised texts; parts overlap by more than a region."""
+    for row, text in enumerate(batch.column("text")):
+        text = normalised(text.as_py())
+        for begin in range(0, max(1, len(text)), CHUNK):
+            yield (row, begin), text[begin:begin + CHUNK + 4 * WINDOW]
+
+
 def _block_matches(documents: DataFrame, found: list, q: int, edits: float) -> DataFrame:
     """Matches of one block's windows: (doc_id, item_id, edits, begin of the region's end)."""
     spark = documents.sparkSession
@@ -169,16 +241,11 @@ def _block_matches(documents: DataFrame, found: list, q: int, edits: float) -> D
         index = Index(texts, q, edits)
         for batch in batches:
             ids, item_ids, best, ends = [], [], [], []
-            for row, text in enumerate(batch.column("text")):
-                text = normalised(text.as_py())
-                for begin in range(0, max(1, len(text)), CHUNK):
-                    part = text[begin:begin + CHUNK + 2 * WINDOW]
-                    for window, band, _ in index.regions(part):
-                        if hit := index.verified(part, window, band):
-                            ids.append(row)
-                            item_ids.append(items[window])
-                            best.append(hit[0])
-                            ends.append(begin + hit[1])
+            for (row, begin), window, least, end in index.confirmed(_chunks(batch)):
+                ids.append(row)
+                item_ids.append(items[window])
+                best.append(least)
+                ends.append(begin + end)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(ids, pa.int64())),
                  pa.array(item_ids, item_kind), pa.array(best, pa.int32()), pa.array(ends, pa.int64())],
@@ -232,16 +299,10 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         def clean(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
             index = Index(texts.value, GRAM, EDITS)
             for batch in batches:
-                yield batch.filter(pa.array(
-                    [not _leaks(index, normalised(t.as_py())) for t in batch.column("text")], pa.bool_()))
+                clear = np.ones(batch.num_rows, bool)
+                for (row, _), *_ in index.confirmed(_chunks(batch)):
+                    clear[row] = False
+                yield batch.filter(pa.array(clear))
 
         documents = documents.mapInArrow(clean, documents.schema)
     return documents
-
-
-def _leaks(index: Index, text: str) -> bool:
-    return any(
-        index.verified(text[b:b + CHUNK + 2 * WINDOW], window, band)
-        for b in range(0, len(text), CHUNK)
-        for window, band, _ in index.regions(text[b:b + CHUNK + 2 * WINDOW])
-    )

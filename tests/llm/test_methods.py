@@ -199,6 +199,36 @@ def test_leaks_are_those_within_the_edit_budget(spark):
     assert clean == set(range(len(texts))) - {i for i, _ in expected}
 
 
+def test_least_passages_are_found_at_all_offsets():
+    chance = random.Random(5)
+
+    def letters(n):
+        return "".join(chance.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    for size in (61, 119, 121, 350):
+        item = letters(size)
+        index = decontaminate.Index(decontaminate.windows(item), decontaminate.GRAM, decontaminate.EDITS)
+        texts = [(k, letters(90) + item[k:k + 60] + letters(90)) for k in range(size - 59)]
+        assert {k for k, *_ in index.confirmed(texts)} == set(range(size - 59))
+        wide = []
+        for k in range(0, size - 119, 7):  # twice the passage with nine edits, wherever they are
+            passage = list(item[k // 60 * 60:][:120])
+            for at in chance.sample(range(len(passage)), 9):
+                passage[at] = chance.choice(["", "0", passage[at] + "0"])
+            wide.append((k, letters(90) + "".join(passage) + letters(90)))
+        found = {k for k, *_ in index.confirmed(wide)}
+        assert found == {k for k, _ in wide if len(item[k // 60 * 60:][:120]) == 120} | found
+
+
+def test_alignments_together_are_those_one_by_one():
+    chance = random.Random(6)
+    patterns = ["".join(chance.choice("abc ") for _ in range(chance.randrange(1, 65))) for _ in range(200)]
+    regions = ["".join(chance.choice([c, c, c, c, "", "x"]) for c in "ab" * chance.randrange(9) + p + "c a") for p in patterns]
+    together = zip(*decontaminate.aligned_together(patterns, regions), strict=True)
+    codes = [[np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in x] for x in (patterns, regions)]
+    assert list(together) == [decontaminate.aligned(p, r) for p, r in zip(*codes, strict=True)]
+
+
 # 5
 
 
