@@ -80,7 +80,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     marks = _MARKS[data]
     runs = marks.copy()
     runs[:-1] &= data[1:] == data[:-1]
-    runs[-1:] = False
+    runs[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False  # the next byte is another text's
 
     def share_of_words(flags: np.ndarray, none: bool = False) -> np.ndarray:
         """Words with a flagged byte, or with none."""

@@ -359,6 +359,16 @@ def test_scorer_rejects_junk_and_keeps_prose(spark, prose):
     assert all(rows[i].kept for i in range(150)) and not any(rows[i].kept for i in range(150, 180))
 
 
+def test_votes_do_not_depend_on_neighbouring_texts():
+    texts = [b"stop it!", b"! no", b"", b"a ##", b"", b"## b", b"c!!", b"!"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    together = weak_labels.statistics(data, np.cumsum([0, *map(len, texts)]))
+    for i, text in enumerate(texts):
+        alone = weak_labels.statistics(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        for name in alone.keys() - {"_words"}:
+            assert together[name][i] == alone[name][0], (name, text)
+
+
 # 9
 
 
