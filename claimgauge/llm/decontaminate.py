@@ -11,8 +11,9 @@ in one band. Bands with enough shared q-grams are verified by an alignment confi
 
 The windows are taken in blocks of bounded size; each block is broadcast and held against all rows.
 
-Edge cases: null and empty texts have no matches; a window with fewer than q characters has no
-q-gram and is not searched; repeated rows match alike; an empty table or benchmark gives no rows.
+Edge cases: null and empty texts have no matches; items of fewer than LEAST characters are no evidence
+and only reported by ``mentions``, those of fewer than q characters, which have no q-gram, not at all;
+repeated rows match alike; an empty table or benchmark gives no rows.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ REACH = 120_000
 MOST_HITS = 1 << 20
 #: Alignments that a task does at a time.
 TOGETHER = 512
+#: Normalised characters of an item from which on meeting it is a leak; shorter ones are also met by chance.
+LEAST = 30
 _NOT_WORD = re.compile(r"[\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,9 +60,10 @@ def normalised(text: str | None) -> str:
 
 def windows(text: str, size: int = WINDOW) -> list[str]:
     """Pieces of ``size`` characters, begun so densely that any passage of that length covers one but
-    for the edits allowed; of a text of two windows at most, also the whole."""
+    for the edits allowed; of a text of two windows at most, also the whole. A text shorter than a
+    window has the bounds of its words on."""
     if len(text) <= size:
-        return [text]
+        return [text if len(text) == size else f" {text} "]
     begins = {*range(0, len(text) - size, STRIDE), len(text) - size}
     if len(text) <= 2 * size:
         return [text, *(text[b:b + size] for b in sorted(begins))]
@@ -223,9 +227,9 @@ def aligned(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], str]]:
-    """((row, place), part) of the normalised texts; parts overlap by more than a region."""
+    """((row, place), part) of the normalised texts between spaces; parts overlap by more than a region."""
     for row, text in enumerate(batch.column("text")):
-        text = normalised(text.as_py())
+        text = f" {normalised(text.as_py())} "
         for begin in range(0, max(1, len(text)), CHUNK):
             yield (row, begin), text[begin:begin + CHUNK + 4 * WINDOW]
 
@@ -245,7 +249,7 @@ def _block_matches(documents: DataFrame, found: list, q: int, edits: float) -> D
                 ids.append(row)
                 item_ids.append(items[window])
                 best.append(least)
-                ends.append(begin + end)
+                ends.append(begin + end - 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(ids, pa.int64())),
                  pa.array(item_ids, item_kind), pa.array(best, pa.int32()), pa.array(ends, pa.int64())],
@@ -257,17 +261,23 @@ def _block_matches(documents: DataFrame, found: list, q: int, edits: float) -> D
         match, f"doc_id {kind}, item_id bigint, edits int, region_end bigint")
 
 
-def benchmark_windows(benchmark: DataFrame, size: int, q: int) -> DataFrame:
-    """(item_id, window), each window once for each item."""
-    cut = F.udf(lambda text: [w for w in windows(normalised(text), size) if len(w) >= q], "array<string>")
+def benchmark_windows(benchmark: DataFrame, size: int, q: int, least: int = LEAST, below: int | None = None) -> DataFrame:
+    """(item_id, window), each window once for each item of ``least`` characters or more, and under ``below``."""
+
+    def cut(text: str | None) -> list[str]:
+        text = normalised(text)
+        if len(text) < max(least, q) or below is not None and len(text) >= below:
+            return []
+        return windows(text, size)
+
     return benchmark.select(
-        F.col("item_id").cast("bigint"), F.explode(cut("text")).alias("window")).distinct()
+        F.col("item_id").cast("bigint"), F.explode(F.udf(cut, "array<string>")("text")).alias("window")).distinct()
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, q: int = GRAM, size: int = WINDOW,
-            edits: float = EDITS, block: int = BLOCK) -> DataFrame:
+            edits: float = EDITS, block: int = BLOCK, least: int = LEAST, below: int | None = None) -> DataFrame:
     """Every verified region: doc_id, item_id, edits, region_end (in the normalised text)."""
-    pieces = benchmark_windows(benchmark, size, q)
+    pieces = benchmark_windows(benchmark, size, q, least, below)
     total = pieces.agg(F.sum(F.length("window"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block))
     numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)))
@@ -278,6 +288,13 @@ def matches(documents: DataFrame, benchmark: DataFrame, q: int = GRAM, size: int
     return reduce(DataFrame.unionByName, parts)
 
 
+def mentions(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id and n_regions of verbatim items under LEAST characters, between word bounds: no
+    evidence of a leak, so neither ``leaks`` nor ``without_leaks`` minds them."""
+    found = matches(documents, benchmark, edits=0.0, least=GRAM, below=LEAST)
+    return found.groupBy("doc_id", "item_id").agg(F.count_distinct("region_end").alias("n_regions"))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it holds a passage of: the least edits, and the regions."""
     return matches(documents, benchmark).groupBy("doc_id", "item_id").agg(

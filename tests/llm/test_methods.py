@@ -220,6 +220,16 @@ def test_least_passages_are_found_at_all_offsets():
         assert found == {k for k, _ in wide if len(item[k // 60 * 60:][:120]) == 120} | found
 
 
+def test_short_items_drop_no_documents(spark):
+    item = "Every good boy deserves fudge, and art."
+    benchmark = spark.createDataFrame([(1, "photosynthesis"), (2, "Yes, of course!"), (3, item)], "item_id bigint, text string")
+    df = documents(spark, ["Plants live by photosynthesis.", "yes of course, yes of course", "eyes of courser", item.lower(),
+                           f"he said: {item}", "photosynthesised"])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, benchmark).collect()} == {(3, 3), (4, 3)}
+    assert {r.doc_id for r in decontaminate.without_leaks(df, benchmark).collect()} == {0, 1, 2, 5}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.mentions(df, benchmark).collect()} == {(0, 1), (1, 2)}
+
+
 def test_alignments_together_are_those_one_by_one():
     chance = random.Random(6)
     patterns = ["".join(chance.choice("abc ") for _ in range(chance.randrange(1, 65))) for _ in range(200)]
