@@ -1,15 +1,18 @@
-"""Near duplicates by the Jaccard similarity of word n-grams: a MinHash LSH forest, then exact checks.
+"""Near duplicates by the Jaccard similarity of word n-grams: banded MinHash LSH, then exact checks.
+
+This is not an LSH forest: there are no sorted prefixes of varying length. As the threshold is fixed, one
+depth of the prefixes, known before any data are read, gives the recall, and equal prefixes are one key.
 
 1. Signatures. Each text gets the minima of ``trees`` x depth hash functions over its n-grams. Texts
    with the same set of n-grams form one class and go on as one row.
-2. Forest. Every tree orders the classes by a prefix of its part of the signature. The prefix begins
-   long and is shortened until the chance to miss a pair at the threshold, in all trees together,
-   is below 1 - ``recall``.
+2. Bands. Every tree groups the classes by its part of the signature, hashed to one key. Its depth is
+   the largest, up to LONGEST, at which the chance to miss a pair at the threshold, in all trees
+   together, is below 1 - ``recall``: 20 bands of 4 for the constants below.
 3. Sketches. Classes that share a prefix are compared by their whole signatures, and only those that
    agree in ``sketch`` of it or more stay connected. Their connected components are small groups of
    texts that are alike; texts that merely share a passage do not get in.
 4. Exact verification of all pairs within a component by their n-grams, so that a pair missed by the
-   forest is still found if others connect it.
+   bands is still found if others connect it.
 
 Large buckets and components are cut into lots; pairs are met inside tasks and leave them as a count
 and one edge to a root for each member, never as pairs.
@@ -49,7 +52,7 @@ LOT = 400
 
 def prefix_length(threshold: float, trees: int = TREES, longest: int = LONGEST,
                   recall: float = RECALL) -> int:
-    """Shortens the prefix until the forest's recall at the threshold is reached."""
+    """Shortens the prefix until the recall of all trees at the threshold is reached."""
     depth = longest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
