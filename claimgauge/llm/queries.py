@@ -8,7 +8,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgauge.llm import bpe, decontaminate, html_text, lm_score, ngram_join, repeats, rules, sharding, token_rollup, weak_labels
+from claimgauge.llm import (
+    bpe,
+    conversation_repair,
+    decontaminate,
+    html_text,
+    lm_score,
+    ngram_join,
+    ranked_search,
+    repeats,
+    rules,
+    sharding,
+    token_rollup,
+    weak_labels,
+    word_repeats,
+)
+from claimgauge.llm import statements as sql
 from claimgauge.llm.shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +80,19 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digests(table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return conversation_repair.digests(conversation_repair.damaged(conversations), conversations)
+
+
+def op12_word_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return word_repeats.digests(table(spark, folder, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_lm_score": op1_lm_score,
@@ -77,9 +105,16 @@ def registered() -> dict[str, Query]:
         "op8_weak_labels": op8_weak_labels,
         "op9_html_text": op9_html_text,
         "op10_repeats": op10_repeats,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_word_repeats": op12_word_repeats,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def statements() -> dict[str, str]:
     """SQL for DuckDB, where it can express a query."""
-    return {}
+    return {
+        "op11_conversation_repair": sql.conversation_repair(),
+        "op12_word_repeats": sql.word_repeats(),
+        "op13_ranked_search": sql.ranked_search(),
+    }
