@@ -187,6 +187,7 @@ def _best(documents: DataFrame, lot: _Lot, top: int) -> DataFrame:
     for term, n in holding.items():
         weight[term] = math.floor(1000 * math.log((2 * n_documents + 2) / (2 * n + 1)))
     items = [(number, own[weight[own] > 0]) for number, own in lot.items]
+    items = [(number, own) for number, own in items if len(own)]
     sent = documents.sparkSession.sparkContext.broadcast((lot.known, weight, items))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
