@@ -1,77 +1,116 @@
 """Exact medians, percentiles and ranks without a global sort in one task.
 
-Equal values are first counted together, so a value shared by a third of all rows is one row.
-The distinct values are then cut into buckets by approximate quantiles. The cuts only balance the
-work: counts below each bucket and inside it are exact wherever the cuts fall.
+A ``RankIndex`` is a table of a column's distinct values, each with the rows that have it, cut into
+ranges of values by Spark's range partitioning, and a fence for each range: its first and last value,
+its rows and the rows before it. A value shared by a third of all rows is one row. Whatever is asked
+looks up its range in the fences and reads that range only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimgauge.functions.expressions import ratio
 from claimgauge.sources.staging import Staging
 
-BUCKETS = 128  # at least; more where Spark shuffles to more partitions
-
-
-def cumulative_counts(frame: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
-    """One row per distinct value: `value`, `up_to` (rows at or below it), `n` (all rows)."""
-    inside = Window.partitionBy("bucket").orderBy("value")
-    return _bucketed(frame, column, buckets).select(
-        "value", (F.col("before") + F.sum("weight").over(inside)).alias("up_to"), "n"
-    )
 
+class RankIndex:
+    """The order statistics of one column, as tables in a folder.
 
-def _bucketed(frame: DataFrame, column: str, buckets: int | None) -> DataFrame:
-    """Distinct values with their `weight` (rows), their bucket, the rows in it (`inside`), in the
-    buckets before it (`before`) and in all (`n`)."""
-    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or max(BUCKETS, 4 * partitions)
-    counts = (
-        frame.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = counts.agg(F.percentile_approx("value", steps, 100 * buckets).alias("cuts"))
-    bucketed = counts.withColumn("cuts", cuts.scalar()).select(
-        "value",
-        "weight",
-        F.size(F.filter("cuts", lambda cut: cut < F.col("value"))).alias("bucket"),
-    )
-    # At most `buckets` rows: safe to order in one task and to send to every task.
-    sizes = bucketed.groupBy("bucket").agg(F.sum("weight").alias("inside"))
-    in_order = Window.orderBy("bucket")
-    before = sizes.select(
-        "bucket",
-        "inside",
-        (F.sum("inside").over(in_order) - F.col("inside")).alias("before"),
-        F.sum("inside").over(Window.partitionBy()).alias("n"),
-    )
-    return bucketed.join(F.broadcast(before), "bucket")
-
-
-def median(frame: DataFrame, column: str, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """One row, one column. Exact: the mean of the two middle values. Otherwise an existing value.
-
-    An exact median looks only into the buckets that hold the two middle positions, and takes there
-    the first value that as many rows lie at or below. Nothing is gathered into one row.
+    ``values``: value, weight and its range, one folder for each range. ``fences``: one row for each
+    range. ``facts``: one row with n, the mean and the sample standard deviation (``spread``).
     """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.fences = spark.read.parquet(f"{folder}/fences")
+        self.facts = spark.read.parquet(f"{folder}/facts")
+        # Without values there is no file to take the type from.
+        kind = self.fences.schema["low"].dataType.simpleString()
+        self.values = spark.read.schema(f"value {kind}, weight bigint, range int").parquet(f"{folder}/values")
+
+    @classmethod
+    def build(cls, frame: DataFrame, column: str, folder: str, ranges: int | None = None) -> RankIndex:
+        """Writes the index of a column's values that are not null. ``ranges``: by default Spark's choice."""
+        spark = frame.sparkSession
+        counts = (
+            frame.where(F.col(column).isNotNull())
+            .groupBy(F.col(column).alias("value"))
+            .agg(F.count(F.lit(1)).alias("weight"))
+        )
+        ranged = counts.repartitionByRange(*([ranges] if ranges else []), "value")
+        placed = ranged.withColumn("range", F.spark_partition_id())
+        schema = placed.schema
+        placed.sortWithinPartitions("range", "value").write.mode("overwrite").partitionBy("range").parquet(
+            f"{folder}/values")
+        values = spark.read.schema(schema).parquet(f"{folder}/values")
+        sizes = values.groupBy("range").agg(
+            F.min("value").alias("low"), F.max("value").alias("high"), F.sum("weight").alias("inside"),
+            F.sum(F.col("value") * F.col("weight")).alias("total"))
+        # One row for each range: safe to order in one task.
+        earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        sizes.select("*", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before")).coalesce(1).write.mode(
+            "overwrite").parquet(f"{folder}/fences")
+        fences = spark.read.parquet(f"{folder}/fences")
+        n, mean = F.sum("inside"), ratio(F.sum("total"), F.sum("inside"))
+        middle = fences.agg(mean.alias("mean")).scalar()
+        apart = F.pow(F.col("value").cast("double") - middle, 2) * F.col("weight")
+        spread = values.agg(
+            F.sqrt(ratio(F.sum(apart), F.nullif(F.sum("weight") - 1, F.lit(0)))).alias("spread")).scalar()
+        fences.agg(F.coalesce(n, F.lit(0)).alias("n"), mean.alias("mean")).withColumn("spread", spread).write.mode(
+            "overwrite").parquet(f"{folder}/facts")
+        return cls(spark, folder)
+
+    def median(self) -> DataFrame:
+        """One row, one column: the mean of the two middle values. Reads the ranges that hold them."""
+        fences = self.fences.select("*", F.sum("inside").over(Window.partitionBy()).alias("n"))
+        lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+        near = fences.where((F.col("before") < upper) & (F.col("before") + F.col("inside") >= lower))
+        placed = self._placed(near)
+
+        def first_at(position: Column) -> Column:
+            return F.min(F.when(F.col("up_to") >= position, F.col("value"))).cast("double")
+
+        return placed.agg(((first_at(lower) + first_at(upper)) / 2).alias("median"))
+
+    def cumulative(self) -> DataFrame:
+        """One row for each distinct value: ``value``, ``up_to`` (rows at or below it), ``n`` (all rows)."""
+        fences = self.fences.select("*", F.sum("inside").over(Window.partitionBy()).alias("n"))
+        return self._placed(fences).select("value", "up_to", "n")
+
+    def rows_up_to(self, value: object) -> DataFrame:
+        """One row: ``up_to`` for a value, which need not occur, and ``n``. Reads one range."""
+        at = F.lit(value)
+        fence = self.fences.where(F.col("low") <= at).orderBy(F.col("range").desc()).select("range", "before").first()
+        n = self.facts.select("n").scalar()
+        if fence is None:
+            return self.facts.select(F.lit(0).cast("bigint").alias("up_to"), "n")
+        own = self.values.where((F.col("range") == fence["range"]) & (F.col("value") <= at))
+        return own.agg((F.sum("weight") + fence["before"]).alias("up_to")).withColumn("n", n)
+
+    def _placed(self, fences: DataFrame) -> DataFrame:
+        inside = Window.partitionBy("range").orderBy("value")
+        joined = self.values.join(F.broadcast(fences.select("range", "before", "n")), "range")
+        return joined.withColumn("up_to", F.col("before") + F.sum("weight").over(inside))
+
+
+def indexed(frame: DataFrame, column: str, staging: Staging | None = None) -> RankIndex:
+    """An index among a job's shared tables."""
+    staging = staging or Staging(frame.sparkSession)
+    return RankIndex.build(frame, column, f"{staging.folder}/ranks-{uuid.uuid4().hex[:8]}")
+
+
+def median(
+    frame: DataFrame, column: str, exact: bool = True, accuracy: int = 10_000, staging: Staging | None = None
+) -> DataFrame:
+    """One row, one column. Exact: the mean of the two middle values. Otherwise an existing value."""
     if not exact:
         approximate = F.percentile_approx(F.col(column), 0.5, accuracy)
         return frame.agg(approximate.cast("double").alias("median"))
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    near = _bucketed(frame, column, None).where(
-        (F.col("before") < upper) & (F.col("before") + F.col("inside") >= lower)
-    )
-    inside = Window.partitionBy("bucket").orderBy("value")
-    placed = near.withColumn("up_to", F.col("before") + F.sum("weight").over(inside))
-
-    def first_at(position: Column) -> Column:
-        return F.min(F.when(F.col("up_to") >= position, F.col("value"))).cast("double")
-
-    return placed.agg(((first_at(lower) + first_at(upper)) / 2).alias("median"))
+    return indexed(frame, column, staging).median()
 
 
 def global_rank(frame: DataFrame, order: list[Column], name: str, staging: Staging) -> DataFrame:

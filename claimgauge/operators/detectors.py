@@ -18,6 +18,7 @@ from claimgauge.config import ScanConfig
 from claimgauge.functions.expressions import at_most_one, ratio
 from claimgauge.functions.order_statistics import median
 from claimgauge.operators.summaries import drop_providers, keep_providers
+from claimgauge.sources.staging import Staging
 
 
 # Volume
@@ -78,13 +79,19 @@ def paid_per_claim(totals: DataFrame) -> DataFrame:
     )
 
 
-def revenue_baseline(totals: DataFrame, config: ScanConfig) -> DataFrame:
+def revenue_baseline(
+    totals: DataFrame, config: ScanConfig, staging: Staging | None = None
+) -> DataFrame:
     """One row: the median of paid per claim and the median absolute deviation from it."""
     rates = paid_per_claim(totals)
-    middle = _median(rates, "paid_per_claim", config).scalar()
-    deviations = rates.select(F.abs(F.col("paid_per_claim") - middle).alias("deviation"))
-    mad = _median(deviations, "deviation", config)
-    return mad.select(middle.alias("median"), F.col("median").alias("mad"))
+
+    def middle_of(frame: DataFrame, column: str) -> DataFrame:
+        return median(frame, column, config.exact_median, config.approx_accuracy, staging)
+
+    middle = middle_of(rates, "paid_per_claim")
+    apart = F.abs(F.col("paid_per_claim") - middle.scalar())
+    mad = middle_of(rates.select(apart.alias("deviation")), "deviation")
+    return mad.select(middle.scalar().alias("median"), F.col("median").alias("mad"))
 
 
 def revenue_findings(
@@ -93,10 +100,10 @@ def revenue_findings(
     baseline: DataFrame | None = None,
     scope: DataFrame | None = None,
 ) -> DataFrame:
-    """Providers far above the median. `totals` are all peers; `scope` only limits the output."""
+    """Providers far above the median. Without a baseline, `totals` are all peers; `scope` only limits
+    the output."""
     baseline = revenue_baseline(totals, config) if baseline is None else baseline
-    rates = paid_per_claim(totals)
-    scoped = rates if scope is None else keep_providers(rates, scope)
+    scoped = paid_per_claim(totals if scope is None else keep_providers(totals, scope))
     mad = F.col("_baseline.mad")
     measured = scoped.withColumn(
         "_baseline", baseline.select(F.struct("median", "mad")).scalar()
@@ -108,10 +115,6 @@ def revenue_findings(
     )
 
 
-def _median(frame: DataFrame, column: str, config: ScanConfig) -> DataFrame:
-    return median(frame, column, config.exact_median, config.approx_accuracy)
-
-
 # Spikes
 
 def spike_findings(history: DataFrame, config: ScanConfig) -> DataFrame:

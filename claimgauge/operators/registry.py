@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgauge import fixed_values as fv
-from claimgauge.functions.expressions import filled, is_npi, or_blank, prefix, state_code
+from claimgauge.functions.expressions import filled, or_blank, prefix, state_code
 
 _ENTITY_LABELS = {"1": "NPI-1", "2": "NPI-2"}
 
@@ -18,11 +18,14 @@ def organizations(registry: DataFrame) -> DataFrame:
 def state_map(registry: DataFrame) -> DataFrame:
     """Provider to state: practice state, or mailing state where the practice state is empty.
 
-    A provider listed twice keeps its highest state, so a filled state wins over a blank one;
-    files have no row order in Spark that could decide.
+    Of a provider listed twice the later row counts, if the registry was read with positions. Else
+    it keeps its highest state, so a filled state wins over a blank one.
     """
     practice = F.nullif(_present(registry, "practice_state"), F.lit(""))
     state = state_code(F.coalesce(practice, _present(registry, "mailing_state")))
+    if "position" in registry.columns:
+        rows = registry.select("npi", "position", state.alias("state"))
+        return rows.groupBy("npi").agg(F.max_by("state", "position").alias("state"))
     return registry.select("npi", state.alias("state")).groupBy("npi").agg(
         F.max("state").alias("state")
     )
@@ -44,16 +47,39 @@ def display_name(registry: DataFrame) -> Column:
 def search(
     registry: DataFrame, query: str, state: str | None = None, limit: int = fv.SEARCH_LIMIT
 ) -> DataFrame:
-    """The first matches by identifier. Ten digits look for that provider, all else for a name."""
-    return matches(registry, query, state).orderBy("npi").limit(limit)
+    """The first matches: in the order of the file, if the registry was read with positions, else by
+    identifier. Ten digits look for that provider, all else for a name."""
+    found = _matching(registry, query, state)
+    if "position" in registry.columns:
+        found = found.select("position", *_result_columns(registry)).orderBy("position").limit(limit)
+        return found.drop("position")
+    return found.select(*_result_columns(registry)).orderBy("npi").limit(limit)
 
 
 def matches(registry: DataFrame, query: str, state: str | None = None) -> DataFrame:
+    return _matching(registry, query, state).select(*_result_columns(registry))
+
+
+def search_rows(registry: DataFrame) -> DataFrame:
+    """Every row as a search shows it, with what a search compares: both names in lower case and the
+    state; and its position, if there is one."""
+    words = [F.lower(or_blank(_present(registry, name))) for name in ("organization_name", "last_name")]
+    kept = ["position"] if "position" in registry.columns else []
+    return registry.select(
+        *_result_columns(registry), words[0].alias("organization_words"), words[1].alias("last_words"),
+        _practice_state(registry).alias("practice"), *kept)
+
+
+def asks_for_identifier(query: str) -> bool:
+    return len(query) == 10 and query.isascii() and query.isdigit()
+
+
+def _matching(registry: DataFrame, query: str, state: str | None) -> DataFrame:
     query = query.strip()
     found = registry.where(_asked_for(registry, query))
     if state is not None and state.strip():
         found = found.where(_practice_state(registry) == state.strip().upper())
-    return found.select(*_result_columns(registry))
+    return found
 
 
 def provider_rows(registry: DataFrame) -> DataFrame:
@@ -84,7 +110,7 @@ def region_providers(registry: DataFrame, state: str, zip_prefixes: tuple[str, .
 
 
 def _asked_for(registry: DataFrame, query: str) -> Column:
-    if len(query) == 10 and query.isascii() and query.isdigit():
+    if asks_for_identifier(query):
         return F.col("npi") == query
     wanted = query.lower()
     found = F.lit(False)
@@ -117,7 +143,3 @@ def _result_columns(registry: DataFrame) -> list[Column]:
 def _present(registry: DataFrame, name: str) -> Column:
     return F.col(name) if name in registry.columns else F.lit(None).cast("string")
 
-
-def well_formed(providers: DataFrame) -> DataFrame:
-    """The providers whose identifier has ten digits."""
-    return providers.where(is_npi(F.col("npi")))

@@ -15,19 +15,22 @@ from claimgauge.sources.staging import Staging
 
 def build_dossiers(
     cells: DataFrame,
-    totals: DataFrame,
+    totals: DataFrame | None,
     registry: DataFrame | None = None,
     results: DataFrame | None = None,
     descriptions: DataFrame | None = None,
     subjects: DataFrame | None = None,
     staging: Staging | None = None,
+    peers: DataFrame | None = None,
 ) -> DataFrame:
     """One row per provider in `cells`, or per subject that has any.
 
     `cells` are the claims summed by provider, procedure and month (`claim_cells`), or the claims
-    themselves; a scan of the same claims has the cells already. They are cut to the subjects after that sum, so a provider with very
-    many claims has been combined before it travels. `totals` are those of all providers, the peers. `registry` is a normalized registry or rows
-    read from service answers. Providers without a scan result have score 0 and no flags.
+    themselves; a scan of the same claims has the cells already. They are cut to the subjects after
+    that sum, so a provider with very many claims has been combined before it travels. `totals` are
+    those of all providers, which the subjects are compared with; `peers` is that comparison, where it has
+    been made. `registry` is a normalized registry or rows read from service answers. Providers without a
+    scan result have score 0 and no flags.
     """
     staging = staging or Staging(cells.sparkSession)
     if "row_count" not in cells.columns:
@@ -55,7 +58,7 @@ def build_dossiers(
             dossier = dossier.join(sections.listed(rows, name, *order), "npi", "left")
             dossier = dossier.withColumn(name, F.coalesce(F.col(name), F.array()))
     if "total_paid" in cells.columns:
-        peers = peer_comparison(totals, subjects)
+        peers = peer_comparison(totals, subjects, staging) if peers is None else peers
         numbers = [c for c in peers.columns if c != "npi"]
         peers = peers.select("npi", F.struct(*numbers).alias("peer_comparison"))
         dossier = dossier.join(peers, "npi", "left")

@@ -19,12 +19,6 @@ _CLAIM_TYPES = {
 
 CLAIMS = T.StructType([T.StructField(name, _CLAIM_TYPES[name]) for _, name in fv.CLAIM_COLUMNS])
 
-# A month may come as YYYY-MM, which only a cast from text accepts.
-RAW_CSV = T.StructType([
-    T.StructField(raw, T.StringType() if name == "service_month" else _CLAIM_TYPES[name])
-    for raw, name in fv.CLAIM_COLUMNS
-])
-
 FLAGS = T.StructType([
     T.StructField("npi", T.StringType()),
     T.StructField("flag_type", T.StringType()),

@@ -11,9 +11,22 @@ from claimgauge.schema import REGISTRY_ANSWER
 from claimgauge.sources.claims import CSV
 
 
-def read_registry(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """The used columns of the extracted registry file, all text. Only they are parsed."""
-    return normalize_registry(spark.read.options(**CSV, multiLine=multi_line).csv(path))
+def read_registry(
+    spark: SparkSession, path: str, multi_line: bool = False, positions: bool = False
+) -> DataFrame:
+    """The used columns of the extracted registry file, all text. Only they are parsed.
+
+    With ``positions`` each row says where it stands: its file, the split of the file, and its number
+    in the task that reads the split from its begin. So rows compare as they stand in the files, whatever
+    task reads them; ``state_map`` and ``search`` then follow the order of the file.
+    """
+    frame = spark.read.options(**CSV, multiLine=multi_line).csv(path)
+    if positions:
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("row"))
+        frame = frame.select("*", place.alias("position"))
+    return normalize_registry(frame)
 
 
 def normalize_registry(frame: DataFrame) -> DataFrame:
@@ -23,7 +36,8 @@ def normalize_registry(frame: DataFrame) -> DataFrame:
         source = raw if raw in frame.columns else name if name in frame.columns else None
         if source:
             columns.append(F.col(f"`{source}`").cast("string").alias(name))
-    registry = frame.select(*columns)
+    kept = ["position"] if "position" in frame.columns else []
+    registry = frame.select(*columns, *kept)
     return registry.withColumn("npi", filled(F.col("npi"))).where(F.col("npi").isNotNull())
 
 

@@ -10,6 +10,7 @@ from claimgauge.functions.expressions import number
 from claimgauge.operators.scoring import ranked, top
 from claimgauge.schema import SCAN_PAYLOAD
 from claimgauge.sources.claims import CSV
+from claimgauge.sources.keyed import read_key, read_keyed, write_keyed
 from claimgauge.sources.staging import Staging
 
 _SHOWN = ("npi", "overall_score", "num_flags", "flag_types", "red_flags")
@@ -74,7 +75,21 @@ def read_payload(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dossiers(dossiers: DataFrame, path: str, fmt: str = "parquet") -> None:
-    dossiers.write.mode("overwrite").format(fmt).save(path)
+    """Parquet is laid out for `read_dossier`; other formats lie in ranges of providers."""
+    if fmt == "parquet":
+        write_keyed(dossiers, path)
+    else:
+        ranged = dossiers.repartitionByRange("npi").sortWithinPartitions("npi")
+        ranged.write.mode("overwrite").format(fmt).save(path)
+
+
+def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
+    return read_keyed(spark, path)
+
+
+def read_dossier(spark: SparkSession, path: str, npi: str) -> DataFrame:
+    """One provider's dossier, or no row. What is read does not grow with the number of dossiers."""
+    return read_key(spark, path, npi)
 
 
 def _shown_provider(row: Column) -> Column:

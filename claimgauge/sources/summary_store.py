@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimgauge.operators import summaries as S
+from claimgauge.sources.keyed import bloom_filtered
 from claimgauge.sources.staging import Staging
 
 MONTHLY = "provider_monthly"
@@ -15,7 +16,8 @@ def write_summaries(claims: DataFrame, folder: str, staging: Staging | None = No
     """Aggregate the claims once and write both summaries in ranges of their keys.
 
     A provider's rows lie together, so scans combine them before they shuffle and a lookup reads
-    few files, while a provider with very many rows still spans several ranges.
+    few row groups, while a provider with very many rows still spans several ranges. `MonthStore` keeps
+    the same summaries month by month, with what is derived from them.
     """
     own = staging or Staging(claims.sparkSession)
     cells = own.keep(S.claim_cells(claims), "cells")
@@ -24,7 +26,7 @@ def write_summaries(claims: DataFrame, folder: str, staging: Staging | None = No
         (PROCEDURE, S.procedure_of_cells(cells), S.PROCEDURE_KEY),
     ):
         ranged = frame.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        ranged.write.mode("overwrite").parquet(f"{folder}/{name}")
+        bloom_filtered(ranged.write.mode("overwrite"), "npi").parquet(f"{folder}/{name}")
     if staging is None:
         own.close()
 

@@ -1,13 +1,14 @@
 """Against brute force, with hot values."""
 
 import random
+import re
 import statistics
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from claimgauge.functions.order_statistics import cumulative_counts, global_rank, median
+from claimgauge.functions.order_statistics import RankIndex, global_rank, indexed, median
 from claimgauge.sources.staging import Staging
 
 
@@ -32,29 +33,57 @@ def test_median(spark, kind, n):
     assert row.median == statistics.median(numbers)
 
 
-@pytest.mark.parametrize("accuracy", [50, 1000])
-def test_median_at_low_accuracy(spark, accuracy):
-    numbers = values("spread", 40_000, 5)
-    (row,) = median(frame(spark, numbers), "x", accuracy=accuracy).collect()
-    assert row.median == statistics.median(numbers)
-
-
 def test_median_ignores_nulls(spark):
     with_null = spark.createDataFrame([(None,), (1.0,), (4.0,)], "x double")
     assert median(with_null, "x").collect()[0].median == 2.5
     assert median(with_null.where("x is null"), "x").collect()[0].median is None
 
 
-@pytest.mark.parametrize("kind", ["spread", "hot", "few"])
-def test_cumulative_counts(spark, kind):
-    numbers = values(kind, 5000, 9)
-    rows = cumulative_counts(frame(spark, numbers), "x", buckets=16).collect()
+@pytest.fixture(scope="module")
+def index(spark):
+    """Twenty ranges of values, some of them hot."""
+    numbers = values("hot", 5000, 9) + values("few", 500, 3)
+    built = RankIndex.build(frame(spark, numbers), "x", f"{Staging(spark).folder}/index", ranges=20)
+    assert built.fences.count() == 20
+    return RankIndex(spark, built.folder), numbers
+
+
+def test_cumulative_counts(index):
+    index, numbers = index
+    rows = index.cumulative().collect()
     running, expected = 0, {}
     for value, weight in sorted(Counter(numbers).items()):
         running += weight
         expected[value] = running
     assert {r.value: r.up_to for r in rows} == expected
-    assert {r.n for r in rows} == {5000}
+    assert {r.n for r in rows} == {5500}
+
+
+def test_facts(index):
+    index, numbers = index
+    assert index.median().first().median == statistics.median(numbers)
+    facts = index.facts.first()
+    assert (facts.n, facts.mean, facts.spread) == (
+        5500, pytest.approx(statistics.mean(numbers)), pytest.approx(statistics.stdev(numbers)))
+
+
+@pytest.mark.parametrize("value", [-1.0, 0.0, 2.0, 7.5, 7.4999, 3.3, 14.9, 99.0])
+def test_rows_up_to_a_value_are_read_from_its_range(index, value):
+    index, numbers = index
+    found = index.rows_up_to(value)
+    row = found.first()
+    assert (row.up_to, row.n) == (sum(x <= value for x in numbers), 5500)
+    if value >= 0:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[isnotnull\(range#\d+\), \(range#\d+ = \d+\)\]", plan)
+
+
+def test_index_of_nothing_and_of_one_value(spark):
+    empty = indexed(frame(spark, [1]).limit(0), "x")
+    assert empty.median().first().median is None and empty.cumulative().count() == 0
+    assert tuple(empty.rows_up_to(3.0).first()) == (0, 0)
+    one = indexed(frame(spark, [4, 4]), "x")
+    assert (one.median().first().median, one.facts.first().spread) == (4.0, 0.0)
 
 
 def test_global_rank(spark):

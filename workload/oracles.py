@@ -262,6 +262,8 @@ _IN_REGION = """deactivation_date = '' and practice_state = 'NATION_3'
 _PROVIDER = """'' as address, '' as city,
     case when practice_state = '' then mailing_state else practice_state end as state,
     substring(postal_code, 1, 5) as zip"""
+_DESCRIPTION = (
+    "case when procedure_code = 'PROMO' then '' else 'Items of type ' || lower(procedure_code) end")
 _DOSSIER = f"""
     {_with('results', 'summary', 'first_codes', 'breakdown', 'peers', 'registry')}
     select results.npi, name,
@@ -282,10 +284,11 @@ _DATED = {
         "claims_normalized", "claims_csv_roundtrip", "provider_claims", "monthly_summary",
         "procedure_summary", "qualifying_monthly", "qualifying_procedure", "region_subset",
         "volume_flags", "volume_flags_no_exclusion", "spike_flags", "provider_history",
-        "procedure_monthly", "billing_timeline",
+        "procedure_monthly", "billing_timeline", "month_store_monthly", "month_store_procedure",
+        "month_store_manifest", "dossier_lists",
     ),
-    "date_range_start": ("claims_summary", "dossier", "dossier_roundtrip"),
-    "date_range_end": ("claims_summary", "dossier", "dossier_roundtrip"),
+    "date_range_start": ("claims_summary", "dossier", "dossier_roundtrip", "dossier_lookup"),
+    "date_range_end": ("claims_summary", "dossier", "dossier_roundtrip", "dossier_lookup"),
 }
 
 
@@ -309,6 +312,19 @@ def _statements() -> dict[str, str]:
                (select string_agg(flag_type, ', ' order by place, service_month)
                 from flags where flags.npi = ranked.npi) as red_flags
         from ranked where rank <= 50"""
+    funnel = f"""{_with('scored', 'flags', 'totals', 'qualified')}
+            select 'seen' as stage, count(*) as providers from totals
+            union all select 'qualifying', count(*) from qualified
+            union all select 'excluded', count(*) from totals where total_paid < 1000000
+            union all select 'in_scope', count(*) from qualified
+            union all select flag_type, count(distinct npi)
+                      from (values ('volume_impossibility'), ('revenue_outlier'),
+                            ('billing_spike'), ('suspicious_consistency'),
+                            ('nos_code_concentration'), ('upcoding_trajectory')) as k(flag_type)
+                      left join flags using (flag_type) group by flag_type
+            union all select 'scored', count(*) from scored
+            union all select 'above_threshold', count(*) from scored
+                      where overall_score >= 0.3"""
     return {
         "claims_normalized": _select(_CLAIM, "claims"),
         "claims_csv_roundtrip": _select(_CLAIM, "claims"),
@@ -456,19 +472,8 @@ def _statements() -> dict[str, str]:
                         when 'nos_code_concentration' then 3 else 5 end as bigint)
                         as evidence_items
             from results join flags using (npi)""",
-        "scan_funnel": f"""{_with('scored', 'flags', 'totals', 'qualified')}
-            select 'seen' as stage, count(*) as providers from totals
-            union all select 'qualifying', count(*) from qualified
-            union all select 'excluded', count(*) from totals where total_paid < 1000000
-            union all select 'in_scope', count(*) from qualified
-            union all select flag_type, count(distinct npi)
-                      from (values ('volume_impossibility'), ('revenue_outlier'),
-                            ('billing_spike'), ('suspicious_consistency'),
-                            ('nos_code_concentration'), ('upcoding_trajectory')) as k(flag_type)
-                      left join flags using (flag_type) group by flag_type
-            union all select 'scored', count(*) from scored
-            union all select 'above_threshold', count(*) from scored
-                      where overall_score >= 0.3""",
+        "scan_funnel": funnel,
+        "scan_funnel_observed": funnel,
         "scan_payload": payload_flags,
         "payload_roundtrip": f"""{_with('ranked', 'flags', 'volume')}
             select (select count(*) from results) as total, cast(50 as bigint) as top, npi,
@@ -506,6 +511,59 @@ def _statements() -> dict[str, str]:
         ),
         "dossier": _DOSSIER,
         "dossier_roundtrip": _DOSSIER,
+        "dossier_lookup": f"{_DOSSIER} where results.npi = '120'",
+        "dossier_lists": f"""{_with('results', 'first_codes', 'breakdown', 'monthly')}
+            select npi, 'top_procedures' as list, place - 1 as place, '' as service_month, procedure_code,
+                   {_DESCRIPTION} as description, claims, {_six('paid')}, 0.0::double as pct_of_month
+            from first_codes where npi in (select npi from results)
+            union all
+            select npi, 'procedure_monthly', row_number() over (partition by npi order by service_month, place) - 1,
+                   service_month::varchar, procedure_code, {_DESCRIPTION}, claims,
+                   {_rounded('total_paid')}, pct_of_month
+            from breakdown where npi in (select npi from results)
+            union all
+            select npi, 'timeline', row_number() over (partition by npi order by service_month) - 1,
+                   service_month::varchar, '', '', total_claims, {_rounded('total_paid')}, 0.0
+            from monthly where npi in (select npi from results)""",
+        "dossier_from_store": f"""{_with('scored', 'registry', 'summary', 'peers')}
+            select lpad(npi, 10, '0') as npi, name, {_six('overall_score')}, flag_types, total_rows,
+                   active_months as timeline_months, provider_percentile as percentile, zscore
+            from scored join registry using (npi) join summary using (npi) join peers using (npi)
+            where npi = '120'""",
+        "month_store_monthly": _select(_MONTHLY, "monthly"),
+        "month_store_procedure": _select(
+            _PROCEDURE, "procedures", "where service_month in ('1995-03-01', '1995-04-01', '1996-01-01')"),
+        "month_store_manifest": f"""{_with('monthly', 'procedures')}
+            select case when year(service_month) = 1995 then 'restated' else 'all' end as batch,
+                   case when year(service_month) = 1995 then 2 else 1 end::bigint as entry, service_month,
+                   count(*) as monthly_rows, (select count(*) from procedures p where p.service_month = m.service_month)
+                       as procedure_rows,
+                   sum(total_claims)::bigint as total_claims, round(sum(total_paid)::double, 4) as total_paid
+            from monthly m group by m.service_month""",
+        "month_store_totals": _select(f"npi, total_claims, {_money('total_paid')}", "totals"),
+        "month_store_baseline": _select(_six("median", "mad"), "baseline"),
+        "scan_state_from_store": f"""{_with('scored', 'state_map')}
+            select {_SCORE} from scored
+            where npi in (select npi from state_map where state = 'NATION_3')""",
+        "scan_provider_from_store": _select(_SCORE, "scored", "where npi = '120'"),
+        "peer_one_provider": _select("*", "peers", "where npi = '20'"),
+        "scan_without_detectors": _select(_SCORE, "scored", "where false"),
+        "name_index_search": _select(
+            f"npi, name, {_PROVIDER}, '' as taxonomy", "registry",
+            "where lower(name) like '%customer#00000012%' order by npi limit 10"),
+        "name_index_matches": _select(
+            f"npi, name, {_PROVIDER}, '' as taxonomy", "registry",
+            "where practice_state = 'NATION_3' and lower(name) like '%r#00000%'"),
+        "name_index_short": _select(
+            f"npi, name, {_PROVIDER}, '' as taxonomy", "registry", "where name like '%99%'"),
+        "lookup_request": _select(
+            f"npi, name, {_PROVIDER}, '' as taxonomy", "registry",
+            "where lower(name) like '%customer#0000001%' order by npi limit 10"),
+        "registry_later_rows": _select(
+            "npi, case when npi::bigint % 3 = 0 then 'LATER' else state end as state", "state_map"),
+        "registry_first_matches": _select(
+            f"npi, name, {_PROVIDER}, '' as taxonomy", "registry",
+            "where lower(name) like '%mer#00000%' order by npi::bigint desc limit 10"),
         "dossier_headings": f"""{_with('results', 'registry')}
             select npi, name,
                    case when entity_type = '2' then 'Organization' else 'Individual' end as type,

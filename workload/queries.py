@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgauge.config import ProfileRequest, ScanConfig, ScanRequest
+from claimgauge.config import LookupRequest, ProfileRequest, ScanConfig, ScanRequest
 from claimgauge.operators import detectors as D
 from claimgauge.operators import dossier as sections
 from claimgauge.operators import registry as R
 from claimgauge.operators import report, scoring
 from claimgauge.operators import summaries as S
-from claimgauge.operators.peers import peer_comparison
+from claimgauge.operators.peers import peer_comparison, peer_lookup
 from claimgauge.plans import dossier as dossiers
 from claimgauge.plans import region
 from claimgauge.plans import request as request_plans
@@ -22,6 +23,8 @@ from claimgauge.sources import claims as claim_source
 from claimgauge.sources import registry as registry_source
 from claimgauge.sources import sinks
 from claimgauge.sources import summary_store as store
+from claimgauge.sources.month_store import MonthStore
+from claimgauge.sources.name_index import NameIndex
 from claimgauge.sources.staging import Staging
 from workload import tables as t
 
@@ -231,7 +234,8 @@ def revenue_baseline(spark, folder):
 
 def _revenue(spark: SparkSession, folder: str, config: ScanConfig, scope=None) -> DataFrame:
     qualified = _qualified(spark, folder)
-    baseline = Staging(spark).keep(D.revenue_baseline(qualified, config), "baseline")
+    staging = Staging(spark)
+    baseline = staging.keep(D.revenue_baseline(qualified, config, staging), "baseline")
     return D.revenue_findings(qualified, config, baseline, scope)
 
 
@@ -394,6 +398,21 @@ def scan_funnel(spark, folder):
     return scans.funnel(_detection(spark, folder), CONFIG, Staging(spark))
 
 
+@_query
+def scan_funnel_observed(spark, folder):
+    """The same counts, taken while the scan writes its tables."""
+    staging = Staging(spark)
+    monthly, procedure = store.stage_summaries(t.claims(spark, folder), staging)
+    return scans.scan_with_funnel(
+        monthly, procedure, CONFIG, organizations=_organizations(spark, folder), staging=staging)[1]
+
+
+@_query
+def scan_without_detectors(spark, folder):
+    """A scan whose configuration uses no detector finds nobody."""
+    return _scores(_scan(spark, folder, ScanConfig(**{**CONFIG.__dict__, "flag_types": ()})))
+
+
 @_query
 def provider_history(spark, folder):
     return S.provider_history(_monthly(spark, folder))
@@ -449,6 +468,146 @@ def claims_csv_roundtrip(spark, folder):
     return claim_source.load_claims(spark, where, "csv")
 
 
+# Summaries kept by month, and what is looked up in stored tables
+
+def _month_store(spark: SparkSession, folder: str) -> MonthStore:
+    """All claims in three deliveries: a year of them first comes with doubled claims and half of its rows,
+    then right; what was put before is put once more."""
+    claims = t.claims(spark, folder)
+    kept = MonthStore(spark, f"{Staging(spark).folder}/months")
+    year = F.year("service_month") == 1995
+    wrong = claims.where(year & (F.col("servicing_npi").cast("bigint") % 2 == 0)).withColumn(
+        "total_claims", F.col("total_claims") * 2)
+    kept.put(wrong.unionByName(claims.where(~year)), "all")
+    kept.put(claims.where(year), "restated")
+    kept.put(wrong, "all")
+    kept.refresh(CONFIG)
+    return kept
+
+
+@_query
+def month_store_monthly(spark, folder):
+    return _month_store(spark, folder).monthly()
+
+
+@_query
+def month_store_procedure(spark, folder):
+    """Of some months; the other months' folders are not read."""
+    months = [datetime.date(1995, m, 1) for m in (3, 4)] + [datetime.date(1996, 1, 1)]
+    return _month_store(spark, folder).procedure(months)
+
+
+@_query
+def month_store_manifest(spark, folder):
+    return _month_store(spark, folder).months()
+
+
+@_query
+def month_store_totals(spark, folder):
+    return _month_store(spark, folder).totals()
+
+
+@_query
+def month_store_baseline(spark, folder):
+    return _month_store(spark, folder).baseline()
+
+
+@_query
+def scan_state_from_store(spark, folder):
+    open_to_all = ScanConfig(**{**CONFIG.__dict__, "threshold": 0.0})
+    return _scores(scans.scan_store(
+        _month_store(spark, folder), open_to_all, _state_scope(spark, folder), _organizations(spark, folder)))
+
+
+@_query
+def scan_provider_from_store(spark, folder):
+    open_to_all = ScanConfig(**{**CONFIG.__dict__, "threshold": 0.0})
+    return _scores(scans.scan_store(
+        _month_store(spark, folder), open_to_all, t.FLAGGED_PROVIDER, _organizations(spark, folder)))
+
+
+@_query
+def peer_one_provider(spark, folder):
+    """One provider among all, from its totals and one range of the stored rank index."""
+    kept = _month_store(spark, folder)
+    return peer_lookup(kept.provider_totals(t.ONE_PROVIDER), t.ONE_PROVIDER, kept.rank_index())
+
+
+@_query
+def dossier_from_store(spark, folder):
+    """A flagged provider's profile from stored summaries."""
+    claims = t.claims(spark, folder).withColumn("npi", F.lpad("npi", 10, "0"))
+    registry = t.registry(spark, folder).withColumn("npi", F.lpad("npi", 10, "0"))
+    kept = MonthStore(spark, f"{Staging(spark).folder}/months")
+    kept.put(claims, "all")
+    kept.refresh(CONFIG)
+    found = request_plans.profile_from_store(
+        kept, claims, ProfileRequest(t.FLAGGED_PROVIDER.zfill(10)), CONFIG, Staging(spark), registry,
+        t.descriptions(spark, folder),
+    )
+    return found.select(
+        "npi", F.col("provider.name").alias("name"), "overall_score",
+        F.array_join(F.array_sort(F.array_distinct("red_flags.flag_type")), ", ").alias("flag_types"),
+        F.col("claims_summary.total_rows").alias("total_rows"),
+        F.size("timeline").alias("timeline_months"),
+        F.col("peer_comparison.provider_percentile").alias("percentile"),
+        F.col("peer_comparison.zscore").alias("zscore"),
+    )
+
+
+def _name_index(spark: SparkSession, folder: str) -> NameIndex:
+    return NameIndex.build(t.registry(spark, folder), f"{Staging(spark).folder}/names")
+
+
+@_query
+def name_index_search(spark, folder):
+    return _name_index(spark, folder).search(f" {t.NAME_QUERY} ")
+
+
+@_query
+def name_index_matches(spark, folder):
+    """All matches of a name part, in one state."""
+    return _name_index(spark, folder).matches("R#00000", t.STATE.lower())
+
+
+@_query
+def name_index_short(spark, folder):
+    """A query shorter than the index's grams."""
+    return _name_index(spark, folder).matches("99")
+
+
+@_query
+def lookup_request(spark, folder):
+    """A request for a name, answered from the index."""
+    return request_plans.lookup_request(_name_index(spark, folder), LookupRequest("Customer#0000001"))
+
+
+def _registry_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """The registry written as files in descending order of providers, and then every third
+    provider's row again with another state; read with positions."""
+    where = f"{Staging(spark).folder}/registry"
+    number = F.col("npi").cast("bigint")
+    first = t.registry(spark, folder).withColumn("copy", F.lit(0))
+    again = first.where(number % 3 == 0).withColumns(
+        {"copy": F.lit(1), "practice_state": F.lit(" later ")})
+    rows = first.unionByName(again).withColumn("number", -number)
+    ordered = rows.repartitionByRange(4, "copy", "number").sortWithinPartitions("copy", "number")
+    ordered.drop("copy", "number").write.options(**claim_source.CSV).csv(where)
+    return registry_source.read_registry(spark, where, positions=True)
+
+
+@_query
+def registry_later_rows(spark, folder):
+    """The state map of a registry with repeated providers: the later row of the file counts."""
+    return R.state_map(_registry_twice(spark, folder))
+
+
+@_query
+def registry_first_matches(spark, folder):
+    """The first matches in the order of the file."""
+    return R.search(_registry_twice(spark, folder), "mer#00000")
+
+
 # Dossier
 
 def _cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -484,16 +643,14 @@ def billing_timeline(spark, folder):
 def _dossiers(spark: SparkSession, folder: str) -> DataFrame:
     staging = Staging(spark)
     cells = staging.keep(S.claim_cells(t.claims(spark, folder)), "cells")
-    results = staging.keep(
-        scans.scan(
-            S.monthly_of_cells(cells), S.procedure_of_cells(cells), CONFIG, None,
-            _organizations(spark, folder), staging,
-        ),
-        "results",
+    found = scans.detect(
+        S.monthly_of_cells(cells), S.procedure_of_cells(cells), CONFIG, None,
+        _organizations(spark, folder), staging,
     )
-    totals = staging.keep(S.provider_totals(cells), "all-totals")
+    results = staging.keep(
+        scoring.above_threshold(scoring.score(found.flags, CONFIG), CONFIG), "results")
     return dossiers.build_dossiers(
-        cells, totals, t.registry(spark, folder), results, t.descriptions(spark, folder),
+        cells, found.totals, t.registry(spark, folder), results, t.descriptions(spark, folder),
         subjects=results.select("npi"), staging=staging,
     )
 
@@ -535,7 +692,38 @@ def dossier_headings(spark, folder):
 def dossier_roundtrip(spark, folder):
     where = f"{Staging(spark).folder}/dossiers"
     sinks.write_dossiers(_dossiers(spark, folder), where)
-    return _dossier_facts(spark.read.parquet(where))
+    return _dossier_facts(sinks.read_dossiers(spark, where))
+
+
+@_query
+def dossier_lookup(spark, folder):
+    """One of all reported providers' dossiers, fetched by its identifier."""
+    where = f"{Staging(spark).folder}/dossiers"
+    sinks.write_dossiers(_dossiers(spark, folder), where)
+    return _dossier_facts(sinks.read_dossier(spark, where, t.FLAGGED_PROVIDER))
+
+
+@_query
+def dossier_lists(spark, folder):
+    """Every row of every list in the dossiers of the reported providers."""
+    dossier = _dossiers(spark, folder)
+    parts = {
+        "top_procedures": ("procedure_code", "claims", "paid"),
+        "procedure_monthly": ("procedure_code", "claims", "total_paid"),
+        "timeline": (None, "total_claims", "total_paid"),
+    }
+    rows = []
+    for name, (code, claims, paid) in parts.items():
+        listed = dossier.select("npi", F.posexplode(name).alias("place", "r"))
+        month = F.lit("") if name == "top_procedures" else F.col("r.service_month").cast("string")
+        rows.append(listed.select(
+            "npi", F.lit(name).alias("list"), "place", month.alias("service_month"),
+            (F.col(f"r.{code}") if code else F.lit("")).alias("procedure_code"),
+            (F.col("r.description") if code else F.lit("")).alias("description"),
+            F.col(f"r.{claims}").alias("claims"), F.col(f"r.{paid}").alias("paid"),
+            (F.col("r.pct_of_month") if name == "procedure_monthly" else F.lit(0.0)).alias("pct_of_month"),
+        ))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @_query
