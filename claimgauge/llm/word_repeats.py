@@ -8,7 +8,8 @@ windows have equal minimisers at the same place, so they meet in the minimiser's
    string each to their bucket. Equal strings become one row, however many texts have them.
 3. In a bucket all windows of its strings are sorted; a run of equal windows shows the smallest
    doc_id that has it, exactly: words are compared, not hashes. A bucket of more than ``LOT`` strings
-   is cut further, single windows by their hash, so no task sees a whole hot bucket.
+   is dealt out window by window: the windows are grouped with partial counts and joined again, so no
+   task sees a whole hot bucket, nor all rows of a hot window.
 4. A window that some smaller doc_id has loses its words in every text.
 
 Windows are judged on the input, and words are cut from the texts at the end.
@@ -113,15 +114,24 @@ def _strings(bodies: DataFrame, length: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, least, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            wanted = batch.column("stretches")
+            counts = np.diff(wanted.offsets.to_numpy())
+            mini, start, windows = wanted.flatten().flatten()
+            begin, end = start.to_numpy(), start.to_numpy() + windows.to_numpy() + length - 1
+            strings, at = [], 0
+            for text, n in zip(batch.column("text").to_pylist(), counts.tolist(), strict=True):
                 split = text.encode().split()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["mini"] for w in wanted], pa.int64()), pa.array([id_] * len(wanted), pa.int64()),
-                     pa.array([least] * len(wanted), pa.int64()), pa.array([w["start"] for w in wanted], pa.int32()),
-                     pa.array([w["windows"] for w in wanted], pa.int32()),
-                     pa.array([b" ".join(split[w["start"]:w["start"] + w["windows"] + length - 1]).decode()
-                               for w in wanted], pa.string())],
-                    ["mini", "id", "least", "start", "windows", "packed"])
+                joined = b" ".join(split)
+                places = np.r_[0, np.cumsum([len(w) + 1 for w in split])]
+                own = slice(at, at + n)
+                strings += [joined[x:y] for x, y in zip(
+                    places[begin[own]].tolist(), (places[end[own]] - 1).tolist(), strict=True)]
+                at += n
+            of = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays(
+                [mini, batch.column("id").take(of), batch.column("least").take(of), start, windows,
+                 pa.array(strings, pa.binary()).cast(pa.string())],
+                ["mini", "id", "least", "start", "windows", "packed"])
 
     return bodies.select("id", "least", "text", "stretches").mapInArrow(pack, _STRINGS)
 
@@ -146,23 +156,24 @@ def smallest(strings: list[tuple[str, int]], length: int) -> list[list[int]]:
 
 
 def _in_buckets(strings: DataFrame, length: int, lot: int) -> DataFrame:
-    """(mini, hash, begin, windows, low): windows of a string that doc_id low has, low below ``most``."""
+    """(mini, hash, begin, windows, low): windows of a string that doc_id low has, low below the greatest
+    doc_id of the string."""
     sizes = keep(strings.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > lot), "repeat-hot")
-    hot = strings.join(sizes, "mini")
-    cold = strings.join(sizes, "mini", "left_anti")
-    split = F.split("packed", " ", -1)
-    windows = hot.select("mini", "hash", "least", "most", "n", split.alias("words"),
-                         F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("begin")).select(
-        "mini", "hash", "begin", "least", "most", "n",
-        F.array_join(F.slice("words", F.col("begin") + 1, F.lit(length)), " ").alias("packed"))
-    share = F.pmod(F.xxhash64("packed"), 1 + F.floor(F.col("n") / lot)).cast("int")
-    rows = cold.select("mini", F.lit(-1).alias("part"), "hash", F.lit(0).alias("begin"), "least", "most", "packed")
-    rows = rows.unionByName(windows.select("mini", share.alias("part"), "hash", "begin", "least", "most", "packed"))
+    words = F.split("packed", " ", -1)
+    windows = strings.join(sizes, "mini").select(
+        "mini", "hash", "least", "most", words.alias("words"),
+        F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("begin"),
+    ).withColumn("window", F.array_join(F.slice("words", F.col("begin") + 1, F.lit(length)), " "))
+    lows = keep(
+        windows.groupBy("mini", "window").agg(F.min("least").alias("low"), F.max("most").alias("high"))
+        .where("low < high").drop("high"), "repeat-lows")
+    hot = windows.join(lows, ["mini", "window"]).where("low < most").select(
+        "mini", "hash", "begin", F.lit(1).alias("windows"), "low")
+    cold = strings.join(sizes, "mini", "left_anti").select("mini", "hash", "least", "most", "packed")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in runs(batches, 2):
-            mini, hashes, begin, least, most, string = (
-                table.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))
+        for table, bounds in runs(batches, 1):
+            mini, hashes, least, most, string = (table.column(i).to_pylist() for i in range(5))
             out: list[tuple] = []
             for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(mini)], strict=True):
                 for r, lows in enumerate(smallest(list(zip(string[a:b], least[a:b], strict=True)), length), a):
@@ -170,14 +181,15 @@ def _in_buckets(strings: DataFrame, length: int, lot: int) -> DataFrame:
                     for i in range(1, len(lows) + 1):
                         if i == len(lows) or lows[i] != lows[at]:
                             if lows[at] < most[r]:
-                                out.append((mini[r], hashes[r], begin[r] + at, i - at, lows[at]))
+                                out.append((mini[r], hashes[r], at, i - at, lows[at]))
                             at = i
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5,
                                                 (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)],
                 ["mini", "hash", "begin", "windows", "low"])
 
-    return rows.repartition("mini", "part").sortWithinPartitions("mini", "part").mapInArrow(sort, _RUNS)
+    found = cold.repartition("mini").sortWithinPartitions("mini").mapInArrow(sort, _RUNS)
+    return found.unionByName(hot)
 
 
 def copied_ranges(texts: DataFrame, length: int = 13, gram: int = GRAM, lot: int = LOT) -> DataFrame:
@@ -191,6 +203,7 @@ def copied_ranges(texts: DataFrame, length: int = 13, gram: int = GRAM, lot: int
             F.first(F.struct("mini", "start", "windows")).alias("s"),
         ).select("key", "least", "greatest", "s.*").withColumn("id", F.monotonically_increasing_id()),
         "repeat-classes")
+    heads = keep(classes.select("id", "key", "least", "greatest"), "repeat-heads")
     rows = classes.select(
         "id", "least", F.explode(F.arrays_zip("mini", "start", "windows")).alias("s")).select("id", "least", "s.*")
     # Written, here and below, so that Spark can split the join at a hot minimiser.
@@ -200,24 +213,28 @@ def copied_ranges(texts: DataFrame, length: int = 13, gram: int = GRAM, lot: int
     wanted = keep(
         rows.join(shared, "mini", "left_semi").groupBy("id").agg(
             F.collect_list(F.struct("mini", "start", "windows")).alias("stretches"))
-        .join(classes.select("id", "key", "least"), "id"), "repeat-wanted")
+        .join(heads.select("id", "key", "least"), "id"), "repeat-wanted")
+    discard(classes, shared)
     bodies = texts.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
-    met = keep(_strings(bodies, length).withColumn("hash", F.unhex(F.sha2("packed", 256))), "repeat-strings")
+    met = keep(_strings(bodies, length).withColumn("hash", F.substring(F.unhex(F.sha2("packed", 256)), 1, 16)), "repeat-strings")
+    discard(wanted)
     strings = met.groupBy("mini", "hash").agg(
         F.min("least").alias("least"), F.max("least").alias("most"),
         F.first("windows").alias("windows"), F.first("packed").alias("packed"))
     strings = keep(strings, "repeat-distinct")
+    places = keep(met.select("mini", "hash", "id", "least", "start"), "repeat-places")
+    discard(met)
     found = keep(_in_buckets(strings, length, lot), "repeat-found")
+    discard(strings)
     place = F.col("start") + F.col("f.begin")
     ranges = (
-        met.select("mini", "hash", "id", "least", "start").alias("m")
-        .join(found.alias("f"), ["mini", "hash"]).where(F.col("low") < F.col("least"))
+        places.join(found.alias("f"), ["mini", "hash"]).where(F.col("low") < F.col("least"))
         .groupBy("id").agg(F.collect_list(F.struct(
             place.alias("a"), (place + F.col("f.windows") + (length - 1)).alias("end"))).alias("ranges")))
     result = keep(
-        classes.select("id", "key", "least", "greatest").join(ranges, "id", "left")
+        heads.join(ranges, "id", "left")
         .where("greatest > least or ranges is not null").select("key", "least", "ranges"), "repeat-ranges")
-    discard(classes, shared, wanted, met, strings, found)
+    discard(heads, places, found)
     return result
 
 
