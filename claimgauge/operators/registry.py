@@ -103,10 +103,16 @@ def enumeration_label(enumeration_type: Column) -> Column:
 
 def region_providers(registry: DataFrame, state: str, zip_prefixes: tuple[str, ...]) -> DataFrame:
     """Active providers that practise in the state, under one of the three-digit zip prefixes."""
+    return region_rows(registry, state, zip_prefixes).distinct()
+
+
+def region_rows(registry: DataFrame, state: str, zip_prefixes: tuple[str, ...]) -> DataFrame:
+    """The same, a provider as often as the registry lists it: enough for a semi-join, and a filter right
+    over the registry's scan, of which Spark makes a runtime filter for the other side."""
     active = or_blank(F.trim("deactivation_date")) == ""
     in_state = state_code(F.col("practice_state")) == state.strip().upper()
     nearby = prefix(F.trim("postal_code"), 3).isin(*zip_prefixes)
-    return registry.where(active & in_state & nearby).select("npi").distinct()
+    return registry.where(active & in_state & nearby).select("npi")
 
 
 def _asked_for(registry: DataFrame, query: str) -> Column:

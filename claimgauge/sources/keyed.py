@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 64
 _BUCKET = "key_bucket"
@@ -41,11 +42,19 @@ def write_keyed(
     dealt = frame.withColumn(_BUCKET, bucket_of(F.col(key) if by is None else by, buckets))
     placed = dealt.repartitionByRange(_BUCKET, key, *order).sortWithinPartitions(_BUCKET, key, *order)
     bloom_filtered(placed.write.mode("overwrite"), key).partitionBy(_BUCKET).parquet(path)
+    # An empty table has no file that could tell its columns.
+    frame.limit(0).write.parquet(f"{path}/_columns")
+
+
+def open_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """The whole table with the column that its folders are named after."""
+    columns = spark.read.parquet(f"{path}/_columns").schema
+    return spark.read.schema(columns.add(_BUCKET, T.IntegerType())).parquet(path)
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     """The whole table."""
-    return spark.read.parquet(path).drop(_BUCKET)
+    return open_keyed(spark, path).drop(_BUCKET)
 
 
 def read_key(
@@ -53,7 +62,7 @@ def read_key(
 ) -> DataFrame:
     """The rows of one key."""
     bucket = F.pmod(F.xxhash64(F.lit(value)), F.lit(buckets)).cast("int")
-    return spark.read.parquet(path).where((F.col(_BUCKET) == bucket) & (F.col(key) == value)).drop(_BUCKET)
+    return open_keyed(spark, path).where((F.col(_BUCKET) == bucket) & (F.col(key) == value)).drop(_BUCKET)
 
 
 def read_keys(
@@ -62,5 +71,4 @@ def read_keys(
     """The rows that agree with one of ``found`` in ``keys``, of which the first is the table's key, each
     row once. Few keys read few buckets: Spark prunes the folders once it has the keys."""
     wanted = found.select(*keys, bucket_of(F.col(keys[0]), buckets).alias(_BUCKET)).distinct()
-    table = found.sparkSession.read.parquet(path)
-    return table.join(wanted, [_BUCKET, *keys], "left_semi").drop(_BUCKET)
+    return open_keyed(found.sparkSession, path).join(wanted, [_BUCKET, *keys], "left_semi").drop(_BUCKET)

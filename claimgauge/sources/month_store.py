@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimgauge.config import ScanConfig
+from claimgauge.functions.expressions import ratio
 from claimgauge.functions.order_statistics import RankIndex
 from claimgauge.operators import detectors as D
 from claimgauge.operators import summaries as S
@@ -29,7 +30,9 @@ from claimgauge.schema import MONEY_SUM
 from claimgauge.sources.keyed import bloom_filtered, read_key, read_keyed, write_keyed
 from claimgauge.sources.staging import Staging
 
-MONTHLY, PROCEDURE = "provider_monthly", "provider_procedure"
+MONTHLY, PROCEDURE, SKETCHES = "provider_monthly", "provider_procedure", "month_sketches"
+#: Sizes of the sketches: ranks are off by about 0.4 % and provider counts by 0.8 % (one standard error).
+KLL_K, HLL_LOG_K = 800, 14
 _MONTH = "service_month"
 _MANIFEST = (
     "batch string, entry bigint, service_month date, monthly_rows bigint, procedure_rows bigint, "
@@ -40,9 +43,19 @@ _SCHEMAS = {
              f"beneficiaries bigint, {_MONTH} date",
     PROCEDURE: f"npi string, procedure_code string, total_claims bigint, "
                f"total_paid {MONEY_SUM.simpleString()}, {_MONTH} date",
+    SKETCHES: f"rates binary, providers binary, {_MONTH} date",
 }
 
 
+def month_sketches(monthly: DataFrame) -> DataFrame:
+    """One row for each month: sketches of its providers and of their paid per claim. Built by
+    partial aggregates, so what is shuffled is sketches."""
+    rate = F.when(F.col("total_claims") > 0, ratio(F.col("total_paid"), F.col("total_claims")))
+    return monthly.groupBy(_MONTH).agg(
+        F.kll_sketch_agg_double(rate, F.lit(KLL_K)).alias("rates"),
+        F.hll_sketch_agg("npi", F.lit(HLL_LOG_K)).alias("providers"))
+
+
 class UnfinishedDelivery(RuntimeError):
     """Months of a delivery may be half written."""
 
@@ -76,6 +89,7 @@ class MonthStore:
         self._save(sums.select(_MONTH), f"pending/batch={batch}")
         for name, frame in ((MONTHLY, S.monthly_of_cells(cells)), (PROCEDURE, S.procedure_of_cells(cells))):
             self._overwrite(name, frame)
+        self._overwrite(SKETCHES, month_sketches(S.monthly_of_cells(cells)), ())
         for row in sums.where("procedure_rows = 0").select(_MONTH).collect():
             self._delete(f"{PROCEDURE}/{_MONTH}={row[0]}")  # nothing was written there
         entry = self._last_entry() + 1
@@ -85,11 +99,13 @@ class MonthStore:
             own.close()
         return True
 
-    def _overwrite(self, name: str, frame: DataFrame) -> None:
+    def _overwrite(self, name: str, frame: DataFrame, key: tuple[str, ...] = ("npi",)) -> None:
         fields = [f.name for f in self._empty(name).schema]
-        placed = frame.select(*fields).repartitionByRange(_MONTH, "npi").sortWithinPartitions(_MONTH, "npi")
+        placed = frame.select(*fields).repartitionByRange(_MONTH, *key).sortWithinPartitions(_MONTH, *key)
         writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        bloom_filtered(writer, "npi").partitionBy(_MONTH).parquet(f"{self.folder}/{name}")
+        for column in key:
+            writer = bloom_filtered(writer, column)
+        writer.partitionBy(_MONTH).parquet(f"{self.folder}/{name}")
 
     # What is there
 
@@ -109,15 +125,33 @@ class MonthStore:
     def procedure(self, months: Iterable[date] | None = None) -> DataFrame:
         return self._summary(PROCEDURE, S.PROCEDURE_KEY, months)
 
+    def estimates(self, months: Iterable[date] | None = None) -> DataFrame:
+        """One row about a span of months, from one row of sketches for each: its months, the rows of the
+        monthly summary with claims, about how many providers, and about the median of paid per claim
+        and month and the median deviation from it."""
+        merged = self._of_months(SKETCHES, months).agg(
+            F.count(F.lit(1)).alias("months"), F.kll_merge_agg_double("rates", F.lit(KLL_K)).alias("_rates"),
+            F.hll_sketch_estimate(F.hll_union_agg("providers")).alias("providers"))
+        # Deviations of evenly spaced quantiles stand for those of all rates.
+        steps = F.array(*[F.lit((i + 0.5) / 501) for i in range(501)])
+        found = merged.select(
+            "months", F.kll_sketch_get_n_double("_rates").alias("provider_months"), "providers",
+            F.kll_sketch_get_quantile_double("_rates", steps).alias("_points"))
+        middle = F.col("_points")[250]
+        apart = F.array_sort(F.transform("_points", lambda x: F.abs(x - middle)))
+        return found.select("months", "provider_months", "providers", middle.alias("median"), apart[250].alias("mad"))
+
     def _summary(self, name: str, key: tuple[str, ...], months: Iterable[date] | None) -> DataFrame:
+        frame = self._of_months(name, months)
+        return frame.select(*key, *[c for c in frame.columns if c not in key])
+
+    def _of_months(self, name: str, months: Iterable[date] | None) -> DataFrame:
         """Only the folders of the months asked for are read."""
         unfinished = self._unfinished()
         if unfinished:
             raise UnfinishedDelivery(f"put again: {', '.join(unfinished)}")
         frame = self._read(name, _SCHEMAS[name])
-        if months is not None:
-            frame = frame.where(F.col(_MONTH).isin(*months))
-        return frame.select(*key, *[c for c in frame.columns if c not in key])
+        return frame if months is None else frame.where(F.col(_MONTH).isin(*months))
 
     def differences(self) -> DataFrame:
         """Months whose tables do not hold what the manifest says: none, unless files were changed."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from claimgauge import fixed_values as fv
 from claimgauge.operators.registry import asks_for_identifier, search_rows
-from claimgauge.sources.keyed import bucket_of, read_key, read_keyed, read_keys, write_keyed
+from claimgauge.sources.keyed import bucket_of, open_keyed, read_key, read_keyed, read_keys, write_keyed
 from claimgauge.sources.staging import Staging
 
 GRAM = 3
@@ -55,7 +55,7 @@ class NameIndex:
     def search(self, query: str, state: str | None = None, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
         """The first matches, in the order of the file where the index has it, else by identifier."""
         first = self._candidates(query, state).orderBy("place", "row").limit(limit)
-        return self._rows(first).select(*_SHOWN)
+        return self._rows(first).orderBy("place", "row").select(*_SHOWN)
 
     def _rows(self, found: DataFrame) -> DataFrame:
         """The rows of the candidates; few candidates read few folders."""
@@ -78,15 +78,15 @@ class NameIndex:
     def _postings(self, wanted: str) -> DataFrame:
         gram = wanted if len(wanted) < GRAM else self._rarest({wanted[i:i + GRAM] for i in range(len(wanted) - GRAM + 1)})
         if gram is None:
-            return self._of_first(self.spark.read.parquet(f"{self.folder}/postings"), wanted).where(F.lit(False))
-        postings = self._of_first(self.spark.read.parquet(f"{self.folder}/postings"), gram)
+            return self._of_first(open_keyed(self.spark, f"{self.folder}/postings"), wanted).where(F.lit(False))
+        postings = self._of_first(open_keyed(self.spark, f"{self.folder}/postings"), gram)
         if len(wanted) < GRAM:
             return postings.where(F.col("gram").startswith(wanted))
         return postings.where((F.col("gram") == gram) & F.col("words").contains(wanted))
 
     def _rarest(self, grams: set[str]) -> str | None:
         """The gram with the fewest postings; None if one has none, as then nothing matches."""
-        counts = self.spark.read.parquet(f"{self.folder}/grams")
+        counts = open_keyed(self.spark, f"{self.folder}/grams")
         buckets = [bucket_of(F.lit(g[0])) for g in grams]
         found = counts.where(F.col("key_bucket").isin(*buckets) & F.col("gram").isin(*grams)).select("gram", "n").collect()
         return min(found, key=lambda r: (r.n, r.gram)).gram if len(found) == len(grams) else None

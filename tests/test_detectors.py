@@ -3,7 +3,7 @@ import pytest
 from claimgauge.config import ScanConfig
 from claimgauge.operators import detectors as D
 from claimgauge.operators import summaries as S
-from tests.conftest import QUIET, STEADY, CROWD, COSTLY, BURST, BUSY, month
+from tests.conftest import LAST, NPI, VAGUE, month
 
 CONFIG = ScanConfig()
 
@@ -18,11 +18,11 @@ def close(value):
 
 # Volume
 
-def test_volume_flags_one_month(monthly):
-    rows = D.volume_findings(monthly, CONFIG).collect()
-    assert [(r.npi, r.service_month, r.total_claims, r.severity) for r in rows] == [
-        (BUSY, month(9), 3600, close(0.8))
-    ]
+def test_volume_flags_months_over_the_limit(monthly):
+    rows = by_npi(D.volume_findings(monthly, CONFIG))
+    assert {(r.npi, r.service_month, r.total_claims, r.severity) for r in rows.values()} == {
+        (NPI["VOLUME_OVER"], month(LAST), 1503, 1503 / 4500), (NPI["MANY"], month(LAST), 1650, 1650 / 4500)
+    }
 
 
 def test_volume_boundary_and_severity(monthly_rows):
@@ -32,8 +32,8 @@ def test_volume_boundary_and_severity(monthly_rows):
 
 
 def test_volume_skips_registry_organizations(spark, monthly):
-    organizations = spark.createDataFrame([(BUSY,)], "npi string")
-    assert D.volume_findings(monthly, CONFIG, organizations).isEmpty()
+    organizations = spark.createDataFrame([(NPI["MANY"],)], "npi string")
+    assert set(by_npi(D.volume_findings(monthly, CONFIG, organizations))) == {NPI["VOLUME_OVER"]}
 
 
 @pytest.mark.parametrize("codes, flagged", [
@@ -44,7 +44,8 @@ def test_volume_skips_registry_organizations(spark, monthly):
     ([("H2019", 20), ("T1016", 20), ("97110", 21)], True),  # codes count one by one
 ])
 def test_volume_and_leading_organization_code(monthly, procedure_rows, codes, flagged):
-    procedure = procedure_rows([(BUSY, c, month(9), n, 1000) for c, n in codes])
+    monthly = monthly.where(f"npi = '{NPI['MANY']}'")
+    procedure = procedure_rows([(NPI["MANY"], c, month(9), n, 1000) for c, n in codes])
     candidates = D.volume_candidates(monthly, CONFIG)
     excluded = D.volume_exclusions(procedure, CONFIG, candidates)
     assert D.volume_findings(monthly, CONFIG, excluded).isEmpty() != flagged
@@ -58,20 +59,20 @@ def test_volume_and_leading_organization_code(monthly, procedure_rows, codes, fl
 def test_revenue_baseline_and_flag(totals):
     qualified = S.qualifying(totals, CONFIG)
     baseline = D.revenue_baseline(qualified, CONFIG).collect()[0]
-    assert (baseline.median, baseline.mad) == (1850.0, 375.0)
+    assert (baseline.median, baseline.mad) == (100.0, 4.0)
     rows = by_npi(D.revenue_findings(qualified, CONFIG))
-    assert set(rows) == {COSTLY}
-    row = rows[COSTLY]
-    assert row.paid_per_claim == 12000.0 and row.severity == 1.0
-    assert row.z == pytest.approx(18.2562, abs=1e-4)
+    assert set(rows) == {NPI["RATE_OVER"]}  # 117.80; 117.79 is less than 3 deviations away
+    row = rows[NPI["RATE_OVER"]]
+    assert row.paid_per_claim == 117.8 and row.severity == close(0.3001484)
+    assert row.z == close(17.8 / (4 * 1.4826))
 
 
 def test_revenue_scope_keeps_the_national_baseline(spark, totals):
     qualified = S.qualifying(totals, CONFIG)
-    only = spark.createDataFrame([(COSTLY,)], "npi string")
+    only = spark.createDataFrame([(NPI["RATE_OVER"],)], "npi string")
     row = D.revenue_findings(qualified, CONFIG, scope=only).collect()[0]
-    assert row.npi == COSTLY and row.median == 1850.0
-    other = spark.createDataFrame([(BURST,)], "npi string")
+    assert row.npi == NPI["RATE_OVER"] and row.median == 100.0
+    other = spark.createDataFrame([(NPI["RATE_AT"],)], "npi string")
     assert D.revenue_findings(qualified, CONFIG, scope=other).isEmpty()
 
 
@@ -102,10 +103,10 @@ def test_revenue_approximate_median_is_an_existing_value(spark):
 def test_spikes(monthly, totals):
     history = S.provider_history(monthly)
     rows = by_npi(D.spike_findings(history, CONFIG))
-    assert set(rows) == {BUSY, BURST}
-    assert rows[BURST].ratio == close(6.308411) and rows[BURST].severity == close(0.630841)
-    assert rows[BUSY].ratio == close(7.5) and rows[BUSY].severity == close(0.75)
-    assert all(r.service_month == month(9) and r.months == 9 for r in rows.values())
+    assert set(rows) == {NPI["SPIKE_OVER"], NPI["MANY"]}  # SPIKE_AT is paid five times its mean
+    assert rows[NPI["SPIKE_OVER"]].ratio == close(100 / 19)
+    assert rows[NPI["MANY"]].ratio == close(5.5) and rows[NPI["MANY"]].severity == close(0.55)
+    assert all(r.service_month == month(LAST) and r.months == 10 for r in rows.values())
 
 
 def test_spike_history_counts_months_with_paid_only(monthly_rows):
@@ -125,11 +126,20 @@ def test_spike_history_counts_months_with_paid_only(monthly_rows):
 
 def test_consistency(procedure):
     rows = by_npi(D.consistency_findings(D.code_profile(procedure, CONFIG), CONFIG))
-    assert set(rows) == {BUSY, COSTLY, BURST, STEADY, *CROWD}
-    assert QUIET not in rows
-    assert rows[STEADY].share == close(0.8) and rows[STEADY].cv == 0.0
-    assert rows[STEADY].severity == close(0.8)
-    assert rows[STEADY].procedure_code == "99204" and rows[STEADY].months == 8
+    assert set(rows) == {NPI["SHARE_AT"], NPI["MANY"]}
+    row = rows[NPI["SHARE_AT"]]
+    assert row.share == close(0.7) and row.cv == 0.0 and row.severity == close(0.7)
+    assert row.procedure_code == "G0439" and row.months == 10
+
+
+def test_vague_codes_and_levels_at_their_thresholds(procedure):
+    profile = D.code_profile(procedure, CONFIG)
+    vague = by_npi(D.nos_findings(profile, CONFIG))
+    assert set(vague) == {NPI["NOS_AT"]} and vague[NPI["NOS_AT"]].severity == close(0.5)
+    assert not procedure.where(f"procedure_code = '{VAGUE}' and npi = '{NPI['NOS_UNDER']}'").isEmpty()
+    levels = by_npi(D.upcoding_findings(D.visit_halves(procedure, CONFIG), CONFIG))
+    assert set(levels) == {NPI["LEVEL_AT"]}
+    assert levels[NPI["LEVEL_AT"]].early_level == close(2.8) and levels[NPI["LEVEL_AT"]].shift == close(0.4)
 
 
 def steady(npi, code, paid, claims=10, months=3):

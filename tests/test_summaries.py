@@ -3,14 +3,14 @@ from decimal import Decimal
 from claimgauge.config import ScanConfig
 from claimgauge.operators import summaries as S
 from claimgauge.schema import CLAIMS
-from tests.conftest import QUIET, claim_row, month
+from tests.conftest import NPI, claim_row, month
 
 
 def test_row_counts(claims, monthly, procedure, totals):
-    assert claims.count() == 186
-    assert monthly.count() == 170
-    assert totals.count() == 21
-    assert procedure.count() == procedure.select(*S.PROCEDURE_KEY).distinct().count() == 186
+    assert claims.count() == 430
+    assert monthly.count() == 150
+    assert totals.count() == 15
+    assert procedure.count() == procedure.select(*S.PROCEDURE_KEY).distinct().count() == 430
 
 
 def test_summaries_of_cells_equal_those_of_claims(claims, monthly, procedure):
@@ -20,15 +20,14 @@ def test_summaries_of_cells_equal_those_of_claims(claims, monthly, procedure):
 
 
 def test_qualifying_keeps_providers_at_the_threshold(monthly, totals, procedure):
-    config = ScanConfig()
-    qualified = S.qualifying(totals, config)
-    assert qualified.count() == 20
-    assert qualified.where(f"npi = '{QUIET}'").isEmpty()
-    assert S.keep_providers(monthly, qualified).count() == 162
-    assert S.keep_providers(procedure, qualified).where(f"npi = '{QUIET}'").isEmpty()
-    exact = S.qualifying(totals, ScanConfig(min_total_paid=8_640))
-    assert exact.count() == 21
-    assert S.qualifying(totals, ScanConfig(min_total_paid=8_640.01)).count() == 20
+    few = f"npi = '{NPI['TOO_LITTLE']}'"
+    qualified = S.qualifying(totals, ScanConfig())
+    assert qualified.count() == 14 and qualified.where(few).isEmpty()
+    assert qualified.where(f"npi = '{NPI['ENOUGH']}'").first().total_paid == 100_000
+    assert S.keep_providers(monthly, qualified).count() == 140
+    assert S.keep_providers(procedure, qualified).where(few).isEmpty()
+    assert S.qualifying(totals, ScanConfig(min_total_paid=99_900)).count() == 15
+    assert S.qualifying(totals, ScanConfig(min_total_paid=99_900.01)).count() == 14
 
 
 def test_missing_keys_and_values(spark):
@@ -58,5 +57,5 @@ def test_beneficiaries_are_optional(claims):
 
 def test_history_totals_equal_aggregated_totals(monthly, totals):
     kept = S.totals_of_history(S.provider_history(monthly))
-    assert kept.count() == 21
+    assert kept.count() == 15
     assert kept.select(*totals.columns).exceptAll(totals).isEmpty()

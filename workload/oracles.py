@@ -542,6 +542,10 @@ def _statements() -> dict[str, str]:
             from monthly m group by m.service_month""",
         "month_store_totals": _select(f"npi, total_claims, {_money('total_paid')}", "totals"),
         "month_store_baseline": _select(_six("median", "mad"), "baseline"),
+        "month_estimates": _select(
+            """count(distinct service_month) as months, count(*) as provider_months,
+               count(distinct npi) as exact_providers, 1::bigint as providers_close, 1::bigint as median_close""",
+            "monthly", "where service_month between '1994-01-01' and '1995-12-31'"),
         "scan_state_from_store": f"""{_with('scored', 'state_map')}
             select {_SCORE} from scored
             where npi in (select npi from state_map where state = 'NATION_3')""",

@@ -512,6 +512,23 @@ def month_store_baseline(spark, folder):
     return _month_store(spark, folder).baseline()
 
 
+@_query
+def month_estimates(spark, folder):
+    """Two years from the sketches of their months, and how near that is to the exact numbers."""
+    kept = _month_store(spark, folder)
+    months = [datetime.date(y, m, 1) for y in (1994, 1995) for m in range(1, 13)]
+    about = kept.estimates(months)
+    rates = kept.monthly(months).where("total_claims > 0").withColumn(
+        "rate", F.col("total_paid").cast("double") / F.col("total_claims"))
+    exact = rates.agg(
+        F.count_distinct("npi").alias("exact_providers"),
+        F.avg((F.col("rate") <= about.select("median").scalar()).cast("double")).alias("at_or_below"))
+    return about.crossJoin(exact).select(
+        "months", "provider_months", "exact_providers",
+        (F.abs(F.col("providers") / F.col("exact_providers") - 1) < 0.03).alias("providers_close"),
+        (F.abs(F.col("at_or_below") - 0.5) < 0.02).alias("median_close"))
+
+
 @_query
 def scan_state_from_store(spark, folder):
     open_to_all = ScanConfig(**{**CONFIG.__dict__, "threshold": 0.0})
