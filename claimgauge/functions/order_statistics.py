@@ -8,8 +8,6 @@ looks up its range in the fences and reads that range only.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,45 +22,27 @@ class RankIndex:
     range. ``facts``: one row with n, the mean and the sample standard deviation (``spread``).
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-        self.fences = spark.read.parquet(f"{folder}/fences")
-        self.facts = spark.read.parquet(f"{folder}/facts")
+    def __init__(self, values: DataFrame, fences: DataFrame, facts: DataFrame) -> None:
+        self.values, self.fences, self.facts = values, fences, facts
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> RankIndex:
+        fences, facts = (spark.read.parquet(f"{folder}/{name}") for name in ("fences", "facts"))
         # Without values there is no file to take the type from.
-        kind = self.fences.schema["low"].dataType.simpleString()
-        self.values = spark.read.schema(f"value {kind}, weight bigint, range int").parquet(f"{folder}/values")
+        kind = fences.schema["low"].dataType.simpleString()
+        values = spark.read.schema(f"value {kind}, weight bigint, range int").parquet(f"{folder}/values")
+        return cls(values, fences, facts)
 
     @classmethod
     def build(cls, frame: DataFrame, column: str, folder: str, ranges: int | None = None) -> RankIndex:
         """Writes the index of a column's values that are not null. ``ranges``: by default Spark's choice."""
         spark = frame.sparkSession
-        counts = (
-            frame.where(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias("value"))
-            .agg(F.count(F.lit(1)).alias("weight"))
-        )
-        ranged = counts.repartitionByRange(*([ranges] if ranges else []), "value")
-        placed = ranged.withColumn("range", F.spark_partition_id())
-        schema = placed.schema
-        placed.sortWithinPartitions("range", "value").write.mode("overwrite").partitionBy("range").parquet(
-            f"{folder}/values")
-        values = spark.read.schema(schema).parquet(f"{folder}/values")
-        sizes = values.groupBy("range").agg(
-            F.min("value").alias("low"), F.max("value").alias("high"), F.sum("weight").alias("inside"),
-            F.sum(F.col("value") * F.col("weight")).alias("total"))
-        # One row for each range: safe to order in one task.
-        earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        sizes.select("*", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before")).coalesce(1).write.mode(
-            "overwrite").parquet(f"{folder}/fences")
-        fences = spark.read.parquet(f"{folder}/fences")
-        n, mean = F.sum("inside"), ratio(F.sum("total"), F.sum("inside"))
-        middle = fences.agg(mean.alias("mean")).scalar()
-        apart = F.pow(F.col("value").cast("double") - middle, 2) * F.col("weight")
-        spread = values.agg(
-            F.sqrt(ratio(F.sum(apart), F.nullif(F.sum("weight") - 1, F.lit(0)))).alias("spread")).scalar()
-        fences.agg(F.coalesce(n, F.lit(0)).alias("n"), mean.alias("mean")).withColumn("spread", spread).write.mode(
-            "overwrite").parquet(f"{folder}/facts")
-        return cls(spark, folder)
+        placed = _in_ranges(frame, column, ranges)
+        placed.write.mode("overwrite").partitionBy("range").parquet(f"{folder}/values")
+        values = spark.read.schema(placed.schema).parquet(f"{folder}/values")
+        _fences(values).coalesce(1).write.mode("overwrite").parquet(f"{folder}/fences")
+        _facts(values, spark.read.parquet(f"{folder}/fences")).write.mode("overwrite").parquet(f"{folder}/facts")
+        return cls.open(spark, folder)
 
     def median(self) -> DataFrame:
         """One row, one column: the mean of the two middle values. Reads the ranges that hold them."""
@@ -97,10 +77,42 @@ class RankIndex:
         return joined.withColumn("up_to", F.col("before") + F.sum("weight").over(inside))
 
 
+def _in_ranges(frame: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+    """Distinct values with their weight and range, sorted."""
+    counts = (
+        frame.where(F.col(column).isNotNull())
+        .groupBy(F.col(column).alias("value"))
+        .agg(F.count(F.lit(1)).alias("weight"))
+    )
+    ranged = counts.repartitionByRange(*([ranges] if ranges else []), "value")
+    return ranged.withColumn("range", F.spark_partition_id()).sortWithinPartitions("range", "value")
+
+
+def _fences(values: DataFrame) -> DataFrame:
+    sizes = values.groupBy("range").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.sum("weight").alias("inside"),
+        F.sum(F.col("value") * F.col("weight")).alias("total"))
+    # One row for each range: safe to order in one task.
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("*", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before"))
+
+
+def _facts(values: DataFrame, fences: DataFrame) -> DataFrame:
+    mean = ratio(F.sum("total"), F.sum("inside"))
+    middle = fences.agg(mean.alias("mean")).scalar()
+    apart = F.pow(F.col("value").cast("double") - middle, 2) * F.col("weight")
+    spread = values.agg(
+        F.sqrt(ratio(F.sum(apart), F.nullif(F.sum("weight") - 1, F.lit(0)))).alias("spread")).scalar()
+    counted = fences.agg(F.coalesce(F.sum("inside"), F.lit(0)).alias("n"), mean.alias("mean"))
+    return counted.withColumn("spread", spread)
+
+
 def indexed(frame: DataFrame, column: str, staging: Staging | None = None) -> RankIndex:
-    """An index among a job's shared tables."""
+    """An index for one job: the values are a shared table, fences and facts are derived as needed."""
     staging = staging or Staging(frame.sparkSession)
-    return RankIndex.build(frame, column, f"{staging.folder}/ranks-{uuid.uuid4().hex[:8]}")
+    values = staging.keep(_in_ranges(frame, column), "ranks")
+    fences = _fences(values)
+    return RankIndex(values, fences, _facts(values, fences))
 
 
 def median(

@@ -192,7 +192,7 @@ class MonthStore:
         return read_key(self.spark, self._fresh("totals"), npi)
 
     def rank_index(self) -> RankIndex:
-        return RankIndex(self.spark, self._fresh("rank_total_paid"))
+        return RankIndex.open(self.spark, self._fresh("rank_total_paid"))
 
     def baseline(self) -> DataFrame:
         """The revenue baseline under the configuration it was refreshed with."""

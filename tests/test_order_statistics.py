@@ -43,9 +43,11 @@ def test_median_ignores_nulls(spark):
 def index(spark):
     """Twenty ranges of values, some of them hot."""
     numbers = values("hot", 5000, 9) + values("few", 500, 3)
-    built = RankIndex.build(frame(spark, numbers), "x", f"{Staging(spark).folder}/index", ranges=20)
-    assert built.fences.count() == 20
-    return RankIndex(spark, built.folder), numbers
+    folder = f"{Staging(spark).folder}/index"
+    RankIndex.build(frame(spark, numbers), "x", folder, ranges=20)
+    opened = RankIndex.open(spark, folder)
+    assert opened.fences.count() == 20
+    return opened, numbers
 
 
 def test_cumulative_counts(index):
