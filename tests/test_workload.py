@@ -27,8 +27,9 @@ def duck():
 
 @pytest.fixture(scope="module", autouse=True)
 def one_scan():
-    """Many queries differ in what they do with the same scan; here they share it."""
-    kept = {name: getattr(queries, name) for name in ("_scan", "_detection", "_dossiers")}
+    """Many queries differ in what they do with the same scan or stored tables; here they share them."""
+    kept = {name: getattr(queries, name) for name in (
+        "_scan", "_detection", "_dossiers", "_month_store", "_name_index", "_registry_twice")}
     for name, function in kept.items():
         setattr(queries, name, functools.cache(function))
     yield
