@@ -55,10 +55,17 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = registered()
 
+    tracker = spark.sparkContext.statusTracker()
+    jobs: dict[str, int] = {}
+
     def timed(name: str) -> float:
+        spark.sparkContext.setJobGroup(name, name)
+        before = len(tracker.getJobIdsForGroup(name))
         started = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-        return round(time.perf_counter() - started, 3)
+        seconds = time.perf_counter() - started
+        jobs[name] = len(tracker.getJobIdsForGroup(name)) - before
+        return round(seconds, 3)
 
     for name in WARM_UP:
         timed(name)
@@ -70,6 +77,7 @@ def main() -> None:
         "unit": "sec",
         "warm_up": list(WARM_UP),
         "queries": seconds,
+        "jobs": {name: jobs[name] for name in HEADLINES},
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }))
 
