@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimgauge.llm import (
     bpe,
@@ -53,14 +54,25 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Commits all documents as one batch, and once more, which changes nothing."""
+    """Commits all documents, then changes of some: by crc32(doc_id as text) mod 64, those of 1 and 2 are
+    deleted, 3 is revised to a longer text, 4 moves to the source ``moved`` (with a null doc_id none changes).
+    A third batch restores the deleted of 2. The changes are committed once more, which changes nothing, and
+    the batches are compacted on the way. The totals are those of the documents as they are then."""
     rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}", {
         "words": token_rollup.words,
         "byte_bpe_50k": token_rollup.byte_bpe(VOCABULARY, public_tokenizers.PATTERN),
     })
-    documents = token_rollup.inserts(table(spark, folder, "documents"))
-    for _ in range(2):
-        rollup.commit("documents", documents)
+    documents = table(spark, folder, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 64
+    changed = token_rollup.changes(
+        documents.where(part.between(1, 4)), part <= 2,
+        F.struct(F.when(part == 4, "moved").otherwise(F.col("source")).alias("source"), "lang",
+                 F.when(part == 3, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")).alias("text")))
+    rollup.commit("documents", token_rollup.inserts(documents))
+    rollup.commit("changes", changed)
+    rollup.compact()
+    rollup.commit("restored", token_rollup.inserts(documents.where(part == 2)))
+    rollup.commit("changes", changed)
     return rollup.totals()
 
 

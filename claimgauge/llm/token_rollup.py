@@ -5,9 +5,11 @@ delete, both a revision. Either image is counted by every tokenizer and its coun
 sign of the image, so a batch is reduced to one additive row for each (source, lang, tokenizer). The
 totals are the sums over all committed batches.
 
-A batch is committed under its id: it is written to a folder of that name, which counts once its
-writer has put its mark there. Committing the same id again does nothing, and what a failed attempt
-has left is written over.
+A batch is committed under its id. It is written aside and then renamed to a folder of that name, so
+it counts whole or not at all, whatever marks the writer leaves. Committing the same id again does
+nothing; of two writers of one id the first to rename wins and the other's folder goes. (The store
+has to rename folders in one step, as HDFS does.) ``compact`` sums the batches so far into a base, after
+which totals read the base and the batches since.
 
 Edge cases: null text counts no tokens but is a document; a null source or language is a group like
 any other; a revision that changes the source or language moves the counts; repeated rows are
@@ -16,10 +18,11 @@ changes of their own; an empty batch commits no rows; without batches the totals
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgauge.llm.bpe import encoder
@@ -50,6 +53,14 @@ def inserts(documents: DataFrame) -> DataFrame:
         F.struct("source", "lang", "text").alias("after"))
 
 
+def changes(documents: DataFrame, gone: Column, after: Column) -> DataFrame:
+    """Every row of source, lang and text as a delete where ``gone``, else as a revision to ``after``, a struct
+    like the row's own."""
+    kind = "struct<source:string,lang:string,text:string>"
+    return documents.select(
+        F.struct("source", "lang", "text").cast(kind).alias("before"), F.when(~gone, after).cast(kind).alias("after"))
+
+
 def deltas(changes: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     """One signed row for each source, language and tokenizer that the changes touch."""
     images = changes.select(F.explode(F.filter(
@@ -83,27 +94,76 @@ class Rollup:
         self.spark, self.folder, self.tokenizers = spark, folder.rstrip("/"), tokenizers
 
     def _exists(self, path: str) -> bool:
+        where, files = self._files(path)
+        return files.exists(where)
+
+    def _files(self, path: str):
+        """A path, and the file system it is in."""
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _place(self, attempt: str, path: str) -> bool:
+        """Renames a finished attempt to ``path``, unless another has come first."""
+        target, files = self._files(path)
+        source = self._files(attempt)[0]
+        if not files.exists(target) and files.rename(source, target):
+            # Onto a folder that has come up meanwhile the rename moves into it, where readers do not look.
+            inside = self._files(f"{path}/{source.getName()}")[0]
+            if not files.exists(inside):
+                return True
+            files.delete(inside, True)
+        files.delete(source, True)
+        return False
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Whether the batch was new."""
         path = f"{self.folder}/batch={batch}"
-        if self._exists(f"{path}/_SUCCESS"):
+        if self._exists(path):
             return False
-        deltas(changes, self.tokenizers).write.mode("overwrite").parquet(path)
-        return True
+        attempt = f"{self.folder}/_attempt-{uuid.uuid4().hex}"
+        deltas(changes, self.tokenizers).write.parquet(attempt)
+        return self._place(attempt, path)
+
+    def _found(self, pattern: str) -> list[str]:
+        where, files = self._files(f"{self.folder}/{pattern}")
+        return sorted(str(x.getPath()) for x in files.globStatus(where) or [])
 
     def batches(self) -> list[str]:
         """The paths of the committed batches."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch=*/_SUCCESS")
-        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where)
-        return sorted(str(x.getPath().getParent()) for x in found or [])
+        return self._found("batch=*")
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The latest base, and the names of the batches in it."""
+        bases = self._found("base-*")
+        if not bases:
+            return None, set()
+        names = self.spark.read.schema("name string").parquet(f"{bases[-1]}/batches")
+        return bases[-1], {r["name"] for r in names.collect()}  # one for each commit
+
+    def _sums(self) -> tuple[DataFrame | None, list[str]]:
+        """Sums by group over the base and the batches since, and the names of all of them."""
+        base, names = self._base()
+        since = [x for x in self.batches() if x.rsplit("/", 1)[1] not in names]
+        paths = [f"{base}/sums"] * (base is not None) + since
+        if not paths:
+            return None, []
+        summed = self.spark.read.schema(_TOTALS).parquet(*paths).groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in SUMS])
+        return summed, sorted(names) + [x.rsplit("/", 1)[1] for x in since]
+
+    def compact(self) -> bool:
+        """Sums all batches so far into a new base; whether there was one to make."""
+        base = self._base()[0]
+        summed, names = self._sums()
+        if summed is None:
+            return False
+        number = int(base.rsplit("-", 1)[1]) + 1 if base else 0
+        attempt = f"{self.folder}/_attempt-{uuid.uuid4().hex}"
+        summed.write.parquet(f"{attempt}/sums")
+        self.spark.createDataFrame([(x,) for x in names], "name string").coalesce(1).write.parquet(f"{attempt}/batches")
+        return self._place(attempt, f"{self.folder}/base-{number:09d}")
 
     def totals(self) -> DataFrame:
-        paths = self.batches()
-        if not paths:
+        summed, _ = self._sums()
+        if summed is None:
             return self.spark.createDataFrame([], _TOTALS)
-        summed = self.spark.read.schema(_TOTALS).parquet(*paths).groupBy(*KEYS).agg(
-            *[F.sum(x).alias(x) for x in SUMS])
         return summed.where(" or ".join(f"{x} != 0" for x in SUMS))

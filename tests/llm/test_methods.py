@@ -20,6 +20,7 @@ from claimgauge.llm import (
     html_text,
     lm_score,
     ngram_join,
+    queries,
     repeats,
     rules,
     sharding,
@@ -308,6 +309,55 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
                      for s, lang, n, t, z in [("s", "de", 1, 2, 3), ("t", None, 2, 0, 0)]}
 
 
+def test_compacted_batches_count_once(spark, tmp_path):
+    rollup = token_rollup.Rollup(spark, str(tmp_path), {"words": token_rollup.words})
+    assert not rollup.compact()
+    one = spark.createDataFrame([("s", "en", "a b")], "source string, lang string, text string")
+    assert rollup.commit("1", token_rollup.inserts(one)) and rollup.compact()
+    assert rollup.commit("2", token_rollup.inserts(one)) and not rollup.commit("1", token_rollup.inserts(one))
+    assert [r.n_tokens for r in rollup.totals().collect()] == [4]
+    assert rollup.compact() and rollup.compact()
+    assert [r.n_tokens for r in rollup.totals().collect()] == [4]
+
+
+def test_of_two_writers_of_a_batch_one_counts(spark, tmp_path, monkeypatch):
+    rollup = token_rollup.Rollup(spark, str(tmp_path), {"words": token_rollup.words})
+    one = token_rollup.inserts(spark.createDataFrame([("s", "en", "a b")], "source string, lang string, text string"))
+    late = token_rollup.Rollup(spark, str(tmp_path), rollup.tokenizers)
+    monkeypatch.setattr(late, "_exists", lambda path: False)  # it looked before the first had come
+    assert rollup.commit("1", one) and not late.commit("1", one)
+    assert [r.n_tokens for r in rollup.totals().collect()] == [2]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["batch=1"]
+
+
+def test_query_of_deltas(spark, prose, tmp_path):
+    """Against all documents as they are after the changes, counted one by one."""
+    chance = random.Random(3)
+    rows = [(k if k % 50 else None, text, chance.choice(["en", "de", None]), chance.choice(["a", "b", None]))
+            for k, text in enumerate(prose * 4)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    ranks = bpe.Vocabulary.from_file(PATH).ranks
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want: dict = collections.defaultdict(lambda: [0, 0, 0])
+    met = set()
+    for doc_id, text, lang, source in rows:
+        part = None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 64
+        met.add(part)
+        if part == 1:
+            continue
+        if part == 3 and text is not None:
+            text += " revised"
+        source = "moved" if part == 4 else source
+        text = text or ""
+        for name, n in (("words", len(text.encode().split())), ("byte_bpe_50k", len(library.encode_ordinary(text)))):
+            sums = want[source, lang, name]
+            sums[0], sums[1], sums[2] = sums[0] + 1, sums[1] + n, sums[2] + len(text.encode())
+    assert {1, 2, 3, 4, None} <= met
+    found = {tuple(r[:3]): list(r[3:]) for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert found == dict(want)
+
+
 # 7
 
 
