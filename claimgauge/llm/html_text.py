@@ -10,7 +10,10 @@ over the pages; what is its own stays. Pages are counted, not blocks, and copies
 Structure alone tells some branches apart that no count can: scripts, styles, forms and the like hold
 no text to read, and navigation, headers of a page, footers, asides, adverts and comments are no part
 of an article whatever their entropy. Where a page has an ``article`` or ``main`` element, that is
-the place to look; the tree then judges the branches in it.
+the place to look; the tree then judges the branches in it. An element whose id or role says that it is the
+content comes before articles outside of it, as teasers are, unless it has an article itself.
+Branches left out by a name, or as a form, are a guess: of a page with no text but in such branches, what lies in
+the fewest of them is its text.
 
 Pages are parsed once. Contents are summed up by (host, path, hash), so a host with a third of all
 pages is spread over its contents; only its repeated contents come back to the pages, by a join that Spark
@@ -23,6 +26,7 @@ structure decides; repeated rows each give a text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Set
 from html.parser import HTMLParser
@@ -38,7 +42,7 @@ IN_HEAD = frozenset("base link meta noscript script style template title".split(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NO_TEXT = frozenset(
     "head script style template noscript iframe svg math canvas object audio video form button select "
-    "option textarea input label nav aside footer menu dialog".split())
+    "option textarea input nav aside footer menu dialog".split())
 BLOCK = frozenset(
     "address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 "
     "h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th "
@@ -63,7 +67,13 @@ ENDS = {
 BESIDE = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent "
     "disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo related "
-    "share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+    "share sharing sidebar social sponsor sponsored subscribe toolbar".split())
+#: Names that say so as a whole only: page builders call every part of an article some kind of widget.
+BESIDE_WHOLE = frozenset("widget widgets".split())
+#: Roles of what stands beside an article, but within it is a part of it.
+ROLES_OF_PAGES = frozenset("banner".split())
+#: Ids and roles of the element with the article.
+CONTENT = frozenset("content main main-content maincontent page-content".split())
 #: A node whose contents and presentation both have less than this share of the most entropy is noise.
 LEAST_IMPORTANCE = 0.2
 #: Pages of a host that a node has to be in before its entropy says anything.
@@ -82,19 +92,32 @@ _SAYS_OF = frozenset("has have with without no not hide hides show shows".split(
 
 def _is_beside(name: str) -> bool:
     """Whether a name of a class, id or role is that of a branch beside the article."""
+    if name.lower() in BESIDE_WHOLE:
+        return True
     words = [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
     while len(words) > 1 and words[-1][0].isdigit():  # ad-1, ad-300x250
         words.pop()
     return bool(words) and words[-1] in BESIDE and not _SAYS_OF.intersection(words[:-1])
 
 
+#: What a block is in.
+ANYWHERE, ARTICLE, BY_NAME = range(3)
+
+
+def _path(parent: int, label: str) -> int:
+    """A path as a hash, so that deep pages take no more memory for each element than flat ones."""
+    key = parent.to_bytes(8, "little", signed=True) + label.encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
+
+
 class _Node:
-    __slots__ = ("children", "no_text", "out", "path", "parent", "tag")
+    __slots__ = ("children", "no_text", "out", "path", "parent", "place", "tag")
 
-    def __init__(self, tag: str, path: str, parent: _Node | None, no_text: bool = False, out: bool = False):
+    def __init__(self, tag: str, path: int, parent: _Node | None, no_text: bool = False, out: bool = False):
         self.tag, self.path, self.parent = tag, path, parent
         self.no_text = no_text  # in an element that never holds article text
         self.out = out  # left out with its branch, unless an article comes to light in it
+        self.place = ANYWHERE
         self.children: list[_Node | str] = []
 
 
@@ -110,7 +133,7 @@ class _Builder(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", "", None)
+        self.root = self.at = _Node("", 0, None)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.at.tag == "head" and tag not in IN_HEAD:
@@ -122,28 +145,42 @@ class _Builder(HTMLParser):
                 pass
         if tag in VOID:
             if not self.at.no_text:
-                self.at.children.append(_Node(tag, self.at.path, self.at) if tag in BLOCK else " ")
+                if tag in BLOCK:
+                    self.at.children.append(_Node(tag, self.at.path, self.at))
+                elif tag == "br":
+                    self.at.children.append(" ")
             return
         given = dict(attrs)
         label = f"{tag}.{given['class']}" if given.get("class") else tag
-        no_text = self.at.no_text or "hidden" in given or tag in NO_TEXT and tag != "form"
-        node = _Node(tag, f"{self.at.path}/{label}", self.at, no_text, self._left_out(tag, given))
+        no_text = (self.at.no_text or "hidden" in given or tag in NO_TEXT and tag != "form"
+                   or tag == "label" and self._inside(("form",)))
+        node = _Node(tag, _path(self.at.path, label), self.at, no_text, self._left_out(tag, given))
         if not no_text:
             self.at.children.append(node)
             if tag in ("article", "main"):
+                node.place = ARTICLE
                 self._open_up(node)
+            elif tag in BLOCK and CONTENT.intersection(
+                    (given.get(x) or "").lower() for x in ("id", "role")) and not self._inside(("article",)):
+                node.place = BY_NAME
         self.at = node
 
     def _left_out(self, tag: str, given: dict[str, str | None]) -> bool:
         if tag in ("html", "body", "main", "article"):
             return False
-        return (tag == "form" or any(_is_beside(n) for x in ("class", "id", "role") for n in (given.get(x) or "").split())
-                or tag == "header" and not self._inside(("article", "main")))
+        roles = (given.get("role") or "").lower().split()
+        if tag == "form" or any(_is_beside(n) for x in ("class", "id") for n in (given.get(x) or "").split()):
+            return True
+        if any(_is_beside(n) for n in roles if n not in ROLES_OF_PAGES):
+            return True
+        return (tag == "header" or not ROLES_OF_PAGES.isdisjoint(roles)) and not self._inside(("article", "main"))
 
     def _open_up(self, node: _Node | None) -> None:
         """Takes the marks of the branches around an article back."""
         while node is not None:
             node.out = False
+            if node.place == BY_NAME:
+                node.place = ANYWHERE
             node = node.parent
 
     def _inside(self, tags: tuple[str, ...]) -> bool:
@@ -187,9 +224,9 @@ class _Builder(HTMLParser):
 
 
 def blocks(html: str | None) -> list[dict]:
-    """path, text, style (its inline marks) and whether inside an article or main element, of each
+    """path, text, style (its inline marks) and whether inside the place of the article, of each
     block with text, in page order; and whether its path, its text there and its style there are the
-    page's first."""
+    page's first. Of blocks in left-out branches only where there are no others, those in the fewest."""
     parser = _Builder()
     parser.feed(_CUT_OFF.sub("", html or ""))
     parser.close()
@@ -206,28 +243,40 @@ def blocks(html: str | None) -> list[dict]:
         marks.clear()
         begun.clear()
 
-    # Depth first without recursion: pages may be nested deeply.
-    stack: list[tuple[_Node, int, bool]] = [(parser.root, 0, False)]
-    while stack:
-        node, i, inside = stack.pop()
-        if i == 0 and node.tag in BLOCK:
-            end_block()
-        if i == len(node.children):
-            if node.tag in BLOCK:
+    def walk(left_out: bool) -> None:
+        # Depth first without recursion: pages may be nested deeply.
+        stack: list[tuple[_Node, int, int, int]] = [(parser.root, 0, ANYWHERE, 0)]
+        while stack:
+            node, i, place, outs = stack.pop()
+            apart = node.tag in BLOCK or node.out
+            if i == 0 and apart:
                 end_block()
-            continue
-        stack.append((node, i + 1, inside))
-        child = node.children[i]
-        if isinstance(child, str):
-            if not begun and child.strip():
-                begun.append({"path": _block_path(node), "inside": inside})
-            parts.append(child)
-        elif not child.out:
-            if child.tag not in BLOCK:
-                marks.append(child.tag)
-            stack.append((child, 0, inside or child.tag in ("article", "main")))
-    end_block()
-    met: set[tuple[str, ...]] = set()
+            if i == len(node.children):
+                if apart:
+                    end_block()
+                continue
+            stack.append((node, i + 1, place, outs))
+            child = node.children[i]
+            if isinstance(child, str):
+                if not begun and child.strip():
+                    begun.append({"path": _block_path(node), "place": place, "outs": outs})
+                parts.append(child)
+            elif left_out or not child.out:
+                if child.tag not in BLOCK:
+                    marks.append(child.tag)
+                stack.append((child, 0, max(place, child.place), outs + child.out))
+        end_block()
+
+    walk(False)
+    if not found:
+        walk(True)
+        fewest = min((block["outs"] for block in found), default=0)
+        found = [block for block in found if block["outs"] == fewest]
+    best = max((block["place"] for block in found), default=ANYWHERE)
+    for block in found:
+        del block["outs"]
+        block["inside"] = block.pop("place") == best != ANYWHERE
+    met: set[tuple] = set()
     for block in found:
         for name, key in (("new_path", (block["path"],)), ("new_text", ("text", block["path"], block["text"])),
                           ("new_style", ("style", block["path"], block["style"]))):
@@ -236,7 +285,7 @@ def blocks(html: str | None) -> list[dict]:
     return found
 
 
-def _block_path(node: _Node) -> str:
+def _block_path(node: _Node) -> int:
     """The path of the block that a text is in: inline marks do not tell styles apart."""
     while node.parent is not None and node.tag not in BLOCK:
         node = node.parent
@@ -260,13 +309,13 @@ def parsed(pages: DataFrame) -> DataFrame:
                     [*(part.column(c) for c in ("page_id", "url", "host")), pa.array(found, kind)],
                     ["page_id", "url", "host", "blocks"])
 
-    kind = pa.list_(pa.struct([("path", pa.string()), ("style", pa.string()), ("text", pa.string()),
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.string()), ("text", pa.string()),
                                ("inside", pa.bool_()), ("new_path", pa.bool_()), ("new_text", pa.bool_()),
                                ("new_style", pa.bool_())]))
     own = pages.select("page_id", "url", _host("url").alias("host"), "html")
     types = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     return own.mapInArrow(read, f"page_id {types['page_id']}, url {types['url']}, host string, "
-                                "blocks array<struct<path string, style string, text string, inside boolean, "
+                                "blocks array<struct<path bigint, style string, text string, inside boolean, "
                                 "new_path boolean, new_text boolean, new_style boolean>>")
 
 

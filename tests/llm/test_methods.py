@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -491,6 +492,40 @@ def test_names_that_only_speak_of_other_branches_leave_none_out():
     assert found("<aside><article>Teaser</article></aside><article>one</article>") == ["one"]
 
 
+def test_wrappers_with_such_names_hold_the_article():
+    def found(html):
+        return [b["text"] for b in html_text.blocks(html) if b["inside"]] or [
+            b["text"] for b in html_text.blocks(html)]
+
+    assert found("<div class='elementor-widget wide'><p>one</p><div class='widget'>x</div></div>") == ["one"]
+    # Nothing outside of left-out branches: what lies in the fewest.
+    assert found("<form><p>one</p><label>Name</label><input><div class=comments>First</div><p>two</form>") == ["one", "two"]
+    assert found("<div class=social><nav>Home</nav><p>one</p></div>") == ["one"]
+    assert found("<form><nav>Home</nav><input value=x></form>") == []
+    # The content comes before teasers, but its own article before the content.
+    assert found("<div id=content><p>one</p></div><article>Teaser</article>") == ["one"]
+    assert found("<article>Teaser</article><div role=main><p>one</p></div>") == ["one"]
+    assert found("<div id=content><p>Lists</p><article>one</article></div>") == ["one"]
+    assert found("<article><div id=content><p>one</p></div><p>two</p></article>") == ["one", "two"]
+    assert found("<div id=content></div><article>one</article>") == ["one"]
+    # Heads and labels within an article are its own.
+    assert found("<main><div role=banner><h1>Head</h1></div><p><label>one</label> two</p></main>") == ["Head", "one two"]
+    assert found("<div role=banner>Site</div><main>one</main>") == ["one"]
+    # Elements without text or space of their own part no words.
+    assert found("<p>super<wbr>man photo<img src=x>graph a<br>b</p>") == ["superman photograph a b"]
+
+
+def test_deep_pages_take_memory_in_proportion():
+    def peak(depth):
+        tracemalloc.start()
+        assert [b["text"] for b in html_text.blocks("<div>" * depth + "deep")] == ["deep"]
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return size
+
+    assert peak(20_000) < 3 * peak(10_000) < 60_000_000
+
+
 def test_repeats_within_a_page_or_over_its_copies_are_no_noise(spark):
     refrain = "<article>" + "<p>La la la.</p>" * 12 + "<ul>" + "<li>0</li>" * 20 + "</ul><h2>End</h2></article>"
     alike = "<article><h1>Same</h1><p>Same body.</p><ul><li>x</li></ul></article>"
