@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from claimgauge.llm.bytehash import mix, packed, words
 from claimgauge.llm.groups import components, in_blocks, roots, runs
@@ -272,6 +273,10 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, n: int =
     return known.unionByName(wordless)
 
 
+def _has_no_order(field: StructField) -> bool:
+    return "map<" in field.dataType.simpleString() or "variant" in field.dataType.simpleString()
+
+
 def one_of_each(documents: DataFrame, **options: float) -> DataFrame:
     """The documents without those that a document of the same class, with a smaller id, stands for.
 
@@ -281,9 +286,15 @@ def one_of_each(documents: DataFrame, **options: float) -> DataFrame:
         F.col("class_text").alias("__key")).where("__key is not null").distinct()
     keyed = documents.withColumn("__key", text_key(F.col("text")))
     has_word = F.coalesce("text", F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
-    row = F.struct(F.col("doc_id").isNull().alias("__none"), "doc_id",
-                   *[c for c in documents.columns if c != "doc_id"])
-    first = keyed.where(has_word).groupBy("__key").agg(F.min(row).alias("row")).join(kept, "__key", "left_semi")
+    others = [f for f in documents.schema.fields if f.name != "doc_id"]
+    row = F.struct(F.col("doc_id").isNull().alias("__none"), "doc_id", *[f.name for f in others])
+    if any(map(_has_no_order, others)):
+        # Rows of one id and text go by their columns, those without an order as JSON.
+        least = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", *[
+            F.to_json(F.struct(f.name)) if _has_no_order(f) else F.col(f.name) for f in others]))
+    else:
+        least = F.min(row)
+    first = keyed.where(has_word).groupBy("__key").agg(least.alias("row")).join(kept, "__key", "left_semi")
     return first.select(*[F.col("row")[c].alias(c) for c in documents.columns]).unionByName(
         documents.where(~has_word))
 

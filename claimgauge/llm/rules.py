@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgauge.llm.shared import SPACE_CHARS, SPACE_CLASS, keep
+from claimgauge.llm.shared import SPACE_CHARS, SPACE_CLASS, discard, keep
 
 #: Fixed values of the base filter.
 SYMBOLS = "#*$%&|<>"
@@ -241,10 +241,10 @@ def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def only_kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep. The rules are learned on the labelled ones."""
-    marked = labels.select("doc_id").where("doc_id is not null").distinct()
-    rules = learn(
-        with_statistics(documents.select("doc_id", "text").join(marked, "doc_id", "left_semi")).drop("text"),
-        labels)
+    statistics = keep(
+        with_statistics(documents.select("doc_id", "text")).drop("text"), "rules-statistics")  # no text meets the labels
+    rules = learn(statistics, labels)
+    discard(statistics)
     names = documents.columns
     stated = with_statistics(documents.select(F.struct(*names).alias("__row"), "text"))
     return stated.where(rules.verdict()).select("__row.*")
