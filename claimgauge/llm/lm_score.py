@@ -6,9 +6,18 @@ asks for (item, 1), (item, 2), ... until one is absent; the level before is the
 mostly stop at the first question, and a count is rarely too high, as each further level would need
 one more false positive.
 
-A token's probability is Witten-Bell's: with c(v w) of a pair met twice or more, c(v) of the context
-and e(v) the kinds of tokens after it, p(w | v) = (c(v w) + e(v) p(w)) / (c(v) + e(v)); pairs met once
-count as part of the escape e(v). p(w) is the token's share, plus a half for every token.
+A token's probability is Witten-Bell's with pairs met once given to the escape: with c(v w) of a pair
+met twice or more and e(v) the kinds of tokens after v plus the pairs met once,
+p(w | v) = (c(v w) + e(v) p(w)) / z(v). z(v) is the sum of the numerators over all w, made from the
+quantised counts that the filter gives back, so the probabilities after v sum to 1 but for the last digit
+of z(v), which is kept on two scales, coarse and fine. A context without a pair met twice is not kept:
+there p(w | v) = p(w). p(w) is the token's share by quantised counts, plus a half for every token and for
+the unknown one.
+
+False pairs would add to that sum, one for every token that is asked. So a pair is asked only after a
+context that is kept and for a token met twice, and its first level takes so many probes
+(``first_probes``) that false ones add less than FALSE_MASS to any context. Their number grows with the
+logarithm of the vocabulary.
 
 The filter is made of blocks that a hash of the item chooses, so that tasks build them apart from
 one another. It is cut into segments of at most ``segment_mb``, by the context of the pair; each
@@ -25,6 +34,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -40,9 +50,14 @@ from claimgauge.llm.shared import keep
 #: Ratio of counts between two levels, for tokens and contexts and for pairs.
 RATIO = 1.4
 PAIR_RATIO = 1.6
-#: Hash functions of a level, bits for each entry, and bytes of a block.
-PROBES = 4
-BITS = 8
+#: Steps of the fine scale between two levels of a context's sum.
+FINE = 6
+#: Hash functions of a level, where half of the bits are set; twice as many from level HIGH on, whose
+#: few items hold most of the mass.
+PROBES = 7
+HIGH = 12
+#: The probability that false pairs may add after a context.
+FALSE_MASS = 0.02
 BLOCK_BYTES = 1 << 16
 SEGMENT_MB = 96
 #: Passes over the texts in one plan.
@@ -51,7 +66,7 @@ PASSES = 12
 FREQUENT = 100_000
 _END = np.uint64(0x5EED0E17D0000001)
 _BEGIN = np.uint64(0x5EED0E17D0000002)
-_TOKEN, _PAIR, _CONTEXT, _ESCAPE = 1, 2, 3, 4
+_TOKEN, _PAIR, _CONTEXT, _ESCAPE, _FINE = 1, 2, 3, 4, 5
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +97,25 @@ def level(count: Column, least: int, ratio: float) -> Column:
     return (F.round(F.log(count / F.lit(float(least))) / float(np.log(ratio))) + 1).cast("int")
 
 
+def quantised(count: Column, least: int, ratio: float) -> Column:
+    """The count that its level stands for."""
+    return F.lit(float(least)) * F.pow(F.lit(ratio), level(count, least, ratio) - 1)
+
+
+def probes_of(kind: np.ndarray | int, at_level: np.ndarray | int, first: int) -> np.ndarray:
+    """The probes of an item's level; ``first`` are those of a pair's first level."""
+    of = np.where(np.asarray(at_level) >= HIGH, 2 * PROBES, PROBES)
+    return np.where((np.asarray(kind) == _PAIR) & (np.asarray(at_level) == 1), first, of)
+
+
+def first_probes(repeated: int) -> int:
+    """Probes of a pair's first level, where so many tokens met twice may be asked after a context.
+
+    A false pair counts 2 in a sum z(v) of at least 3.
+    """
+    return max(PROBES, math.ceil(math.log2(max(1, repeated) * 2 / 3 / FALSE_MASS)))
+
+
 @dataclass(frozen=True)
 class Model:
     """A trained model: what is broadcast is one segment of it at a time."""
@@ -89,28 +123,37 @@ class Model:
     blocks: DataFrame  # segment, block, bits
     grid: tuple[int, int]  # parts of contexts, parts of tokens
     blocks_each: int
+    first: int  # probes of a pair's first level
     counts: DataFrame  # h, c: exact, by token
     total: int
     distinct: int
+    mass: float  # sum of the quantised counts of tokens, with a half for each and for the unknown one
+
+    def segment(self, number: int) -> np.ndarray:
+        """The bits of one segment, its blocks in order."""
+        rows = self.blocks.where(F.col("segment") == number).select("block", "bits").toArrow()
+        bits = np.zeros((self.blocks_each, BLOCK_BYTES), np.uint8)
+        for at, content in zip(rows.column("block").to_pylist(), rows.column("bits"), strict=True):
+            bits[at] = np.frombuffer(content.as_buffer(), np.uint8)
+        return bits.reshape(-1)
 
 
 class Filter:
     """One segment, in a worker."""
 
-    def __init__(self, blocks: np.ndarray, contents: pa.Array, blocks_each: int):
-        self.blocks_each = blocks_each
-        bits = np.zeros((blocks_each, BLOCK_BYTES), np.uint8)
-        for at, content in zip(blocks.tolist(), contents, strict=True):
-            bits[at] = np.frombuffer(content.as_buffer(), np.uint8)
-        self.bits = bits.reshape(-1)
+    def __init__(self, bits: np.ndarray, first: int):
+        self.bits, self.blocks_each, self.first = bits, len(bits) // BLOCK_BYTES, first
 
     def has(self, items: np.ndarray, kind: int, at_level: int) -> np.ndarray:
-        place, step = places(items, kind, at_level)
+        """Which of the items are in the filter."""
+        of = places(items, kind, at_level)
         base = block_of(items, self.blocks_each) * BLOCK_BYTES
         left = np.arange(len(items))
-        for k in range(PROBES):  # an absent item mostly fails at the first probe
-            bit = probe(place[left], step[left], k)
-            left = left[(self.bits[base[left] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
+        for k in range(int(probes_of(kind, at_level, self.first))):  # an absent item mostly fails at the first probes
+            bit = probe(of, k)
+            there = (self.bits[base + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            if not there.all():
+                left, base, of = left[there], base[there], tuple(x[there] for x in of)
         found = np.zeros(len(items), bool)
         found[left] = True
         return found
@@ -126,6 +169,16 @@ class Filter:
             q += 1
         return np.where(levels > 0, least * ratio ** (levels - 1.0), 0.0)
 
+    def contexts(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Escape and sum of contexts, 0 and 0 of those that are not kept."""
+        escape = self.counts(items, _ESCAPE, 1, RATIO)
+        kept = np.flatnonzero(escape)
+        coarse = self.counts(items[kept], _CONTEXT, 1, RATIO)
+        fine = self.counts(items[kept], _FINE, 1, RATIO ** (1 / FINE))
+        z = np.zeros(len(items))
+        z[kept] = coarse * fine * RATIO ** (0.5 / FINE)
+        return np.where(z > 0, escape, 0.0), z
+
 
 def block_of(items: np.ndarray, blocks: int) -> np.ndarray:
     return ((mix(items, 77) >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
@@ -138,15 +191,18 @@ def segment_of(before: np.ndarray, token: np.ndarray, grid: tuple[int, int]) ->
 
 
 def places(items: np.ndarray, kind: np.ndarray | int, at_level: np.ndarray | int
-           ) -> tuple[np.ndarray, np.ndarray]:
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, step and growth of the step, from different bits: items rarely share all their probes."""
     h = mix(items ^ np.asarray(kind, np.uint64) * np.uint64(0x1F123BB5), 11)
     h = mix(h + np.asarray(at_level, np.uint64) * np.uint64(0xD6E8FEB86659FD93), 12)
-    return h, (h >> np.uint64(32)) | np.uint64(1)
+    return h, (h >> np.uint64(19)) | np.uint64(1), h >> np.uint64(38)
 
 
-def probe(place: np.ndarray, step: np.ndarray, k: int) -> np.ndarray:
+def probe(of: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> np.ndarray:
     """The k-th bit in a block."""
-    return ((place + np.uint64(k) * step) & np.uint64(BLOCK_BYTES * 8 - 1)).astype(np.int64)
+    place, step, growth = of
+    at = place + np.uint64(k) * step + np.uint64(k * (k - 1) // 2) * growth
+    return (at & np.uint64(BLOCK_BYTES * 8 - 1)).astype(np.int64)
 
 
 def _by_batch(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,7 +222,7 @@ def _counted(texts: DataFrame, pairs: bool) -> DataFrame:
     return texts.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _built(items: DataFrame, blocks_each: int) -> DataFrame:
+def _built(items: DataFrame, blocks_each: int, first_level: int) -> DataFrame:
     """The blocks of the filter from (segment, kind, h, level)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +248,11 @@ def _built(items: DataFrame, blocks_each: int) -> DataFrame:
                     bits[:] = False
                 of = np.repeat(np.arange(begin, end), most[begin:end])
                 first = np.repeat(np.cumsum(most[begin:end]) - most[begin:end], most[begin:end])
-                place, step = places(h[of], kind[of], np.arange(len(of)) - first + 1)
-                for k in range(PROBES):
-                    bits[probe(place, step, k)] = True
+                at_level = np.arange(len(of)) - first + 1
+                where = places(h[of], kind[of], at_level)
+                probes = probes_of(kind[of], at_level, first_level)
+                for k in range(int(probes.max(initial=0))):
+                    bits[probe(tuple(x[probes > k] for x in where), k)] = True
         if held >= 0:
             yield _block_row(held, bits, blocks_each)
 
@@ -215,26 +273,38 @@ def train(texts: DataFrame, segment_mb: float = SEGMENT_MB) -> Model:
     """Counts all tokens and pairs of column ``text`` and builds the filter."""
     unigrams = keep(_counted(texts, False).withColumnRenamed("n", "c"), "lm-tokens")
     pairs = keep(_counted(texts, True), "lm-pairs")
-    total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct, repeated, mass = unigrams.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") > 1, 1)),
+        F.coalesce(F.sum(quantised(F.col("c"), 1, RATIO)), F.lit(0.0))).first()
+    first = first_probes(repeated)
     before, token = F.shiftrightunsigned("h", 32), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))
-    contexts = keep(pairs.groupBy(before.alias("h")).agg(
-        F.sum("n").alias("c"), (F.count("*") + F.sum((F.col("n") == 1).cast("int"))).alias("escape")),
-        "lm-contexts")
-
-    def items(df: DataFrame, kind: int, count: str, least: int, ratio: float) -> DataFrame:
-        return df.select(F.lit(kind).cast("bigint").alias("kind"), "h",
-                         level(F.col(count), least, ratio).alias("level"))
-
-    of_tokens = items(unigrams.groupBy(F.shiftrightunsigned("h", 32).alias("h")).agg(F.sum("c").alias("c")),
-                      _TOKEN, "c", 1, RATIO)
-    of_contexts = items(contexts, _CONTEXT, "c", 1, RATIO).unionByName(
-        items(contexts, _ESCAPE, "escape", 1, RATIO))
-    of_pairs = items(pairs.where("n > 1"), _PAIR, "n", 2, PAIR_RATIO)
+    again = F.col("n") > 1
+    contexts = pairs.groupBy(before.alias("h")).agg(
+        (F.count("*") + F.count(F.when(~again, 1))).alias("escape"),
+        F.sum(F.when(again, quantised(F.col("n"), 2, PAIR_RATIO))).alias("sum")).where("sum is not null")
+    digits = F.log(F.col("sum") + quantised(F.col("escape"), 1, RATIO)) / float(np.log(RATIO))
+    contexts = keep(contexts.select(
+        "h", level(F.col("escape"), 1, RATIO).alias("escape"), (F.floor(digits) + 1).cast("int").alias("coarse"),
+        (F.floor((digits - F.floor(digits)) * FINE) + 1).cast("int").alias("fine")), "lm-contexts")
+
+    def items(df: DataFrame, kind: int, of: Column) -> DataFrame:
+        return df.select(F.lit(kind).cast("bigint").alias("kind"), "h", of.alias("level"))
+
+    by_half = unigrams.groupBy(F.shiftrightunsigned("h", 32).alias("h")).agg(F.sum("c").alias("c"))
+    of_tokens = items(by_half, _TOKEN, level(F.col("c"), 1, RATIO))
+    of_contexts = (
+        items(contexts, _CONTEXT, F.col("coarse")).unionByName(items(contexts, _FINE, F.col("fine")))
+        .unionByName(items(contexts, _ESCAPE, F.col("escape")))
+    )
+    of_pairs = items(pairs.where(again), _PAIR, level(F.col("n"), 2, PAIR_RATIO))
 
-    entries = [x.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0] for x in (of_contexts, of_tokens, of_pairs)]
-    grid = _grid(entries, segment_mb * (1 << 20) * 8 / BITS)
-    each = entries[0] / grid[0] + entries[1] / grid[1] + entries[2] / (grid[0] * grid[1])
-    blocks_each = max(1, int(np.ceil(each * BITS / (BLOCK_BYTES * 8))))
+    # Set probes, so that half of the bits are set: probes / ln 2 bits.
+    levels = F.coalesce(F.sum(F.col("level") + F.greatest(F.col("level") - HIGH + 1, F.lit(0))), F.lit(0)) * PROBES
+    needs = [float(x.agg(n / math.log(2)).first()[0]) for x, n in (
+        (of_contexts, levels), (of_tokens, levels), (of_pairs, levels + F.count("*") * (first - PROBES)))]
+    grid = _grid(needs, segment_mb * (1 << 23))
+    each = needs[0] / grid[0] + needs[1] / grid[1] + needs[2] / (grid[0] * grid[1])
+    blocks_each = max(1, int(np.ceil(each / (BLOCK_BYTES * 8))))
 
     rows, columns = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in grid)
     placed = (
@@ -244,12 +314,12 @@ def train(texts: DataFrame, segment_mb: float = SEGMENT_MB) -> Model:
                      .withColumn("segment", F.col("other") * grid[1] + F.col("h") % grid[1]).drop("other"))
         .unionByName(of_pairs.withColumn("segment", before % grid[0] * grid[1] + token % grid[1]))
     )
-    return Model(keep(_built(placed, blocks_each), "lm-filter"), grid, blocks_each, unigrams,
-                 int(total), int(distinct))
+    return Model(keep(_built(placed, blocks_each, first), "lm-filter"), grid, blocks_each, first, unigrams,
+                 int(total), int(distinct), mass + 0.5 * (distinct + 1))
 
 
-def _grid(entries: list[int], room: float) -> tuple[int, int]:
-    """The parts of contexts and of tokens, as few cells as hold ``room`` entries each."""
+def _grid(entries: list[float], room: float) -> tuple[int, int]:
+    """The parts of contexts and of tokens, as few cells as have ``room`` for what each holds."""
     rows = columns = 1
     while entries[0] / rows + entries[1] / columns + entries[2] / (rows * columns) > room:
         if entries[0] / rows >= entries[1] / columns:
@@ -259,38 +329,39 @@ def _grid(entries: list[int], room: float) -> tuple[int, int]:
     return rows, columns
 
 
-def _log_probabilities(filter_: Filter, token: np.ndarray, before: np.ndarray, total: int, distinct: int
-                       ) -> np.ndarray:
+def _log_probabilities(filter_: Filter, token: np.ndarray, before: np.ndarray, mass: float) -> np.ndarray:
     """log10 p(token | before) from the halves, each different token, context and pair read once."""
     p, p_at = np.unique(before << np.uint64(32) | token, return_inverse=True)
     t, t_at = np.unique(p & np.uint64(0xFFFFFFFF), return_inverse=True)
     c, c_at = np.unique(p >> np.uint64(32), return_inverse=True)
-    own = ((filter_.counts(t, _TOKEN, 1, RATIO) + 0.5) / (total + 0.5 * (distinct + 1)))[t_at]
-    escape = filter_.counts(c, _ESCAPE, 1, RATIO)[c_at]
-    context = np.maximum(filter_.counts(c, _CONTEXT, 1, RATIO)[c_at], 1.0)
-    pair = np.minimum(filter_.counts(p, _PAIR, 2, PAIR_RATIO), context)
-    mixed = np.where(escape > 0, (pair + escape * own) / (context + escape), own)
+    met = filter_.counts(t, _TOKEN, 1, RATIO)
+    own = ((met + 0.5) / mass)[t_at]
+    escape, z = (x[c_at] for x in filter_.contexts(c))
+    asked = np.flatnonzero((z > 0) & (met > 1.5)[t_at])
+    pair = np.zeros(len(p))
+    pair[asked] = filter_.counts(p[asked], _PAIR, 2, PAIR_RATIO)
+    mixed = np.divide(pair + escape * own, z, out=own.copy(), where=z > 0)
     return np.log10(np.minimum(mixed, 1.0))[p_at]
 
 
 def with_score(texts: DataFrame, model: Model) -> DataFrame:
     """Adds ``score`` to a table with a column ``text``: a pass for each segment of the filter."""
     spark = texts.sparkSession
-    grid, blocks_each, total, distinct = model.grid, model.blocks_each, model.total, model.distinct
+    grid, first, mass = model.grid, model.first, model.mass
+    held_now = []
     df = texts.withColumn("score", F.lit(0.0))
     names = df.columns
     for segment in range(grid[0] * grid[1]):
-        rows = model.blocks.where(F.col("segment") == segment).select("block", "bits").toArrow()
-        held = spark.sparkContext.broadcast((rows.column("block").to_numpy(), rows.column("bits").combine_chunks()))
-        del rows
+        held = spark.sparkContext.broadcast(model.segment(segment))
+        held_now.append(held)
 
         def score(batches: Iterator[pa.RecordBatch], held=held, segment=segment) -> Iterator[pa.RecordBatch]:
-            filter_ = Filter(*held.value, blocks_each)
+            filter_ = Filter(held.value, first)
             for batch in batches:
                 for begin, end, token, before, row in _by_batch(batch.column("text")):
                     token, before = half(token), half(before)
                     mine = segment_of(before, token, grid) == segment
-                    logs = _log_probabilities(filter_, token[mine], before[mine], total, distinct)
+                    logs = _log_probabilities(filter_, token[mine], before[mine], mass)
                     part = batch.slice(begin, end - begin)
                     sums = part.column("score").to_numpy() + np.bincount(
                         row[mine], weights=logs, minlength=end - begin)
@@ -300,6 +371,8 @@ def with_score(texts: DataFrame, model: Model) -> DataFrame:
         df = df.mapInArrow(score, df.schema)
         if segment % PASSES == PASSES - 1:
             df = keep(df, "lm-scored")
+            while held_now:
+                held_now.pop().destroy()
     return df
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -71,20 +72,65 @@ def test_unigram_base_is_exact_and_segments_agree(spark, prose):
 def test_filter_counts_are_close_and_rarely_false():
     items = np.arange(1, 4001, dtype=np.uint64) << np.uint64(20)
     levels = np.arange(4000) % 12 + 1
-    blocks = 1 + int(levels.sum()) * lm_score.BITS // (lm_score.BLOCK_BYTES * 8)
-    held = lm_score.Filter(np.empty(0, int), pa.array([], pa.binary()), blocks)
+    blocks = 1 + int((levels.sum() + (levels == 12).sum()) * lm_score.PROBES / math.log(2)) // (lm_score.BLOCK_BYTES * 8)
+    held = lm_score.Filter(np.zeros(blocks * lm_score.BLOCK_BYTES, np.uint8), lm_score.PROBES)
     bits = np.unpackbits(held.bits, bitorder="little").astype(bool)
     for q in range(1, 13):
         mine = items[levels >= q]
-        place, step = lm_score.places(mine, 1, q)
         base = lm_score.block_of(mine, blocks) * lm_score.BLOCK_BYTES * 8
-        for k in range(lm_score.PROBES):
-            bits[base + lm_score.probe(place, step, k)] = True
+        for k in range(int(lm_score.probes_of(1, q, lm_score.PROBES))):
+            bits[base + lm_score.probe(lm_score.places(mine, 1, q), k)] = True
     held.bits = np.packbits(bits, bitorder="little")
     found = held.counts(items, 1, 1, 2.0)
     assert (found >= 2.0 ** (levels - 1)).all()
-    assert (found == 2.0 ** (levels - 1)).mean() > 0.93
-    assert (held.counts(items + np.uint64(1), 1, 1, 2.0) > 0).mean() < 0.07
+    assert (found == 2.0 ** (levels - 1)).mean() > 0.97
+    assert (held.counts(items + np.uint64(1), 1, 1, 2.0) > 0).mean() < 0.02
+
+
+def test_scores_are_near_the_exact_formula(spark, prose):
+    tokens = [["<"] + (t or "").lower().split() + [">"] for t in prose]
+    training = [t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 5 != 1]
+    single = collections.Counter(w for t in training for w in t[1:])
+    pairs = collections.Counter(p for t in training for p in itertools.pairwise(t))
+    scale = single.total() + 0.5 * (len(single) + 1)
+    after = collections.defaultdict(list)
+    for (v, _), n in pairs.items():
+        after[v].append(n)
+
+    def log_p(v, w):
+        own, n = (single[w] + 0.5) / scale, after[v]
+        if max(n, default=0) < 2:
+            return math.log10(own)
+        met = pairs[v, w] if pairs[v, w] > 1 else 0
+        return math.log10((met + (len(n) + n.count(1)) * own) / (sum(n) + len(n)))
+
+    off, count = 0.0, 0
+    for r in lm_score.scored(documents(spark, prose)).collect():
+        own = tokens[r.doc_id]
+        exact = sum(log_p(v, w) for v, w in itertools.pairwise(own))
+        assert r.score == pytest.approx(exact, abs=0.15 * (len(own) - 1))
+        off, count = off + r.score - exact, count + len(own) - 1
+    assert abs(off) / count < 0.02
+
+
+@pytest.mark.parametrize("vocabulary", [300, 20_000])
+def test_probabilities_after_a_context_sum_to_one(spark, vocabulary):
+    chance = random.Random(vocabulary)
+    texts = [" ".join(f"w{int(vocabulary * chance.random() ** 4)}" for _ in range(400)) for _ in range(150)]
+    model = lm_score.train(documents(spark, texts))
+    known = lm_score.half(model.counts.toPandas()["h"].to_numpy().view(np.uint64))
+    held = lm_score.Filter(model.segment(0), model.first)
+    unknown = 0.5 / model.mass
+    _, z = held.contexts(known)
+    kept = known[z > 0]
+    assert len(kept) > 200
+    sums = []
+    for v in [*kept[:400], *known[z == 0][:20]]:
+        p = 10 ** lm_score._log_probabilities(held, known, np.full(len(known), v), model.mass)
+        escape, z = (x[0] for x in held.contexts(np.array([v])))
+        sums.append(p.sum() + (unknown * escape / z if z else unknown))
+    assert np.mean(sums) == pytest.approx(1, abs=0.02)
+    assert np.mean(np.abs(np.array(sums) - 1) < 0.05) > 0.9
 
 
 # 2
