@@ -21,7 +21,8 @@ logarithm of the vocabulary.
 
 The filter is made of blocks that a hash of the item chooses, so that tasks build them apart from
 one another. It is cut into segments of at most ``segment_mb``, by the context of the pair; each
-segment is broadcast in turn and scores the tokens of its contexts. At 100 million items a segment
+segment is broadcast in turn and scores the tokens of its contexts. A single segment scores in the pass
+that the base takes. At 100 million items a segment
 suffices; a corpus of many times that takes more passes over the texts, not more memory.
 
 The exact unigram base uses counts by token hash. The most frequent tokens, a bounded table, are
@@ -52,13 +53,19 @@ RATIO = 1.4
 PAIR_RATIO = 1.6
 #: Steps of the fine scale between two levels of a context's sum.
 FINE = 6
-#: Hash functions of a level, where half of the bits are set; twice as many from level HIGH on, whose
-#: few items hold most of the mass.
-PROBES = 7
-HIGH = 12
+#: A probe sets, or asks for, three bits of one word of 64; half of all bits are set. A level has PROBES,
+#: from level HIGH on, whose few items hold most of the mass, twice as many.
+PROBES = 2
+HIGH = 8
+EACH = 3
+#: What a probe tells in bits, less than EACH as words are not filled evenly.
+TELLS = 2.85
 #: The probability that false pairs may add after a context.
 FALSE_MASS = 0.02
 BLOCK_BYTES = 1 << 16
+_WORDS = BLOCK_BYTES // 8
+#: A factor for each probe.
+_FACTORS = np.random.default_rng(21).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SEGMENT_MB = 96
 #: Passes over the texts in one plan.
 PASSES = 12
@@ -113,7 +120,7 @@ def first_probes(repeated: int) -> int:
 
     A false pair counts 2 in a sum z(v) of at least 3.
     """
-    return max(PROBES, math.ceil(math.log2(max(1, repeated) * 2 / 3 / FALSE_MASS)))
+    return max(PROBES, math.ceil(math.log2(max(1, repeated) * 2 / 3 / FALSE_MASS) / TELLS))
 
 
 @dataclass(frozen=True)
@@ -142,29 +149,27 @@ class Filter:
     """One segment, in a worker."""
 
     def __init__(self, bits: np.ndarray, first: int):
-        self.bits, self.blocks_each, self.first = bits, len(bits) // BLOCK_BYTES, first
-
-    def has(self, items: np.ndarray, kind: int, at_level: int) -> np.ndarray:
-        """Which of the items are in the filter."""
-        of = places(items, kind, at_level)
-        base = block_of(items, self.blocks_each) * BLOCK_BYTES
-        left = np.arange(len(items))
-        for k in range(int(probes_of(kind, at_level, self.first))):  # an absent item mostly fails at the first probes
-            bit = probe(of, k)
-            there = (self.bits[base + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+        self.words, self.blocks_each, self.first = bits.view(np.uint64), len(bits) // BLOCK_BYTES, first
+
+    def has(self, places: np.ndarray, base: np.ndarray, probes: int) -> np.ndarray:
+        """Which items are in the filter, by number: an absent one mostly fails at the first probes."""
+        left = np.arange(len(places))
+        for k in range(probes):
+            word, mask = probe(places, k)
+            there = self.words[base + word] & mask == mask
             if not there.all():
-                left, base, of = left[there], base[there], tuple(x[there] for x in of)
-        found = np.zeros(len(items), bool)
-        found[left] = True
-        return found
+                left, base, places = left[there], base[there], places[there]
+        return left
 
     def counts(self, items: np.ndarray, kind: int, least: int, ratio: float) -> np.ndarray:
         """0, or the count that the highest level in the filter stands for."""
         levels = np.zeros(len(items), np.int64)
         asked = np.arange(len(items))
+        of, base = kinds(items, kind), block_of(items, self.blocks_each) * _WORDS
         q = 1
         while len(asked):
-            asked = asked[self.has(items[asked], kind, q)]
+            found = self.has(places(of, q), base, int(probes_of(kind, q, self.first)))
+            asked, of, base = asked[found], of[found], base[found]
             levels[asked] = q
             q += 1
         return np.where(levels > 0, least * ratio ** (levels - 1.0), 0.0)
@@ -190,24 +195,47 @@ def segment_of(before: np.ndarray, token: np.ndarray, grid: tuple[int, int]) ->
     return (row * np.uint64(grid[1]) + column).astype(np.int64)
 
 
-def places(items: np.ndarray, kind: np.ndarray | int, at_level: np.ndarray | int
-           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, step and growth of the step, from different bits: items rarely share all their probes."""
-    h = mix(items ^ np.asarray(kind, np.uint64) * np.uint64(0x1F123BB5), 11)
-    h = mix(h + np.asarray(at_level, np.uint64) * np.uint64(0xD6E8FEB86659FD93), 12)
-    return h, (h >> np.uint64(19)) | np.uint64(1), h >> np.uint64(38)
+def kinds(items: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    return mix(items ^ np.asarray(kind, np.uint64) * np.uint64(0x1F123BB5), 11)
 
 
-def probe(of: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> np.ndarray:
-    """The k-th bit in a block."""
-    place, step, growth = of
-    at = place + np.uint64(k) * step + np.uint64(k * (k - 1) // 2) * growth
-    return (at & np.uint64(BLOCK_BYTES * 8 - 1)).astype(np.int64)
+def places(of_kind: np.ndarray, at_level: np.ndarray | int) -> np.ndarray:
+    return mix(of_kind + np.asarray(at_level, np.uint64) * np.uint64(0xD6E8FEB86659FD93), 12)
+
+
+def _bits(places: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The word of the k-th probe in a block, and the bits in it, from the upper bits of a product."""
+    x = places * _FACTORS[k]
+    return (x >> np.uint64(51)).astype(np.int64), [
+        x >> np.uint64(51 - 6 * (i + 1)) & np.uint64(63) for i in range(EACH)]
+
+
+def probe(places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of the k-th probe in a block, and its mask."""
+    word, bits = _bits(places, k)
+    mask = np.uint64(1) << bits[0]
+    for bit in bits[1:]:
+        mask |= np.uint64(1) << bit
+    return word, mask
+
+
+def _set(bits: np.ndarray, places: np.ndarray, k: int) -> None:
+    """Sets the bits of the k-th probe in a block of booleans."""
+    word, own = _bits(places, k)
+    for bit in own:
+        bits[word * 64 + bit.astype(np.int64)] = True
 
 
 def _by_batch(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    for begin, end, data, offsets in packed(texts, 1 << 22):
-        yield begin, end, *tokens(data, offsets)
+    """(first row, end row, token, token before, row) of about 8 MB of texts, cut up in parts of 1 MB."""
+    first, size, held = 0, 0, []
+    for begin, end, data, offsets in packed(texts, 1 << 20):
+        token, before, row = tokens(data, offsets)
+        held.append((token, before, row + (begin - first)))
+        size += len(data)
+        if size >= 1 << 23 or end == len(texts):
+            yield first, end, *map(np.concatenate, zip(*held, strict=True))
+            first, size, held = end, 0, []
 
 
 def _counted(texts: DataFrame, pairs: bool) -> DataFrame:
@@ -249,10 +277,10 @@ def _built(items: DataFrame, blocks_each: int, first_level: int) -> DataFrame:
                 of = np.repeat(np.arange(begin, end), most[begin:end])
                 first = np.repeat(np.cumsum(most[begin:end]) - most[begin:end], most[begin:end])
                 at_level = np.arange(len(of)) - first + 1
-                where = places(h[of], kind[of], at_level)
+                where = places(kinds(h[of], kind[of]), at_level)
                 probes = probes_of(kind[of], at_level, first_level)
                 for k in range(int(probes.max(initial=0))):
-                    bits[probe(tuple(x[probes > k] for x in where), k)] = True
+                    _set(bits, where[probes > k], k)
         if held >= 0:
             yield _block_row(held, bits, blocks_each)
 
@@ -298,9 +326,9 @@ def train(texts: DataFrame, segment_mb: float = SEGMENT_MB) -> Model:
     )
     of_pairs = items(pairs.where(again), _PAIR, level(F.col("n"), 2, PAIR_RATIO))
 
-    # Set probes, so that half of the bits are set: probes / ln 2 bits.
+    # As many bits that half of them are set.
     levels = F.coalesce(F.sum(F.col("level") + F.greatest(F.col("level") - HIGH + 1, F.lit(0))), F.lit(0)) * PROBES
-    needs = [float(x.agg(n / math.log(2)).first()[0]) for x, n in (
+    needs = [float(x.agg(n * (EACH / math.log(2))).first()[0]) for x, n in (
         (of_contexts, levels), (of_tokens, levels), (of_pairs, levels + F.count("*") * (first - PROBES)))]
     grid = _grid(needs, segment_mb * (1 << 23))
     each = needs[0] / grid[0] + needs[1] / grid[1] + needs[2] / (grid[0] * grid[1])
@@ -376,35 +404,44 @@ def with_score(texts: DataFrame, model: Model) -> DataFrame:
     return df
 
 
-def with_base(texts: DataFrame, model: Model, frequent: int = FREQUENT) -> DataFrame:
+def with_base(texts: DataFrame, model: Model, frequent: int = FREQUENT, scores: bool = False) -> DataFrame:
     """In place of ``text``: n_tokens, n_known and base_score, exact. Frequent tokens are looked up in
-    a broadcast table of ``frequent`` rows, the others are joined."""
+    a broadcast table of ``frequent`` rows, the others are joined. With ``scores`` also score, of a
+    model of one segment, from the same pass."""
     top = model.counts.orderBy(F.desc("c"), "h").limit(frequent).toArrow()
     known = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(known)
-    shared = texts.sparkSession.sparkContext.broadcast(
-        (known[order], top.column("c").to_numpy()[order].astype(float)))
-    scale = model.total + 0.5 * (model.distinct + 1)
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast((known[order], top.column("c").to_numpy()[order].astype(float)))
+    segment = context.broadcast(model.segment(0)) if scores else None
+    scale, first, mass = model.total + 0.5 * (model.distinct + 1), model.first, model.mass
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
         logs = np.log10((counts + 0.5) / scale)
+        filter_ = Filter(segment.value, first) if segment else None
         for batch in batches:
-            for begin, end, token, _, row in _by_batch(batch.column("text")):
+            for begin, end, token, before, row in _by_batch(batch.column("text")):
                 rows, part = end - begin, batch.slice(begin, end - begin)
+                own = [part.column(x) for x in others]
+                if filter_:
+                    p = _log_probabilities(filter_, half(token), half(before), mass)
+                    own.append(pa.array(np.bincount(row, weights=p, minlength=rows)))
                 at = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
                 met = known[at] == token if len(known) else np.zeros(len(token), bool)
                 counted = np.bincount(row[~met], minlength=rows)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(x) for x in others), pa.array(np.bincount(row, minlength=rows)),
+                    [*own, pa.array(np.bincount(row, minlength=rows)),
                      pa.array(np.bincount(row[met], minlength=rows)),
                      pa.array(np.bincount(row[met], weights=logs[at[met]], minlength=rows)),
                      pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counted)], pa.int32()),
                                               pa.array(token[~met].view(np.int64)))],
-                    [*others, "n_tokens", "__known", "__sum", "__rest"])
+                    [*names, "n_tokens", "__known", "__sum", "__rest"])
 
     others = [x for x in texts.columns if x != "text"]
+    names = others + ["score"] * scores
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema.fields if f.name != "text")
+    fields += "score double, " * scores
     parts = texts.mapInArrow(
         look_up, fields + "n_tokens bigint, __known bigint, __sum double, __rest array<bigint>")
     parts = keep(parts.withColumn("__id", F.monotonically_increasing_id()), "lm-base")
@@ -414,7 +451,7 @@ def with_base(texts: DataFrame, model: Model, frequent: int = FREQUENT) -> DataF
             F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale))).alias("__more_sum"))
     )
     return parts.join(joined, "__id", "left").select(
-        *others, "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
+        *names, "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
         (F.col("__sum") + F.coalesce("__more_sum", F.lit(0.0))).alias("base_score"))
 
 
@@ -426,6 +463,10 @@ def scored(documents: DataFrame, segment_mb: float = SEGMENT_MB, frequent: int =
         "doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"))
     model = train(texts.where(~F.col("held_out")), segment_mb)
-    return with_base(with_score(texts, model), model, frequent).select(
+    if model.grid == (1, 1):
+        found = with_base(texts, model, frequent, scores=True)
+    else:
+        found = with_base(with_score(texts, model), model, frequent)
+    return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         "base_score", "score")

@@ -72,15 +72,16 @@ def test_unigram_base_is_exact_and_segments_agree(spark, prose):
 def test_filter_counts_are_close_and_rarely_false():
     items = np.arange(1, 4001, dtype=np.uint64) << np.uint64(20)
     levels = np.arange(4000) % 12 + 1
-    blocks = 1 + int((levels.sum() + (levels == 12).sum()) * lm_score.PROBES / math.log(2)) // (lm_score.BLOCK_BYTES * 8)
-    held = lm_score.Filter(np.zeros(blocks * lm_score.BLOCK_BYTES, np.uint8), lm_score.PROBES)
-    bits = np.unpackbits(held.bits, bitorder="little").astype(bool)
+    set_ = lm_score.EACH * lm_score.PROBES * int((levels + np.maximum(levels - lm_score.HIGH + 1, 0)).sum())
+    blocks = 1 + int(set_ / math.log(2)) // (lm_score.BLOCK_BYTES * 8)
+    bits = np.zeros(blocks * lm_score.BLOCK_BYTES, np.uint8)
+    held = lm_score.Filter(bits, lm_score.PROBES)
     for q in range(1, 13):
         mine = items[levels >= q]
-        base = lm_score.block_of(mine, blocks) * lm_score.BLOCK_BYTES * 8
+        base = lm_score.block_of(mine, blocks) * (lm_score.BLOCK_BYTES // 8)
         for k in range(int(lm_score.probes_of(1, q, lm_score.PROBES))):
-            bits[base + lm_score.probe(lm_score.places(mine, 1, q), k)] = True
-    held.bits = np.packbits(bits, bitorder="little")
+            word, mask = lm_score.probe(lm_score.places(lm_score.kinds(mine, 1), q), k)
+            np.bitwise_or.at(held.words, base + word, mask)
     found = held.counts(items, 1, 1, 2.0)
     assert (found >= 2.0 ** (levels - 1)).all()
     assert (found == 2.0 ** (levels - 1)).mean() > 0.97
