@@ -46,8 +46,14 @@ class RankIndex:
 
     def median(self) -> DataFrame:
         """One row, one column: the mean of the two middle values. Reads the ranges that hold them."""
+        return self._mean_of(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+
+    def at(self, position: int) -> DataFrame:
+        """One row, one column named median: the value of the row at a position from 1. Reads its range."""
+        return self._mean_of(F.lit(position), F.lit(position))
+
+    def _mean_of(self, lower: Column, upper: Column) -> DataFrame:
         fences = self.fences.select("*", F.sum("inside").over(Window.partitionBy()).alias("n"))
-        lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
         near = fences.where((F.col("before") < upper) & (F.col("before") + F.col("inside") >= lower))
         placed = self._placed(near)
 
@@ -118,13 +124,30 @@ def indexed(frame: DataFrame, column: str, staging: Staging | None = None) -> Ra
 def median(
     frame: DataFrame, column: str, exact: bool = True, accuracy: int = 10_000, staging: Staging | None = None
 ) -> DataFrame:
-    """One row, one column. Exact: the mean of the two middle values. Otherwise an existing value."""
+    """One row, one column. Exact: the mean of the two middle values. Otherwise the lower of them, which
+    exists; of the values only those near it are ordered."""
     if not exact:
-        approximate = F.percentile_approx(F.col(column), 0.5, accuracy)
-        return frame.agg(approximate.cast("double").alias("median"))
+        return _lower_median(frame.where(F.col(column).isNotNull()), column, accuracy, staging)
     return indexed(frame, column, staging).median()
 
 
+def _lower_median(frame: DataFrame, column: str, accuracy: int, staging: Staging | None) -> DataFrame:
+    """An approximate percentile on either side, twice its error away, tells where the middle lies; the rows
+    between are ranked. Should they not hold it, all are."""
+    value = F.col(column)
+    off = min(0.5, 2 / accuracy)
+    sides = frame.agg(F.percentile_approx(value, [0.5 - off, 0.5 + off], accuracy)).first()[0]
+    if sides is None:
+        return frame.agg(F.max(value).cast("double").alias("median"))
+    between = value.between(*sides)
+    n, before, inside = frame.agg(
+        F.count(F.lit(1)), F.count_if(value < sides[0]), F.count_if(between)).first()
+    position = (n + 1) // 2
+    if before < position <= before + inside:
+        return indexed(frame.where(between), column, staging).at(position - before)
+    return indexed(frame, column, staging).at(position)
+
+
 def global_rank(frame: DataFrame, order: list[Column], name: str, staging: Staging) -> DataFrame:
     """Number the rows 1..n in the given order, which must leave no ties.
 

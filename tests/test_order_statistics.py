@@ -39,6 +39,20 @@ def test_median_ignores_nulls(spark):
     assert median(with_null.where("x is null"), "x").collect()[0].median is None
 
 
+@pytest.mark.parametrize("kind", ["spread", "hot", "few"])
+@pytest.mark.parametrize("accuracy", [1, 20, 10_000])
+@pytest.mark.parametrize("n", [1, 2, 101, 30_000])
+def test_median_that_exists(spark, kind, accuracy, n):
+    numbers = values(kind, n, n)
+    (row,) = median(frame(spark, numbers), "x", exact=False, accuracy=accuracy).collect()
+    assert row.median == statistics.median_low(numbers)
+
+
+def test_median_that_exists_of_nothing(spark):
+    nothing = spark.createDataFrame([(None,)], "x double")
+    assert median(nothing, "x", exact=False).collect()[0].median is None
+
+
 @pytest.fixture(scope="module")
 def index(spark):
     """Twenty ranges of values, some of them hot."""
