@@ -48,10 +48,11 @@ _SCHEMAS = {
 
 
 def month_sketches(monthly: DataFrame) -> DataFrame:
-    """One row for each month: sketches of its providers and of their paid per claim. Built by
-    partial aggregates, so what is shuffled is sketches."""
+    """One row for each month: its rows, and sketches of its providers and of their paid per claim. Built
+    by partial aggregates, so what is shuffled is sketches."""
     rate = F.when(F.col("total_claims") > 0, ratio(F.col("total_paid"), F.col("total_claims")))
     return monthly.groupBy(_MONTH).agg(
+        F.count(F.lit(1)).alias("monthly_rows"),
         F.kll_sketch_agg_double(rate, F.lit(KLL_K)).alias("rates"),
         F.hll_sketch_agg("npi", F.lit(HLL_LOG_K)).alias("providers"))
 
@@ -80,19 +81,24 @@ class MonthStore:
         cells = own.keep(S.claim_cells(known), "cells")
         if "beneficiaries" not in cells.columns:
             cells = cells.withColumn("beneficiaries", F.lit(0).cast("bigint"))
+        self._save(cells.select(_MONTH).distinct(), f"pending/batch={batch}")
+        # Ranges of months and providers: a month of a provider lies in one, so it is summed there.
+        placed = cells.repartitionByRange(_MONTH, "npi")
+        self._overwrite(MONTHLY, S.monthly_of_cells(placed))
+        self._overwrite(PROCEDURE, S.procedure_of_cells(placed))
         # A row for each month, of which the calendar allows few.
-        sums = own.keep(cells.groupBy(_MONTH).agg(
-            F.count_distinct("npi").alias("monthly_rows"),
+        sums = cells.groupBy(_MONTH).agg(
             F.count("procedure_code").alias("procedure_rows"),
-            F.sum("total_claims").alias("total_claims"), F.sum("total_paid").cast(MONEY_SUM).alias("total_paid"),
-        ), "sums")
-        self._save(sums.select(_MONTH), f"pending/batch={batch}")
-        for name, frame in ((MONTHLY, S.monthly_of_cells(cells)), (PROCEDURE, S.procedure_of_cells(cells))):
-            self._overwrite(name, frame)
-        self._overwrite(SKETCHES, month_sketches(S.monthly_of_cells(cells)), ())
+            F.sum("total_claims").alias("total_claims"), F.sum("total_paid").cast(MONEY_SUM).alias("total_paid"))
+        sums = own.keep(sums, "sums")
+        months = [row[0] for row in sums.select(_MONTH).collect()]
+        written = self._read(MONTHLY, _SCHEMAS[MONTHLY]).where(F.col(_MONTH).isin(*months))
+        rows = own.keep(month_sketches(written), "sketches")
+        self._overwrite(SKETCHES, rows.repartitionByRange(_MONTH), ())
         for row in sums.where("procedure_rows = 0").select(_MONTH).collect():
             self._delete(f"{PROCEDURE}/{_MONTH}={row[0]}")  # nothing was written there
         entry = self._last_entry() + 1
+        sums = sums.join(rows.select(_MONTH, "monthly_rows"), _MONTH)
         self._save(sums.select(F.lit(entry).cast("bigint").alias("entry"), _MONTH, "monthly_rows",
                                "procedure_rows", "total_claims", "total_paid"), f"manifest/batch={batch}")
         if staging is None:
@@ -100,9 +106,10 @@ class MonthStore:
         return True
 
     def _overwrite(self, name: str, frame: DataFrame, key: tuple[str, ...] = ("npi",)) -> None:
+        """Replaces the months of ``frame``, which lies in ranges of month and key."""
         fields = [f.name for f in self._empty(name).schema]
-        placed = frame.select(*fields).repartitionByRange(_MONTH, *key).sortWithinPartitions(_MONTH, *key)
-        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        ordered = frame.select(*fields).sortWithinPartitions(_MONTH, *key)
+        writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         for column in key:
             writer = bloom_filtered(writer, column)
         writer.partitionBy(_MONTH).parquet(f"{self.folder}/{name}")

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from claimgauge.sources.month_store import MONTHLY, PROCEDURE, MonthStore
 from workload import oracles, queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -107,3 +108,23 @@ def test_profiles_of_a_provider_without_flags(spark, tmp_path, kept):
     for name in ("dossier_one_request", "dossier_from_store"):
         assert connection.execute(SQL[name]).fetchall() == []
         assert QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def _exchanges(frame):
+    return re.findall(r"Exchange (\w+\([^)]*\))", frame._jdf.queryExecution().executedPlan().toString())
+
+
+@needs_tables
+def test_cells_travel_once_by_range_into_the_month_store(spark, tmp_path, monkeypatch):
+    placed = {}
+    write = MonthStore._overwrite
+
+    def watched(self, name, frame, *key):
+        placed[name] = _exchanges(frame)
+        write(self, name, frame, *key)
+
+    monkeypatch.setattr(MonthStore, "_overwrite", watched)
+    MonthStore(spark, str(tmp_path)).put(queries.t.claims(spark, FOLDER), "all")
+    for name in (MONTHLY, PROCEDURE):
+        (only,) = placed[name]
+        assert only.startswith("rangepartitioning(service_month")
