@@ -36,7 +36,8 @@ def build_dossiers(
     if "row_count" not in cells.columns:
         cells = claim_cells(cells)
     asked = cells if subjects is None else keep_providers(cells, subjects)
-    cells = staging.keep(asked, "dossier-cells")
+    # Each section is one shuffle of them by provider, by which the sections are joined too.
+    cells = staging.keep(asked, "dossier-cells").repartition("npi")
     summary = sections.claims_summary(cells)
     fields = [c for c in summary.columns if c != "npi"]
     dossier = summary.select("npi", F.struct(*fields).alias("claims_summary"))

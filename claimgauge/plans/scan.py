@@ -92,7 +92,8 @@ def detect(
         if stored:
             watch.over_totals(totals).write.format("noop").mode("overwrite").save()
         selected = staging.keep(watch.over_selected(selected), "selected")
-    procedure = _cut(procedure, scope)
+    # The shuffle by provider serves every sum by code, by month and by provider above it.
+    procedure = _cut(procedure, scope).repartition("npi")
     profile = staging.keep(D.code_profile(procedure, config), "profile")
     leading = profile.select("npi", F.col("leading_code").alias("procedure_code"))
     excluded = D.billing_like_organizations(leading, config)

@@ -21,11 +21,12 @@ def write_summaries(claims: DataFrame, folder: str, staging: Staging | None = No
     """
     own = staging or Staging(claims.sparkSession)
     cells = own.keep(S.claim_cells(claims), "cells")
-    for name, frame, keys in (
-        (MONTHLY, S.monthly_of_cells(cells), S.MONTHLY_KEY),
-        (PROCEDURE, S.procedure_of_cells(cells), S.PROCEDURE_KEY),
+    for name, summary, keys in (
+        (MONTHLY, S.monthly_of_cells, S.MONTHLY_KEY),
+        (PROCEDURE, S.procedure_of_cells, S.PROCEDURE_KEY),
     ):
-        ranged = frame.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        # The cells of a row lie in one range, so they are summed there.
+        ranged = summary(cells.repartitionByRange(*keys)).sortWithinPartitions(*keys)
         bloom_filtered(ranged.write.mode("overwrite"), "npi").parquet(f"{folder}/{name}")
     if staging is None:
         own.close()
@@ -40,5 +41,10 @@ def stage_summaries(
 ) -> tuple[DataFrame, DataFrame]:
     """Both summaries for one job: the claims are read once, whatever the number of detectors."""
     staging = staging or Staging(claims.sparkSession)
-    cells = staging.keep(S.claim_cells(claims), "cells")
-    return S.monthly_of_cells(cells), S.procedure_of_cells(cells)
+    return summaries_of_cells(staging.keep(S.claim_cells(claims), "cells"))
+
+
+def summaries_of_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Months are summed where their provider's history is: the cells travel by provider, once. They are
+    combined already, so a provider has no more of them than codes times months."""
+    return S.monthly_of_cells(cells.repartition("npi")), S.procedure_of_cells(cells)

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from claimgauge.sources.month_store import MONTHLY, PROCEDURE, MonthStore
+from claimgauge.sources.staging import Staging
 from workload import oracles, queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -128,3 +129,21 @@ def test_cells_travel_once_by_range_into_the_month_store(spark, tmp_path, monkey
     for name in (MONTHLY, PROCEDURE):
         (only,) = placed[name]
         assert only.startswith("rangepartitioning(service_month")
+
+
+@needs_tables
+def test_scan_and_dossiers_shuffle_by_provider_alone(spark, monkeypatch):
+    kept = []
+    keep = Staging.keep
+
+    def watched(self, frame, name):
+        kept.append((name, _exchanges(frame)))
+        return keep(self, frame, name)
+
+    monkeypatch.setattr(Staging, "keep", watched)
+    dossier = queries._dossiers.__wrapped__(spark, FOLDER)
+    plans = kept + [("dossier", _exchanges(dossier))]
+    for name, exchanges in plans:
+        if name != "cells":
+            assert not [e for e in exchanges if re.match(r"hashpartitioning\(npi#\d+, [a-z]", e)], name
+    assert len(dict(kept)["history"]) == 1
