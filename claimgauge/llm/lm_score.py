@@ -20,10 +20,12 @@ context that is kept and for a token met twice, and its first level takes so man
 logarithm of the vocabulary.
 
 The filter is made of blocks that a hash of the item chooses, so that tasks build them apart from
-one another. It is cut into segments of at most ``segment_mb``, by the context of the pair; each
-segment is broadcast in turn and scores the tokens of its contexts. A single segment scores in the pass
-that the base takes. At 100 million items a segment
-suffices; a corpus of many times that takes more passes over the texts, not more memory.
+one another. It is cut into segments of at most ``segment_mb``, by the tokens of the pair. A single
+segment is broadcast and scores in the pass that the base takes; at 100 million items it suffices. Several
+segments are not broadcast: the pairs of the texts travel once to tasks that hold one segment each, and a
+sum for each text travels back. So a worker holds one segment however many there are, and texts are read
+once. Segments are cells of contexts by tokens, which repeat the counts of their contexts and tokens: the
+filter grows faster than the corpus.
 
 The exact unigram base uses counts by token hash. The most frequent tokens, a bounded table, are
 looked up where the texts are; the others, none of which is frequent, are joined.
@@ -42,11 +44,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgauge.llm.bytehash import mix, packed, words
-from claimgauge.llm.shared import keep
+from claimgauge.llm.shared import discard, keep, release
 
 #: Ratio of counts between two levels, for tokens and contexts and for pairs.
 RATIO = 1.4
@@ -67,8 +70,9 @@ _WORDS = BLOCK_BYTES // 8
 #: A factor for each probe.
 _FACTORS = np.random.default_rng(21).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SEGMENT_MB = 96
-#: Passes over the texts in one plan.
-PASSES = 12
+#: Bytes of pairs that a task reads for each byte of the segment it holds, and pairs that it looks up together.
+READ = 2
+TOGETHER = 1 << 19
 #: The most frequent tokens whose exact counts are broadcast: 16 bytes each.
 FREQUENT = 100_000
 _END = np.uint64(0x5EED0E17D0000001)
@@ -125,7 +129,7 @@ def first_probes(repeated: int) -> int:
 
 @dataclass(frozen=True)
 class Model:
-    """A trained model: what is broadcast is one segment of it at a time."""
+    """A trained model, in segments of which a worker holds one."""
 
     blocks: DataFrame  # segment, block, bits
     grid: tuple[int, int]  # parts of contexts, parts of tokens
@@ -342,8 +346,9 @@ def train(texts: DataFrame, segment_mb: float = SEGMENT_MB) -> Model:
                      .withColumn("segment", F.col("other") * grid[1] + F.col("h") % grid[1]).drop("other"))
         .unionByName(of_pairs.withColumn("segment", before % grid[0] * grid[1] + token % grid[1]))
     )
-    return Model(keep(_built(placed, blocks_each, first), "lm-filter"), grid, blocks_each, first, unigrams,
-                 int(total), int(distinct), mass + 0.5 * (distinct + 1))
+    blocks = keep(_built(placed, blocks_each, first), "lm-filter")
+    discard(pairs, contexts)
+    return Model(blocks, grid, blocks_each, first, unigrams, int(total), int(distinct), mass + 0.5 * (distinct + 1))
 
 
 def _grid(entries: list[float], room: float) -> tuple[int, int]:
@@ -360,6 +365,11 @@ def _grid(entries: list[float], room: float) -> tuple[int, int]:
 def _log_probabilities(filter_: Filter, token: np.ndarray, before: np.ndarray, mass: float) -> np.ndarray:
     """log10 p(token | before) from the halves, each different token, context and pair read once."""
     p, p_at = np.unique(before << np.uint64(32) | token, return_inverse=True)
+    return _log_of_pairs(filter_, p, mass)[p_at]
+
+
+def _log_of_pairs(filter_: Filter, p: np.ndarray, mass: float) -> np.ndarray:
+    """log10 of the probability of different pairs."""
     t, t_at = np.unique(p & np.uint64(0xFFFFFFFF), return_inverse=True)
     c, c_at = np.unique(p >> np.uint64(32), return_inverse=True)
     met = filter_.counts(t, _TOKEN, 1, RATIO)
@@ -369,89 +379,195 @@ def _log_probabilities(filter_: Filter, token: np.ndarray, before: np.ndarray, m
     pair = np.zeros(len(p))
     pair[asked] = filter_.counts(p[asked], _PAIR, 2, PAIR_RATIO)
     mixed = np.divide(pair + escape * own, z, out=own.copy(), where=z > 0)
-    return np.log10(np.minimum(mixed, 1.0))[p_at]
+    return np.log10(np.minimum(mixed, 1.0))
+
+
+#: What the first pass finds of each text, and what it asks the segments of several.
+_FOUND = [("n_tokens", "bigint", pa.int64()), ("__known", "bigint", pa.int64()), ("__sum", "double", pa.float64()),
+          ("__rest", "array<bigint>", pa.list_(pa.int64())), ("__id", "bigint", pa.int64())]
+_OF_LOT = ("__bits", "__contexts", "__runs", "__times", "__at")
+_ASKED = [("__task", "bigint", pa.int64()), *((x, "int", pa.int32()) for x in ("__block", "__rows", "__of")),
+          *((x, "binary", pa.binary()) for x in _OF_LOT)]
+
+
+def _asked(token: np.ndarray, before: np.ndarray, row: np.ndarray, grid: tuple[int, int]) -> Iterator[dict]:
+    """What a lot of tokens asks each segment: its different contexts, the number of different pairs of each and
+    their tokens, as halves; how often each pair comes, and in which rows."""
+    pair = pair_key(before, token)
+    order = np.argsort(pair, kind="stable")
+    pair, row = pair[order], row[order]
+    starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    pair, times = pair[starts], np.diff(np.r_[starts, len(pair)])
+    segment = segment_of(pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF), grid)
+    segment = segment.astype(np.min_scalar_type(grid[0] * grid[1]))
+    row = row[np.argsort(np.repeat(segment, times), kind="stable")]
+    order = np.argsort(segment, kind="stable")
+    segment, pair, times = segment[order], pair[order], times[order]
+    context, ends = (pair >> np.uint64(32)).astype(np.uint32), np.r_[0, np.cumsum(times)]
+    starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]).tolist()
+    for a, b in zip(starts, [*starts[1:], len(segment)], strict=True):
+        runs = np.flatnonzero(np.r_[True, context[a + 1:b] != context[a:b - 1]])
+        yield {"segment": int(segment[a]), "__bits": pair[a:b].astype(np.uint32).tobytes(),
+               "__contexts": _short(np.diff(context[a:b][runs], prepend=np.uint32(0))),
+               "__of": len(runs), "__runs": _short(np.diff(np.r_[runs, b - a])),
+               "__times": _short(times[a:b]), "__at": _short(row[ends[a]:ends[b]])}
+
+
+def _short(numbers: np.ndarray) -> bytes:
+    """Whole numbers in as few half bytes each as the greatest needs: bytes of all by place, then half bytes."""
+    numbers = numbers.astype(np.uint64)
+    whole, half_ = divmod((int(numbers.max()).bit_length() + 3) // 4, 2)
+    planes = [(numbers >> np.uint64(8 * i)).astype(np.uint8) for i in range(whole + half_)]
+    if half_:
+        last = np.append(planes[-1], np.zeros(len(numbers) % 2, np.uint8))
+        planes[-1] = last[::2] | last[1::2] << 4
+    return b"".join(x.tobytes() for x in planes)
+
+
+def _long(content: pa.Buffer, count: int) -> np.ndarray:
+    data, numbers = np.frombuffer(content, np.uint8), np.zeros(count, np.int64)
+    whole = len(data) // count
+    for i in range(whole):
+        numbers |= data[i * count:(i + 1) * count].astype(np.int64) << 8 * i
+    last = data[whole * count:].astype(np.int64)
+    if len(last):
+        numbers[::2] |= (last & 15) << 8 * whole
+        numbers[1::2] |= last[:count // 2] >> 4 << 8 * whole
+    return numbers
+
+
+def _batch(names: list[str], types: list[pa.DataType], columns: dict, rows: int) -> pa.RecordBatch:
+    """Rows with nulls in the columns that are not given."""
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(rows, of) if x not in columns else columns[x] if isinstance(columns[x], pa.Array)
+         else pa.array(columns[x], of) for x, of in zip(names, types, strict=True)], names)
 
 
-def with_score(texts: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score`` to a table with a column ``text``: a pass for each segment of the filter."""
-    spark = texts.sparkSession
-    grid, first, mass = model.grid, model.first, model.mass
-    held_now = []
-    df = texts.withColumn("score", F.lit(0.0))
-    names = df.columns
-    for segment in range(grid[0] * grid[1]):
-        held = spark.sparkContext.broadcast(model.segment(segment))
-        held_now.append(held)
-
-        def score(batches: Iterator[pa.RecordBatch], held=held, segment=segment) -> Iterator[pa.RecordBatch]:
-            filter_ = Filter(held.value, first)
-            for batch in batches:
-                for begin, end, token, before, row in _by_batch(batch.column("text")):
-                    token, before = half(token), half(before)
-                    mine = segment_of(before, token, grid) == segment
-                    logs = _log_probabilities(filter_, token[mine], before[mine], mass)
-                    part = batch.slice(begin, end - begin)
-                    sums = part.column("score").to_numpy() + np.bincount(
-                        row[mine], weights=logs, minlength=end - begin)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sums) if x == "score" else part.column(x) for x in names], names)
-
-        df = df.mapInArrow(score, df.schema)
-        if segment % PASSES == PASSES - 1:
-            df = keep(df, "lm-scored")
-            while held_now:
-                held_now.pop().destroy()
-    return df
-
-
-def with_base(texts: DataFrame, model: Model, frequent: int = FREQUENT, scores: bool = False) -> DataFrame:
-    """In place of ``text``: n_tokens, n_known and base_score, exact. Frequent tokens are looked up in
-    a broadcast table of ``frequent`` rows, the others are joined. With ``scores`` also score, of a
-    model of one segment, from the same pass."""
+def _answered(lots: DataFrame, model: Model, parts: int) -> DataFrame:
+    """In place of what a lot asks a segment, the sums of logs of its texts; the rows of texts stay.
+
+    Each of the ``parts`` tasks of a segment has its blocks and some of the lots."""
+    first, mass, blocks_each = model.first, model.mass, model.blocks_each
+    names = [x for x in lots.columns if x not in [x for x, *_ in _ASKED]] + ["__sums"]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by task, the blocks of its segment before its lots.
+        held, bits = -1, np.zeros((blocks_each, BLOCK_BYTES), np.uint8)
+        filter_ = Filter(bits.reshape(-1), first)
+        lots: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []  # id, rows, pairs, times, row of each
+
+        def answered() -> pa.RecordBatch:
+            # Lots that are read together ask for what they have in common once.
+            pairs, where = np.unique(np.concatenate([x[2] for x in lots]), return_inverse=True)
+            logs = np.split(_log_of_pairs(filter_, pairs, mass)[where], np.cumsum([len(x[2]) for x in lots])[:-1])
+            sums = [np.bincount(at, weights=np.repeat(own, times), minlength=rows)
+                    for (_, rows, _, times, at), own in zip(lots, logs, strict=True)]
+            found = _batch(names, types, {"__id": [x[0] for x in lots], "__sums": sums}, len(lots))
+            lots.clear()
+            return found
+
+        for batch in batches:
+            types = [batch.schema.field(x).type for x in names[:-1]] + [pa.list_(pa.float64())]
+            task = batch.column("__task").to_numpy()
+            texts = batch.filter(pa.array(task < 0))
+            if len(texts):
+                yield _batch(names, types, {x: texts.column(x) for x in names[:-1]}, len(texts))
+            for i in np.flatnonzero(task >= 0).tolist():
+                if lots and (task[i] != held or sum(len(x[2]) for x in lots) >= TOGETHER):
+                    yield answered()
+                if task[i] != held:
+                    held, bits[:] = task[i], 0
+                content, contexts, runs, times, at = (batch.column(x)[i].as_buffer() for x in _OF_LOT)
+                if contexts is None:
+                    bits[batch.column("__block")[i].as_py()] = np.frombuffer(content, np.uint8)
+                    continue
+                id_, rows, n = (batch.column(x)[i].as_py() for x in ("__id", "__rows", "__of"))
+                contexts = np.cumsum(_long(contexts, n)).view(np.uint64) << np.uint64(32)
+                pairs = np.repeat(contexts, _long(runs, n)) | np.frombuffer(content, np.uint32)
+                times = _long(times, len(pairs))
+                lots.append((id_, rows, pairs, times, _long(at, int(times.sum()))))
+        if lots:
+            yield answered()
+
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    blocks = model.blocks.select("segment", F.col("block").alias("__block"), F.col("bits").alias("__bits"), part)
+    task = (F.col("segment") * parts + F.col("part")).cast("bigint").alias("__task")
+    met = lots.unionByName(blocks.select(task, "__block", "__bits"), allowMissingColumns=True)
+    fields = ", ".join(f"`{x}` {lots.schema[x].dataType.simpleString()}" for x in names[:-1])
+    return met.repartition("__task").sortWithinPartitions("__task", "__id").mapInArrow(
+        answer, f"{fields}, __sums array<double>")
+
+
+def with_scores(texts: DataFrame, model: Model, frequent: int = FREQUENT) -> DataFrame:
+    """In place of ``text``: n_tokens, n_known and base_score, exact, and score. Frequent tokens are looked up
+    in a broadcast table of ``frequent`` rows, the others are joined. A model of one segment is broadcast too
+    and scores in the same pass; else the pairs go to the tasks of their segments."""
     top = model.counts.orderBy(F.desc("c"), "h").limit(frequent).toArrow()
     known = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(known)
     context = texts.sparkSession.sparkContext
     shared = context.broadcast((known[order], top.column("c").to_numpy()[order].astype(float)))
-    segment = context.broadcast(model.segment(0)) if scores else None
-    scale, first, mass = model.total + 0.5 * (model.distinct + 1), model.first, model.mass
+    grid, first, mass = model.grid, model.first, model.mass
+    several = grid != (1, 1)
+    segment = None if several else context.broadcast(model.segment(0))
+    scale = model.total + 0.5 * (model.distinct + 1)
+    each = model.blocks_each * BLOCK_BYTES
+    parts = max(1, math.ceil(8 * model.total / (grid[0] * grid[1] * each * READ)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
         logs = np.log10((counts + 0.5) / scale)
         filter_ = Filter(segment.value, first) if segment else None
+        lot = TaskContext.get().partitionId()
+        id_ = lot << 33
         for batch in batches:
+            types = [batch.schema.field(x).type for x in others] + [of for *_, of in own]
             for begin, end, token, before, row in _by_batch(batch.column("text")):
                 rows, part = end - begin, batch.slice(begin, end - begin)
-                own = [part.column(x) for x in others]
-                if filter_:
-                    p = _log_probabilities(filter_, half(token), half(before), mass)
-                    own.append(pa.array(np.bincount(row, weights=p, minlength=rows)))
                 at = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
                 met = known[at] == token if len(known) else np.zeros(len(token), bool)
                 counted = np.bincount(row[~met], minlength=rows)
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(np.bincount(row, minlength=rows)),
-                     pa.array(np.bincount(row[met], minlength=rows)),
-                     pa.array(np.bincount(row[met], weights=logs[at[met]], minlength=rows)),
-                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counted)], pa.int32()),
-                                              pa.array(token[~met].view(np.int64)))],
-                    [*names, "n_tokens", "__known", "__sum", "__rest"])
+                ids = np.arange(id_, id_ + rows)
+                found = {x: part.column(x) for x in others} | {
+                    "n_tokens": np.bincount(row, minlength=rows), "__known": np.bincount(row[met], minlength=rows),
+                    "__sum": np.bincount(row[met], weights=logs[at[met]], minlength=rows),
+                    "__rest": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counted)], pa.int32()),
+                                                       pa.array(token[~met].view(np.int64))),
+                    "__id": ids}
+                if filter_:
+                    p = _log_probabilities(filter_, half(token), half(before), mass)
+                    yield _batch(names, types, found | {"score": np.bincount(row, weights=p, minlength=rows)}, rows)
+                else:
+                    # The texts are dealt over other tasks.
+                    yield _batch(names, types, found | {"__task": -1 - ids // 1024}, rows)
+                    asked = [*_asked(token, before, row, grid)]
+                    yield _batch(names, types, {k: [x[k] for x in asked] for k in ("__of", *_OF_LOT)} | {
+                        "__task": [x["segment"] * parts + lot % parts for x in asked], "__id": [id_] * len(asked),
+                        "__rows": [rows] * len(asked)}, len(asked))
+                id_, lot = id_ + rows, lot + 1
 
     others = [x for x in texts.columns if x != "text"]
-    names = others + ["score"] * scores
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema.fields if f.name != "text")
-    fields += "score double, " * scores
-    parts = texts.mapInArrow(
-        look_up, fields + "n_tokens bigint, __known bigint, __sum double, __rest array<bigint>")
-    parts = keep(parts.withColumn("__id", F.monotonically_increasing_id()), "lm-base")
+    own = [*_FOUND, *(_ASKED if several else [("score", "double", pa.float64())])]
+    names = others + [x for x, *_ in own]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text"]
+    parts_of = texts.mapInArrow(look_up, ", ".join([*fields, *(f"{x} {kind}" for x, kind, _ in own)]))
+    if several:
+        parts_of = _answered(parts_of, model, parts)
+    parts_of = keep(parts_of, "lm-base")
+    release(texts.sparkSession)
+    found = parts_of.where("n_tokens is not null")
     joined = (
-        parts.select("__id", F.explode("__rest").alias("h")).join(model.counts, "h", "left").groupBy("__id").agg(
+        found.select("__id", F.explode("__rest").alias("h")).join(model.counts, "h", "left").groupBy("__id").agg(
             F.count("c").alias("__more"),
             F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale))).alias("__more_sum"))
     )
-    return parts.join(joined, "__id", "left").select(
-        *names, "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
+    found = found.join(joined, "__id", "left")
+    if several:
+        sums = parts_of.where("n_tokens is null").select("__id", F.posexplode("__sums").alias("__at", "sum"))
+        found = found.join(sums.groupBy((F.col("__id") + F.col("__at")).alias("__id")).agg(
+            F.sum("sum").alias("score")), "__id")
+    return found.select(
+        *others, "score", "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
         (F.col("__sum") + F.coalesce("__more_sum", F.lit(0.0))).alias("base_score"))
 
 
@@ -463,10 +579,8 @@ def scored(documents: DataFrame, segment_mb: float = SEGMENT_MB, frequent: int =
         "doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"))
     model = train(texts.where(~F.col("held_out")), segment_mb)
-    if model.grid == (1, 1):
-        found = with_base(texts, model, frequent, scores=True)
-    else:
-        found = with_base(with_score(texts, model), model, frequent)
+    release(documents.sparkSession)
+    found = with_scores(texts, model, frequent)
     return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         "base_score", "score")

@@ -10,8 +10,8 @@ import tracemalloc
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -69,6 +69,44 @@ def test_unigram_base_is_exact_and_segments_agree(spark, prose):
         assert many[i].score == pytest.approx(one[i].score, abs=0.35 * len(own))
 
 
+@pytest.mark.parametrize("read", [lm_score.READ, 1e-3])
+def test_segments_answer_in_tasks_of_their_own(spark, prose, monkeypatch, read):
+    """However many segments there are, none is broadcast, no plan has a worker for each, and scores are theirs."""
+    sent, workers, models, keep, train = [], [], [], lm_score.keep, lm_score.train
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: sent.append(a) or broadcast(*a))
+    monkeypatch.setattr(lm_score, "keep", lambda df, *a: workers.append(
+        df._jdf.queryExecution().analyzed().toString().count("MapInArrow")) or keep(df, *a))
+    monkeypatch.setattr(lm_score, "train", lambda *a: models.append(train(*a)) or models[-1])
+    monkeypatch.setattr(lm_score, "READ", read, raising=False)
+    ids = [i // 2 if i % 7 else None for i in range(len(prose))]
+    df = spark.createDataFrame([*zip(ids, prose, strict=True)], "doc_id long, text string")
+    rows = lm_score.scored(df.repartition(3), segment_mb=0.002).collect()
+    model = models[0]
+    n = model.grid[0] * model.grid[1]
+    assert n > 4 and len(sent) == 1 and max(workers) == 2
+    held = [lm_score.Filter(model.segment(i), model.first) for i in range(n)]
+    expected = collections.Counter()
+    for i, text in zip(ids, prose, strict=True):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        token, before, _ = lm_score.tokens(data, np.array([0, len(data)]))
+        token, before = lm_score.half(token), lm_score.half(before)
+        of = lm_score.segment_of(before, token, model.grid)
+        score = sum(lm_score._log_probabilities(held[x], token[of == x], before[of == x], model.mass).sum()
+                    for x in set(of.tolist()))
+        expected[i, len(token), round(float(score), 6)] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in rows) == expected
+
+
+@pytest.mark.parametrize("most", [0, 1, 15, 16, 255, 4000, 70_000, 2**32 - 1])
+@pytest.mark.parametrize("count", [1, 2, 7, 1000])
+def test_numbers_of_lots_come_back(most, count):
+    numbers = np.random.default_rng(most).integers(0, most, count, endpoint=True)
+    content = lm_score._short(numbers)
+    assert lm_score._long(pa.py_buffer(content), count).tolist() == numbers.tolist()
+    assert len(content) <= max(1, -(-most.bit_length() // 4)) * count / 2 + 1
+
+
 def test_filter_counts_are_close_and_rarely_false():
     items = np.arange(1, 4001, dtype=np.uint64) << np.uint64(20)
     levels = np.arange(4000) % 12 + 1
